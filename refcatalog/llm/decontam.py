@@ -243,55 +243,65 @@ def scan_slice(auto: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[
     return counts, n_hit, hit_items, ranges
 
 
-def _automata(items: DataFrame, item_id: str, text: str, window: int, item_words: int) -> Iterator[Automaton]:
-    """Automata over parts of the items, each of a checked size (bytes bound words)."""
+def _automata(items: DataFrame, item_id: str, text: str, window: int, item_words: int) -> Iterator[tuple[Automaton, bool]]:
+    """Automata over parts of the items, each of a checked size (bytes bound words), and whether it is the last."""
     known = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t")).distinct()
     total = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-int(total) // (2 * item_words)))
     for k in range(parts):
         own = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()
-        yield build([(r["i"], r["t"]) for r in own], window)
+        yield build([(r["i"], r["t"]) for r in own], window), k == parts - 1
 
 
-def scan(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = 10, item_words: int = ITEM_WORDS) -> DataFrame:
-    """Per row of ``docs``: doc_id, text, n_words, n_hit, item_ids (array of string, sorted), spans (hit byte ranges).
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def scan(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = 10, carry: tuple[str, ...] = (), remove: bool = False, item_words: int = ITEM_WORDS) -> DataFrame:
+    """Per row of ``docs``: doc_id, text, n_words, n_hit, item_ids (array of string, sorted), spans (hit byte ranges), and the columns of ``carry``.
 
     A window is ``window`` consecutive words of an item; an item of fewer words,
     but at least one, is a window as a whole. Every word inside an occurrence of
     a window counts as hit; spans run from the first to the last hit word of each
-    unbroken run. Null and empty texts have no words; null items and items
-    without words are ignored; repeated rows and repeated items are kept or
-    merged respectively; extra columns are left out, so their names can't clash.
-    An empty items table hits nothing. A benchmark of more than ``item_words``
-    words takes several passes with a bounded automaton each; the documents are
-    never shuffled.
+    unbroken run, and ``remove`` cuts them out of the text. Null and empty texts
+    have no words; null items and items without words are ignored; repeated rows
+    are scanned each, and repeated items count once; other columns are left out,
+    so that their names can't clash. An empty items table hits nothing. A
+    benchmark of more than ``item_words`` words takes several passes with a
+    bounded automaton each; the documents are never shuffled.
     """
-    kind = docs.schema[doc_id].dataType
-    now = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("n_hit", T.LongType())])
-    for k, auto in enumerate(_automata(items, item_id, text, window, item_words)):
-        if k:
-            now = cut(now)
+    kinds = [(f"carry{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
+    now = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    fields = [("doc_id", docs.schema[doc_id].dataType), ("text", T.StringType()), *kinds, ("item_ids", T.ArrayType(T.StringType())), ("spans", T.ArrayType(span)), ("n_words", T.LongType()), ("n_hit", T.LongType())]
+    schema = T.StructType([T.StructField(*x) for x in fields])
+    through = ["doc_id", *(k for k, _ in kinds)]
+    for auto, last in _automata(items, item_id, text, window, item_words):
         held = docs.sparkSession.sparkContext.broadcast(auto)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, drop=remove and last) -> Iterator[pa.RecordBatch]:
             auto = held.value
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             for batch in batches:
                 for part in slices(batch):
                     data, offsets = utf8(part.column("text"))
                     counts, _, ids, ranges = scan_slice(auto, data, offsets)
                     old_ids, old_spans = part.column("item_ids").to_pylist(), part.column("spans").to_pylist()
-                    all_ids, spans, n_hit = [], [], []
-                    for r, (a, b) in enumerate(zip(ids, old_ids, strict=True)):
-                        all_ids.append(sorted({*map(str, a), *b}) if b else [str(x) for x in a])
-                        merged = _union(ranges[r], [(x["start"], x["end"]) for x in old_spans[r]]) if old_spans[r] else ranges[r]
-                        spans.append([{"start": x, "end": y} for x, y in merged])
-                        n_hit.append(_words_in(data[offsets[r] : offsets[r + 1]], merged) if merged else 0)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(counts, pa.int64()), pa.array(all_ids, pa.list_(pa.string())), pa.array(spans, span), pa.array(n_hit, pa.int64())], ["doc_id", "text", "n_words", "item_ids", "spans", "n_hit"])
+                    for r in range(part.num_rows):
+                        if old_spans[r]:
+                            ranges[r] = _union(ranges[r], [(x["start"], x["end"]) for x in old_spans[r]])
+                        ids[r] = sorted({*map(str, ids[r]), *old_ids[r]})
+                    own = lambda r: data[offsets[r] : offsets[r + 1]]
+                    n_hit = [_words_in(own(r), x) if x else 0 for r, x in enumerate(ranges)]
+                    texts = part.column("text")
+                    if drop and any(ranges):
+                        texts = pa.array([_without(own(r).tobytes(), x) if x else t.as_py() for r, (t, x) in enumerate(zip(texts, ranges, strict=True))], pa.string())
+                    spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in ranges], _SPAN)
+                    carried = [part.column(c) for c in through]
+                    yield pa.RecordBatch.from_arrays([carried[0], texts, *carried[1:], pa.array(ids, pa.list_(pa.string())), spans, pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64())], [f for f, _ in fields])
 
-        now = now.drop("n_hit").mapInArrow(run, schema)
-    return now
+        now = now.drop("n_words", "n_hit").mapInArrow(run, schema)
+        if not last:
+            now = cut(now)
+    return now.select("doc_id", "text", "n_words", "n_hit", "item_ids", "spans", *(F.col(f"carry{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -308,19 +318,22 @@ def _words_in(data: np.ndarray, spans: list[tuple[int, int]]) -> int:
     return sum(len(words(data[a:b], np.array([0, b - a]), ALNUM)[0]) for a, b in spans)
 
 
-def remove(scanned: DataFrame, max_coverage: float = 0.5) -> DataFrame:
-    """Rows of ``scan`` with their spans cut out of the text; rows with more than ``max_coverage`` hit words go.
+def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, window: int = 10) -> DataFrame:
+    """``docs`` (doc_id, text and other columns) with benchmark spans cut out of the texts; rows with more than ``max_coverage`` hit words go.
 
-    Returns doc_id and text. Texts without hits pass unchanged, null ones too.
+    ``n_chars``, where there is such a column, follows the shortened texts.
+    Other rows and columns pass unchanged; see ``scan`` for the edge cases.
     """
-    cutter = F.udf(_cut_out, "string")
-    kept = scanned.where((F.col("n_hit") == 0) | (F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")))
-    return kept.select("doc_id", F.when(F.size("spans") > 0, cutter("text", "spans")).otherwise(F.col("text")).alias("text"))
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = scan(docs, items, window=window, carry=others, remove=True)
+    kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")))
+    chars = F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
+    return kept.select(*(chars.alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
-def _cut_out(text: str, spans: list) -> str:
-    raw, out, at = text.encode(), [], 0
-    for s in spans:
-        out.append(raw[at : s["start"]])
-        at = s["end"]
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, b in spans:
+        out.append(raw[at:a])
+        at = b
     return b"".join([*out, raw[at:]]).decode()

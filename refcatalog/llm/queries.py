@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dup, packing, shards, token_count, url_filter
+from . import decontam, near_dup, packing, quality, secrets, shards, token_count, topk, toxicity, url_filter
 from .shared import table
 
 
@@ -15,6 +15,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.fit(toxicity.training_rows(docs, labels.where(~held_out), "doc_id", "text", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -36,6 +48,12 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), 4096)
 
@@ -45,6 +63,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 _OP4_SQL = """
 with split as (
   select page_id,
@@ -69,7 +91,7 @@ from judged
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_near_duplicates, op4_url_filter, op5_best_fit_packing, op6_histogram_shards, op8_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op2_compression_toxicity, op3_near_duplicates, op4_url_filter, op5_best_fit_packing, op6_histogram_shards, op7_secret_scan, op8_token_counts, op9_decontamination, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
