@@ -29,8 +29,8 @@ BANDS = REGISTERS // ROWS
 SLACK = 5.0
 #: Rounds of re-hashing all buckets, before each empty one gets a hash function of its own.
 REFILLS = 16
-#: Rows of one side of a block in which sketches are compared all with all.
-BLOCK = 1024
+#: Rows, and shingles, of one side of a block in which members of a bucket are compared across components.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 
 _BOUNDS = (np.arange(REGISTERS + 1, dtype=object) * (1 << 64) // REGISTERS)[:-1].astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -186,58 +186,96 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, doc_id: s
     return cut(near_pairs.hint("shuffle_merge").join(own("a"), "a").hint("shuffle_merge").join(own("b"), "b").select("a", "b", "ka", "kb").mapInArrow(full, "a long, b long"))
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and whose sketches are near; compared in blocks.
-
-    members: key, n (rows of the bucket), rep, component, sketch. A bucket of
-    more than ``BLOCK`` rows is cut into blocks by a hash of the id, and each
-    pair of blocks is one group, so that no task holds more than two blocks.
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Consecutive rows of equal keys, of batches that are sorted by them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        table = pa.Table.from_batches(rest)
+        own = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in keys])
+        edges = np.concatenate([[0], np.flatnonzero((own[:, 1:] != own[:, :-1]).any(axis=0)) + 1])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield table.slice(a, b - a)
+        rest = table.slice(int(edges[-1])).combine_chunks().to_batches()  # the last group may go on in the next batch
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+_BLOCK_KEYS = ("key", "x", "y")
+
+
+def _near_in_block(g: pa.Table, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a block whose components differ, whose estimate reaches the floor, and whose first equal band is the block's own."""
+    sketches = np.frombuffer(b"".join(g.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    comp, mine, band = (np.asarray(g.column(c)) for c in ("component", "mine", "band"))
+    two = g.column("x")[0].as_py() != g.column("y")[0].as_py()
+    first = np.flatnonzero(mine == mine.min()) if two else np.arange(len(comp))
+    second = np.flatnonzero(mine != mine.min()) if two else first
+    for i in first.tolist():
+        js = second[(comp[second] != comp[i]) & (two | (second > i))]
+        if len(js):
+            same = sketches[js] == sketches[i]
+            near = estimate(same.sum(axis=1)) >= floor
+            near &= same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]
+            if near.any():
+                yield i, js[near]
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    return members.repartition(partitions(members), *_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
+
+
+def _cross_links(members: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """Confirmed links between different components that share a bucket.
+
+    members: key, band, n (rows of the bucket), weight (shingles of its rows),
+    rep, component, sketch. A bucket is cut into blocks by a hash of the id, so
+    that a block has about ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles at
+    most; each pair of blocks is one group. A first pass over the sketches finds
+    the members that have a near partner, and only these get their full sets;
+    the second pass confirms. Pairs are looked at in the first band they share,
+    and never leave their block unless they are links.
     """
     floor = candidate_floor(percent)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
     own = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "rep", "component", "sketch")
-    own = own.repartition(partitions(members), "key", "x", "y").sortWithinPartitions("key", "x", "y")
-
-    def compare(x: np.ndarray, ids: np.ndarray, comp: np.ndarray, mine: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-        out_a, out_b = [], []
-        first = np.flatnonzero(mine == mine.min()) if cross else np.arange(len(ids))
-        second = np.flatnonzero(mine != mine.min()) if cross else first
-        for i in first.tolist():
-            js = second[(comp[second] != comp[i]) & (cross | (second > i))]
-            if len(js):
-                js = js[estimate((x[js] == x[i]).sum(axis=1)) >= floor]
-                out_a.append(np.full(len(js), ids[i]))
-                out_b.append(ids[js])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in [*_chain(batches), None]:
-            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if table is None or not table.num_rows:
-                continue
-            keys = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("key", "x", "y")])
-            edge = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            starts = np.concatenate([[0], edge])
-            ends = np.concatenate([edge, [table.num_rows]])
-            if batch is not None:  # the last group may go on in the next batch
-                rest = table.slice(int(starts[-1]))
-                starts, ends = starts[:-1], ends[:-1]
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                g = table.slice(s, e - s)
-                sk = np.frombuffer(b"".join(g.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
-                a, b = compare(sk, np.asarray(g.column("rep")), np.asarray(g.column("component")), np.asarray(g.column("mine")), bool(keys[1, s] != keys[2, s]))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+    own = own.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "band", "mine", "rep", "component", "sketch")
+    names = own.columns
 
-    return own.mapInArrow(run, "a long, b long").distinct()
-
-
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from batches
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _grouped(batches, _BLOCK_KEYS):
+            found = np.zeros(g.num_rows, bool)
+            for i, js in _near_in_block(g, floor):
+                found[i] = True
+                found[js] = True
+            if found.any():
+                yield from g.filter(pa.array(found)).select(names).combine_chunks().to_batches()
+
+    left = cut(_blocked(own).mapInArrow(near, own.schema))
+    sets = cut(_sets_of(docs, doc_id, text, k, left.select("rep").distinct()).dropDuplicates(["doc_id"]))
+    held = left.hint("shuffle_merge").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _grouped(batches, _BLOCK_KEYS):
+            ids, comp = np.asarray(g.column("rep")), np.asarray(g.column("component"))
+            full = [np.frombuffer(x, np.uint64) for x in g.column("shingles").to_pylist()]
+            out = []
+            for i, js in _near_in_block(g, floor):
+                linked: set[int] = set()  # one link to a component is enough
+                for j in js.tolist():
+                    if comp[j] in linked or 100 * min(len(full[i]), len(full[j])) < percent * max(len(full[i]), len(full[j])):
+                        continue
+                    shared = len(np.intersect1d(full[i], full[j], assume_unique=True))
+                    if 100 * shared >= percent * (len(full[i]) + len(full[j]) - shared):
+                        linked.add(comp[j])
+                        out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return cut(_blocked(held).mapInArrow(confirm, "a long, b long").distinct())
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -261,23 +299,19 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     some = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = cut(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch")))
     band = F.xxhash64("band", F.expr(f"substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS})"))
-    bands = cut(classes.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("rep", band.alias("key")))
+    bands = cut(classes.select("rep", "n_shingles", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("rep", "n_shingles", "band", band.alias("key")))
     buckets = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = bands.hint("shuffle_hash").join(buckets, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     sketches = classes.select("rep", "n_shingles", "sketch")
     edges = _confirmed(stars, sketches, docs, doc_id, text, k, percent)
     labels = cut(connected_components(edges))
 
-    named = bands.hint("shuffle_merge").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    named = cut(named)
-    still = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
-    members = named.hint("shuffle_hash").join(still, "key").hint("shuffle_merge").join(sketches.select("rep", "sketch"), "rep")
-    tried = stars.select("a", "b")
-    more = _cross_pairs(members.select("key", "n", "rep", "component", "sketch"), percent)
-    more = cut(more.join(tried.hint("shuffle_hash"), ["a", "b"], "left_anti"))
+    named = cut(bands.hint("shuffle_merge").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    still = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("lo <> hi").select("key", "n", "weight")
+    members = named.drop("n_shingles").hint("shuffle_hash").join(still, "key").hint("shuffle_merge").join(sketches.select("rep", "sketch"), "rep")
+    more = _cross_links(members.select("key", "band", "n", "weight", "rep", "component", "sketch"), docs, doc_id, text, k, percent)
     if more.limit(1).count():
-        edges = edges.unionByName(_confirmed(more, sketches, docs, doc_id, text, k, percent))
-        labels = cut(connected_components(edges))
+        labels = cut(connected_components(edges.unionByName(more)))
 
     reps = classes.select("d1", "d2", "n_shingles", "rep").hint("shuffle_merge").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("found"))
