@@ -44,11 +44,11 @@ def _units(text: str) -> set[str]:
     return out
 
 
-def typical(own: list[str], other: list[str], size: int, share: float = 0.01, ratio: float = 8.0, each: int = 8) -> bytes:
+def typical(own: list[str], other: list[str], size: int, share: float = 0.01, ratio: float = 8.0, each: int = 8, least: int = 7) -> bytes:
     """Words and word beginnings that mark ``own`` texts, the ones that mark most texts last (nearest to the base)."""
     sets = [_units(x) for x in own]
     seen, against = Counter(u for s in sets for u in s), Counter()
-    likely = {u for u, k in seen.items() if k >= max(3, share * len(own))}
+    likely = {u for u, k in seen.items() if k >= max(least, share * len(own))}
     for x in other:
         against.update(_units(x) & likely)
     likely = {u for u in likely if (seen[u] + 0.5) / (len(own) + 1) > ratio * (against[u] + 0.5) / (len(other) + 1)}
@@ -60,7 +60,7 @@ def typical(own: list[str], other: list[str], size: int, share: float = 0.01, ra
     while where:
         gain = {u: sum(marked[i] < each for i in w) - 30 * against[u] for u, w in where.items()}
         u = max(gain, key=lambda u: (gain[u], len(u), u))
-        if gain[u] < max(3, share * len(own)) or have + len(u) > size:
+        if gain[u] < max(least, share * len(own)) or have + len(u) > size:
             break
         out.append(u)
         have += len(u.encode())
