@@ -18,6 +18,11 @@ def present(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def unless_blank(c: Column) -> Column:
+    """The value as it is; null where it is empty or blank."""
+    return F.when(present(c).isNotNull(), c)
+
+
 def _group(c: Column, pattern: str, k: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
 

@@ -65,3 +65,73 @@ def apply_repo_snapshot(repos: DataFrame, snapshot: DataFrame) -> DataFrame:
     out = repos.join(now, "key", "left")
     why = F.when(F.col("status") == 404, "not_found").when((F.col("status") == 200) & (F.col("now") != F.lower("key")), "renamed").when((F.col("status") == 200) & F.col("archived"), "archived")
     return out.withColumn("removed", why).drop("status", "now", "archived")
+
+
+def works_to_papers(raw: DataFrame) -> DataFrame:
+    """One paper per work with a title; the venue is that of the first place that is neither a repository nor the preprint host, else of the primary one."""
+    bare = K.present(F.regexp_replace("doi", "^https?://doi.org/", ""))
+    name = lambda place: K.present(place["source"]["display_name"])
+    real = lambda p: name(p).isNotNull() & (F.coalesce(p["source"]["type"], F.lit("")) != "repository") & ~F.contains(F.lower(name(p)), F.lit("arxiv"))
+    place = F.get(F.filter("locations", real), F.lit(0))
+    page, named = K.present(F.col("primary_location.landing_page_url")), F.filter(F.transform("authorships", lambda a: K.present(a["author"]["display_name"])), lambda x: x.isNotNull())
+    date = F.try_to_date("publication_date")
+    return raw.where(K.present(F.col("title")).isNotNull()).select(
+        "title",
+        F.coalesce(K.arxiv_id_from_url(page), K.arxiv_id_from_doi(bare)).alias("arxiv_id"),
+        bare.alias("doi"),
+        F.col("id").alias("openalex_id"),
+        F.array_join(named, ", ").alias("authors"),
+        institutions(F.col("authorships")).alias("affiliations"),
+        F.coalesce(name(place), K.present(F.col("primary_location.source.display_name"))).alias("venue"),
+        F.year(date).alias("year"),
+        date.alias("publication_date"),
+        F.coalesce(page, F.concat(F.lit("https://doi.org/"), bare)).alias("url"),
+        F.coalesce(K.present(F.col("primary_location.pdf_url")), K.present(place["pdf_url"])).alias("pdf_url"),
+        K.present(text_from_inverted_index(F.col("abstract_inverted_index"))).alias("abstract"),
+        F.lit("openalex_fulltext").alias("source"),
+    )
+
+
+#: The entry of a feed, as the XML reader yields it (namespace prefixes left out).
+FEED_ENTRY = "id string, author array<struct<name string, affiliation array<string>>>, category array<struct<_term string>>, journal_ref string, comment string"
+
+
+def feed_to_papers(entries: DataFrame) -> DataFrame:
+    """Entries (``FEED_ENTRY``) as arxiv_id, authors, sorted distinct affiliations, categories, journal_ref and comment; entries without id go."""
+    some = lambda c: F.filter(c, lambda x: x.isNotNull())
+    places = some(F.flatten(F.transform("author", lambda a: F.transform(F.coalesce(a["affiliation"], F.array().cast("array<string>")), K.present))))
+    return entries.where(K.present(F.col("id")).isNotNull()).select(
+        K.normalize_arxiv_id(F.trim("id")).alias("arxiv_id"),
+        F.array_join(some(F.transform("author", lambda a: K.present(a["name"]))), ", ").alias("authors"),
+        F.array_join(F.array_sort(F.array_distinct(places)), ", ").alias("affiliations"),
+        some(F.transform("category", lambda c: K.present(c["_term"]))).alias("categories"),
+        K.present(F.col("journal_ref")).alias("journal_ref"),
+        K.present(F.col("comment")).alias("comment"),
+    )
+
+
+def feed_from_xml(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """Feed pages (one XML text a row) to papers; pages that don't parse yield none."""
+    prefixed = F.regexp_replace(F.col(xml), r"(</?)(?:arxiv|atom):", "$1")
+    parsed = F.from_xml(prefixed, f"entry array<struct<{FEED_ENTRY}>>")
+    return feed_to_papers(pages.select(F.inline(parsed["entry"])))
+
+
+#: The message of a registry record.
+REGISTRY = "struct<DOI:string,`container-title`:array<string>,event:struct<name:string>,publisher:string,type:string,author:array<struct<affiliation:array<struct<name:string>>>>,link:array<struct<URL:string,`content-type`:string>>>"
+
+
+def registry_to_signals(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Registry records (JSON text) as doi, venue (container title, else event), publisher, type, sorted distinct affiliations and the link of a PDF; records without a message go."""
+    m = F.from_json(F.col(body), f"struct<message:{REGISTRY}>")["message"]
+    rows = raw.select(m.alias("m")).where("m is not null")
+    names = F.flatten(F.transform("m.author", lambda a: F.transform(F.coalesce(a["affiliation"], F.array().cast("array<struct<name:string>>")), lambda x: K.present(x["name"]))))
+    pdf = F.get(F.filter("m.link", lambda x: F.contains(x["content-type"], F.lit("pdf"))), F.lit(0))["URL"]
+    return rows.select(
+        F.col("m.DOI").alias("doi"),
+        F.coalesce(K.present(F.get("m.`container-title`", F.lit(0))), K.present(F.col("m.event.name"))).alias("venue"),
+        F.col("m.publisher").alias("publisher"),
+        F.col("m.type").alias("type"),
+        F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))), ", ").alias("affiliations"),
+        pdf.alias("pdf_url"),
+    )

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from refcatalog.functions import evidence, keys, venues
 from refcatalog.operators.similar import _lcs, dedup, similar_pairs
-from refcatalog.plans import catalogue
+from refcatalog.plans import catalogue, curated
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLE = catalogue.queries() | curated.queries(), catalogue.oracle_sql() | curated.oracle_sql()
 
 
 def _rows(frame, columns):
@@ -18,12 +19,12 @@ def _rows(frame, columns):
     return sorted(tuple(map(plain, r)) for r in frame[columns].astype(object).values.tolist())
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         db.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    got, want = catalogue.queries()[name](spark, SF).toPandas(), db.sql(catalogue.oracle_sql()[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), db.sql(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
     assert _rows(got, columns) == _rows(want, columns)
