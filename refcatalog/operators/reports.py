@@ -41,3 +41,14 @@ def best_caption(pages: DataFrame, key: str) -> DataFrame:
     """Of each document the best caption with a score above 0; the earliest page of equals, by partial maxima."""
     best = pages.where("score > 0").groupBy(key).agg(F.max(F.struct(F.col("score"), (-F.col("page_num")).alias("p"), (-F.col("ord")).alias("o"), F.col("caption"))).alias("b"))
     return best.select(key, F.col("b.caption").alias("caption"), (-F.col("b.p")).alias("page_num"), F.col("b.score").alias("score"))
+
+
+def run_metrics(found: DataFrame, state: DataFrame, sources: list[str]) -> DataFrame:
+    """One row: ``<source>_found`` of the found rows, and of the merged state (added, changed, image) its total, new, updated and existing rows and its thumbnails; one pass, partial sums only."""
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    none = F.lit(None).cast("boolean")
+    a = found.select("source", none.alias("added"), none.alias("changed"), none.alias("pictured"))
+    b = state.select(F.lit(None).cast("string").alias("source"), flag(F.col("added")).alias("added"), flag(F.col("changed")).alias("changed"), flag(F.col("image") != "").alias("pictured"))
+    added, changed, pictured = F.col("added"), F.col("changed"), F.col("pictured")
+    counts = {"total": added.isNotNull(), "new": added, "updated": changed & ~added, "existing": ~added, "thumbnails": pictured, "thumbnails_missing": ~pictured}
+    return a.unionByName(b).agg(*(F.count_if(F.col("source") == s).alias(f"{s}_found") for s in sources), *(F.count_if(c).alias(n) for n, c in counts.items()))

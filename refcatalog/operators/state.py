@@ -223,6 +223,21 @@ def write_state(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+# The public fields of a repo.
+PUBLIC_REPO = "owner repo url description stars forks last_commit language linked_paper_url is_course is_fork parent_full_name".split()
+
+
+def public_repos(repos: DataFrame) -> DataFrame:
+    """The public fields of repos; ``is_course`` follows from ``repo_type`` and is false where that is missing. Fields not landed are null."""
+    made = {"is_course": F.coalesce(F.col("repo_type") == "course", F.lit(False)), "last_commit": F.col("last_commit").cast("string")}
+    return repos.select(*((made[c] if c in made else F.col(c) if c in repos.columns else F.lit(None).cast("string")).alias(c) for c in PUBLIC_REPO))
+
+
+def write_repo_state(repos: DataFrame, path: str) -> None:
+    """All repos with every field as parquet; ``path`` must not be the one they are read from."""
+    repos.write.mode("overwrite").parquet(path)
+
+
 def trace(state: DataFrame, texts: DataFrame, keywords: list[str], key: str = "seq") -> DataFrame:
     """(key, section, name, value): per record its ids, tier, text length, hits of each keyword in text and abstract, and the verdict held. Absent texts have length 0."""
     both = state.join(texts.select(key, F.col("text").alias("__text")), key, "left")

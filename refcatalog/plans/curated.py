@@ -11,6 +11,7 @@ from ..functions import keys as K
 from ..functions import readme as R
 from ..operators import enrich as N
 from ..operators import entities as M
+from ..operators import reports as P
 from ..operators import state as S
 from ..operators.similar import dedup
 from ..sources import landed as L
@@ -218,6 +219,22 @@ def record_traces(spark, sf_dir):
     return S.trace(p, texts, ["ation", "ing"]).where("section in ('text', 'abstract')")
 
 
+@_query(_with("repo", """select owner, repo, owner || '/' || repo as url, description, stars, cast(null as varchar) as forks, '2025-01-02' as last_commit, cast(null as varchar) as language, linked_paper_url,
+ seq % 5 = 0 as is_course, seq % 2 = 0 as is_fork, parent_full_name from repo"""))
+def public_repo_rows(spark, sf_dir):
+    r, s = shape(spark, sf_dir, "repo"), F.col("seq")
+    kind = F.when(s % 5 == 0, "course").when(s % 5 == 1, "research")
+    return S.public_repos(r.withColumns({"url": F.concat_ws("/", "owner", "repo"), "last_commit": F.to_date(F.lit("2025-01-02")), "repo_type": kind, "is_fork": s % 2 == 0}))
+
+
+@_query(_with("paper", """select count(*) filter (where source = 's2_citation') as s2_citation_found, count(*) filter (where source = 'scholar') as scholar_found, count(*) as total, count(*) filter (where seq % 5 = 0) as new,
+ count(*) filter (where seq % 3 = 0 and seq % 5 <> 0) as updated, count(*) filter (where seq % 5 <> 0) as existing, count(*) filter (where seq % 4 = 0) as thumbnails, count(*) filter (where seq % 4 <> 0) as thumbnails_missing from paper"""))
+def run_metrics_row(spark, sf_dir):
+    p, s = shape(spark, sf_dir, "paper"), F.col("seq")
+    state = p.select((s % 5 == 0).alias("added"), (s % 3 == 0).alias("changed"), F.when(s % 4 == 0, "a.png").when(s % 4 == 1, "").alias("image"))
+    return P.run_metrics(p, state, ["s2_citation", "scholar"])
+
+
 def discover(sources: list[tuple[int, DataFrame]], least_year: int, excluded: list[str]) -> DataFrame:
     """Unique papers of all sources: union in order of rank, year and title filters, resolution, gaps filled within each cluster."""
     rows = M.exclude(M.min_year(M.union_sources(*sources), least_year), "title", excluded)
