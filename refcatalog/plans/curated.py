@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import affiliations as A
+from ..functions import evidence as E
 from ..functions import figures as G
 from ..functions import keys as K
 from ..functions import readme as R
+from ..operators import decisions as D
 from ..operators import enrich as N
 from ..operators import entities as M
 from ..operators import reports as P
@@ -255,6 +257,86 @@ def merged_papers(spark, sf_dir):
     shifted = new.withColumn("seq", F.col("seq") + 10**12)
     return S.merge_papers(old, shifted, DIM)[0].select("seq", "title", "venue", "changed", "added")
 
+_ROUTES = """, o as (select *, seq % 23 = 0 as kept, seq % 5 <> 0 as done, substring(sha256(coalesce(description, '') || '::2025-01-02::False'), 1, 16) as h from repo where seq % 10 <> 0),
+n as (select *, substring(sha256(coalesce(description, '') || case when seq % 7 = 0 then '::2025-01-03::False' else '::2025-01-02::False' end), 1, 16) as h from repo),
+r as (select n.*, o.stars as was, case when o.seq is null then 'new' when o.kept then 'protected' when o.h <> n.h then 'reprocess' when not o.done then 'fill_gaps' else 'skip' end as route from n left join o on n.owner = o.owner and n.repo = o.repo)
+"""
+
+
+@_query(_with("repo", _ROUTES + """select seq, route, case when route in ('skip', 'protected') then was else stars + 1 end as stars, case route when 'fill_gaps' then 'filled' when 'skip' then 'held' when 'protected' then 'held' end as category from r"""))
+def processed_repos(spark, sf_dir):
+    r, s, none = shape(spark, sf_dir, "repo"), F.col("seq"), F.lit(None).cast("string")
+    r = r.withColumns({"archived": F.lit(False), "last_commit": F.lit("2025-01-02")})
+    hashed = lambda df: df.withColumn("content_hash", K.repo_hash(F.col("description"), F.col("last_commit"), F.col("archived")))
+    old = hashed(r).where(s % 10 != 0).withColumns({"manual_override": s % 23 == 0, "has_classification": s % 5 != 0, "category": F.lit("held")})
+    new = hashed(r.withColumns({"last_commit": F.when(s % 7 == 0, "2025-01-03").otherwise(F.col("last_commit")), "stars": F.col("stars") + 1})).withColumns({"has_classification": F.lit(False), "category": none})
+    return D.process_repos(D.route_repos(new, old), F.lit("filled")).select("seq", "route", "stars", "category")
+
+
+@_query(_with("repo", """select seq, seq % 5 = 0 and seq % 23 <> 0 and linked_paper_url is not null as cleared, case when seq % 5 <> 0 or seq % 23 = 0 then linked_paper_url end as linked_paper_url,
+ case when seq % 5 <> 0 or seq % 23 = 0 then linked_paper_tier end as linked_paper_tier from repo"""))
+def course_links(spark, sf_dir):
+    s = F.col("seq")
+    r = shape(spark, sf_dir, "repo").withColumns({"repo_type": F.when(s % 5 == 0, "course").when(s % 5 == 1, "research"), "manual_override": s % 23 == 0})
+    return D.unlink_courses(r).select("seq", "cleared", "linked_paper_url", "linked_paper_tier")
+
+
+@_query(_with("paper", """, h as (select k, max(seq) as seq from (select 'a' || arxiv_id as k, seq from paper where arxiv_id is not null union all select 'd' || doi, seq from paper where doi is not null) group by 1),
+n as (select coalesce('a' || arxiv_id, 'd' || doi) as k, min(seq) as m from paper where seq % 2 = 0 and (arxiv_id is not null or doi is not null) group by 1),
+u as (select h.seq, min(m) as m from h join n using (k) group by 1)
+select p.seq, p.venue as old_venue, 'ICML ' || cast(m as varchar) as venue from u join paper p on p.seq = u.seq where p.venue is null or p.seq % 6 in (0, 2, 3, 5)"""))
+def venue_upgrade_rows(spark, sf_dir):
+    p, s = shape(spark, sf_dir, "paper"), F.col("seq")
+    new = p.where(s % 2 == 0).withColumn("venue", F.concat(F.lit("ICML "), s))
+    return D.venue_upgrades(new, p, DIM).select("seq", "old_venue", "venue")
+
+
+_IDS = """select '2407.00003v2' as id union all select 'https://arxiv.org/abs/2407.00006' union all select '10.18653/v1/2025.acl-long.10' union all select 'https://x.org/7' union all select '10.1/none' union all select 'http://x.org/none'"""
+
+
+@_query(_with("paper", f""", i as ({_IDS}), k as (select id, case id when '2407.00003v2' then '2407.00003' when 'https://arxiv.org/abs/2407.00006' then '2407.00006' end as a from i)
+select id, seq from k left join paper on arxiv_id = a or doi = id or 'https://x.org/' || cast(seq as varchar) = id"""))
+def found_ids(spark, sf_dir):
+    p = shape(spark, sf_dir, "paper").withColumn("url", F.concat(F.lit("https://x.org/"), F.col("seq")))
+    ids = spark.sql(_IDS)
+    return D.find(p, ids).unionByName(D.missing_ids(p, ids), allowMissingColumns=True)
+
+
+@_query("""
+select doc_id, case when gone then 'discarded' else 'pending' end as bucket, case when gone then 'zero_pdf_hits' end as reason, case when gone then 'Extracted ' || cast(length(text) as varchar) || ' chars; 0 matches for any of [stupid, license].' end as reason_detail
+from (select *, coalesce(length(text) >= 1000 and not contains(lower(text), 'stupid') and not contains(lower(text), 'license'), false) as gone from documents)""")
+def zero_hit_discards(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents").withColumns({"bucket": F.lit("pending"), "reason": none, "reason_detail": none})
+    return D.discard_zero_hits(d, ["stupid", "license"]).select("doc_id", "bucket", "reason", "reason_detail")
+
+
+_EVIDENCE = """case doc_id % 6 when 0 then 'We used GridTool to run all. ' when 1 then 'We removed gridtool. ' when 5 then 'We thank gridtool for help. ' else '' end || case when doc_id % 6 = 4 then '' else substring(coalesce(text, ''), 1, 300) end"""
+
+
+@_query("""
+select doc_id, case doc_id % 6 when 0 then 'uses' when 1 then 'referencing' when 2 then 'other' when 5 then 'referencing' else 'unclassified' end as category,
+ case doc_id % 6 when 0 then 'low' when 1 then 'certain' when 2 then 'low' when 5 then 'medium' else 'none' end as band,
+ case doc_id % 6 when 3 then 'no_keywords_anywhere' when 4 then 'no_evidence_extractable' end as unclassified_reason, cast(case when doc_id % 6 in (0, 2) then 1 else 0 end as int) as windows from documents""")
+def evidence_classes(spark, sf_dir):
+    i = F.col("doc_id")
+    abstract = F.when(i % 6 == 2, "Mentions GRIDTOOL only").when(i % 6 == 3, "nothing of it")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_EVIDENCE).alias("text"), abstract.alias("abstract"), F.lit(None).cast("int").alias("linked_paper_tier"))
+    out = D.classify(d, ["gridtool"], "(?i:gridtool)", lambda t: E.first_label(t, [("uses", ["used gridtool"])], "other"))
+    return out.select("doc_id", "category", "band", "unclassified_reason", "windows")
+
+
+_FIGURES = """'Figure in the intro' || chr(10) || 'figure ' || cast(1 + doc_id % 4 as string) || ': attention  ' || chr(10) || 'as Figure 9: said' || chr(10) || case when doc_id % 2 = 0 then 'Fig. ' || cast(doc_id % 7 as string) || ' a pipeline' || chr(10) else '' end || substring(coalesce(text, ''), 1, 200)"""
+
+
+@_query(f"""
+with c as (select doc_id, unnest(regexp_extract_all({_FIGURES}, '{D.CAPTION}', 1)) as c from documents)
+select doc_id, cast(regexp_extract(c, '{D.CAPTION_NUMBER}', 1) as int) as figure_num, regexp_replace(c, '^\\s+|\\s+$', '', 'g') as caption from c""")
+def figure_captions(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_num"), F.expr(_FIGURES).alias("text"))
+    return D.captions(pages, "doc_id").select("doc_id", "figure_num", "caption")
+
+
 
 def queries() -> dict:
     return {name: f for name, (f, _) in _CASES.items()}

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refcatalog.functions import affiliations, readme
-from refcatalog.operators import state
+from refcatalog.operators import decisions, state
 from refcatalog.plans.catalogue import DIM
 from refcatalog.sources import landed
 
@@ -67,3 +67,20 @@ def test_affiliations_of_a_footnote_and_of_nothing(spark):
     rows = spark.createDataFrame([(text, "Ann Bee"), ("", ""), (None, None), ("Ann Bee\nAbstract", "Ann Bee")], "t string, a string")
     got = [r[0] for r in rows.select(affiliations.affiliations(F.col("t"), F.col("a"))).collect()]
     assert got == [["University of One", "Institute of Twofold Things"], [], [], []]
+
+
+def test_repo_routes_keep_the_last_old_row_and_pass_it_through(spark):
+    schema = "seq long, owner string, repo string, description string, last_commit string, archived boolean, content_hash string, manual_override boolean, has_classification boolean, category string"
+    row = lambda seq, name, h, kept=False, done=True, category="c": (seq, "o", name, "d", "2025", False, h, kept, done, category)
+    old = spark.createDataFrame([row(1, "a", "h"), row(2, "a", "x"), row(3, "b", "h", True), row(4, "c", "h", False, False), row(5, "e", "h")], schema)
+    new = spark.createDataFrame([row(10, n, "h", category=None, done=False) for n in "abcDe"], schema)
+    met = decisions.route_repos(new, old)
+    assert {r["repo"]: r["route"] for r in met.collect()} == {"a": "reprocess", "b": "protected", "c": "fill_gaps", "D": "new", "e": "skip"}
+    got = {r["repo"]: (r["seq"], r["category"], r["content_hash"] == "h") for r in decisions.process_repos(met, F.lit("made")).collect()}
+    assert got == {"a": (10, None, False), "b": (3, "c", True), "c": (10, "made", False), "D": (10, None, False), "e": (5, "c", True)}
+
+
+def test_captions_of_odd_pages(spark):
+    pages = spark.createDataFrame([(1, 0, "FIG 2 steering\nsee Figure 3: no\nFigure 12.\nFig. x\nFigure 1: " + "a" * 200), (2, 0, ""), (3, 0, None)], "seq long, page_num int, text string")
+    got = {(r["seq"], r["ord"]): (r["figure_num"], len(r["caption"])) for r in decisions.captions(pages, "seq").collect()}
+    assert got[1, 0] == (2, 14) and got[1, 1][0] == 12 and {k[0] for k in got} == {1}
