@@ -120,24 +120,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Dictionaries from one half of the distinct labelled texts, the curve from the other."""
+def _trained(texts: list[str], size: int) -> bytes:
+    """A dictionary of ``size`` bytes at most, trained by the library on at most 40,000 windows of ``texts``."""
     import zstandard as zstd
 
+    pieces = [w for t in texts for w in windows(t)]
+    random.Random(7).shuffle(pieces)
+    pieces = pieces[:40_000]
+    try:
+        return zstd.train_dictionary(size + 2048, pieces).as_bytes()[-size:]
+    except zstd.ZstdError:  # too little text to train on
+        return b" ".join(pieces)[-size:]
+
+
+def fit(rows: list[tuple[str, int]], separate: bool = False) -> Model:
+    """Dictionaries from one half of the distinct labelled texts, the curve from the other.
+
+    ``separate`` trains one dictionary on toxic and one on ordinary windows instead
+    of a shared base with typical words; the README compares the two.
+    """
     rows = list(dict.fromkeys(rows))
     toxic, plain = [t for t, y in rows if y], [t for t, y in rows if not y]
     if len(toxic) < 8 or len(plain) < 8:
         return Model(b"", b"", [], [], len(toxic) / len(rows) if rows else 0.0)
     learn_t, learn_p = toxic[::2] + toxic[1::4], plain[::2]
     held = [(t, 1) for t in toxic[3::4]] + [(t, 0) for t in plain[1::2]]
-    pieces = [w for t in learn_p for w in windows(t)]
-    random.Random(7).shuffle(pieces)
-    pieces = pieces[:40_000]
-    try:
-        base = zstd.train_dictionary(BASE_BYTES + 2048, pieces).as_bytes()[-BASE_BYTES:]
-    except zstd.ZstdError:  # too little text to train on
-        base = b" ".join(pieces)[-BASE_BYTES:]
-    model = Model(base + typical(learn_t, learn_p, OWN_BYTES), base + typical(learn_p, learn_t, OWN_BYTES, share=0.03), [], [])
+    base = _trained(learn_p, BASE_BYTES)
+    if separate:
+        model = Model(_trained(learn_t, BASE_BYTES), base, [], [])
+    else:
+        model = Model(base + typical(learn_t, learn_p, OWN_BYTES), base + typical(learn_p, learn_t, OWN_BYTES, share=0.03), [], [])
     x, y = np.array([model.features(t) for t, _ in held], float), np.array([c for _, c in held], float)
     model.scale = [(float(m), float(max(s, 1e-6))) for m, s in zip(x.mean(axis=0), x.std(axis=0), strict=True)]
     weight = np.where(y == 1, max(1.0, 0.5 * (y == 0).sum() / max(1, y.sum())), 1.0)

@@ -137,3 +137,19 @@ def test_toxicity_on_held_out_labels(spark):
     place, ones = got.score.rank(), got.toxic.sum()
     assert (place[got.toxic == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(got) - ones)) > 0.9  # 0.926 measured; about 300 toxic texts to learn from
     assert (got.score[got.toxic == 0] >= 0.7).mean() < 0.03
+
+
+def test_toxicity_base_with_typical_words_beats_separate_dictionaries(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    rows = toxicity.training_rows(docs, labels.where(~held), "doc_id", "text", "toxic")
+    known = labels.where(held).select("doc_id", "toxic")
+    found = docs.select("doc_id", "text").join(known, "doc_id").toPandas()
+
+    def auc(model):
+        place = pd.Series([model.score(t) for t in found.text]).rank()
+        ones = found.toxic.sum()
+        return (place[found.toxic == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(found) - ones))
+
+    apart, own = toxicity.fit(rows, separate=True), toxicity.fit(rows)
+    assert apart.toxic != apart.ordinary and auc(apart) < auc(own)
