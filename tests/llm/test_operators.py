@@ -153,3 +153,47 @@ def test_toxicity_base_with_typical_words_beats_separate_dictionaries(spark):
 
     apart, own = toxicity.fit(rows, separate=True), toxicity.fit(rows)
     assert apart.toxic != apart.ordinary and auc(apart) < auc(own)
+
+
+def test_secret_field_decodes_whole_sequences():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    plain = lambda n: " ".join("".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) for _ in range(n))
+    keyed = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    field = secrets.fit([f'{plain(30)} token = "{keyed()}" {plain(30)}' for _ in range(150)] + [plain(60) for _ in range(200)])
+    texts = ["deploy key 550e8400-e29b-41d4-a716-446655440000 here now", "bearer aB3/xYz+9Qw/12Er+tyUIop/asDfgh12Kq", "login with password=correcthors please do it", plain(200)]
+    got = secrets.find(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), field)
+    assert ["".join(t[a:b] for a, b, _ in x) for t, x in zip(texts, got, strict=True)] == ["550e8400-e29b-41d4-a716-446655440000", texts[1][7:], "correcthors", ""]
+
+
+def test_secret_decoding_equals_viterbi_over_all_tokens():
+    import pyarrow as pa
+
+    from refcatalog.llm.arrays import utf8
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("ab1_Z"), rng.integers(1, 9))) for _ in range(rng.integers(0, 40))) for _ in range(60)]
+    data, offsets = utf8(pa.array(texts, pa.large_string()))
+    t = secrets.tokens(data, offsets)
+    for scale in (0.3, 1.0, 3.0):
+        field = secrets.Field(rng.normal(size=(secrets.SLOTS * secrets.BINS, 3)) * scale + [0.2, 0, 0], rng.normal(size=(3, 3)), rng.normal(size=3))
+        u, step, want = field.unary[secrets.features(t, np.arange(len(t.starts)))].sum(axis=1), field.step + secrets._BLOCKED, []
+        for lo, hi in zip(t.firsts[:-1], t.firsts[1:], strict=True):
+            if lo == hi:
+                continue
+            best, back = u[lo] + field.first + secrets._START, []
+            for i in range(lo + 1, hi):
+                back.append((best[:, None] + step).argmax(axis=0))
+                best = (best[:, None] + step).max(axis=0) + u[i]
+            tags = [int(best.argmax())]
+            for prior in reversed(back):
+                tags.append(int(prior[tags[-1]]))
+            tags = [*reversed(tags), 0]
+            for i, g in enumerate(tags):
+                if g == 1:
+                    j = i
+                    while tags[j + 1] == 2:
+                        j += 1
+                    want.append((int(lo + i), int(lo + j)))
+        assert sorted(secrets.decode(t, field)) == want and want
