@@ -197,3 +197,45 @@ def test_secret_decoding_equals_viterbi_over_all_tokens():
                         j += 1
                     want.append((int(lo + i), int(lo + j)))
         assert sorted(secrets.decode(t, field)) == want and want
+
+
+def test_near_duplicates_equal_brute_force_over_hot_buckets(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = [words[k] for k in rng.integers(0, 400, 120)]
+        for _ in range(6):
+            copy = list(base)
+            for k in rng.integers(0, 120, rng.integers(0, 5)):
+                copy[k] = words[rng.integers(0, 400)]
+            texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    leader = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and leader[a] != leader[b]:
+                low, high = sorted((leader[a], leader[b]))
+                leader = [low if x == high else x for x in leader]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.groups(frame, k=4, percent=80).collect()}
+    assert got == dict(enumerate(leader)) and 12 < len(set(leader)) < len(texts)
+
+
+def test_pipeline_stages_in_plain_python(spark):
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(9)
+    words = [f"v{i}" for i in range(300)]
+    body = lambda n: " ".join(words[k] for k in rng.integers(0, 300, n))
+    first, passage = body(60), body(12)
+    texts = [first, first, body(60), f"{body(40)} {passage} {body(40)}", passage, f"{body(30)} password = abcdef0123456789 {body(30)}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    one = {r["doc_id"]: r["text"] for r in pipeline.dedup_stage(spark, docs, None).collect()}
+    assert one == {i: t for i, t in enumerate(texts) if i != 1}
+    cleaned = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"), max_coverage=0.5, window=10).collect()}
+    assert sorted(cleaned) == [0, 1, 2, 3, 5] and passage not in cleaned[3] and cleaned[0] == first
+    masked = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.secrets_stage(spark, docs, None).collect()}
+    assert "abcdef0123456789" not in masked[5][0] and masked[5][1] == len(masked[5][0]) and masked[2] == (texts[2], len(texts[2]))
+    packed = pipeline.packing_stage(spark, docs, None).toPandas()
+    assert set(packed.doc_id) == set(range(6)) and (packed.groupby("sequence_id").length.sum() <= 2048).all()
