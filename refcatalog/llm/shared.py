@@ -13,11 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset a temporary one on a local master (tests), and an error on a cluster."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -36,3 +38,11 @@ def cut(df: DataFrame, sort_by: list[str] | None = None) -> DataFrame:
 def partitions(df: DataFrame) -> int:
     """Shuffle width of the session, for explicit repartitioning."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the next longer one that no column of ``df`` has (names don't differ by case)."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
