@@ -23,10 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id; rows without an id stay."""
-    groups = near_dup.groups(docs, k=5, percent=80)
-    gone = cut(groups.where("not kept").select("doc_id"))
-    return docs.hint("shuffle_merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group, that of the smallest id; repeated rows count as copies. Rows without an id or without words stay."""
+    return near_dup.keep(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
