@@ -322,13 +322,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5,
     """``docs`` (doc_id, text and other columns) with benchmark spans cut out of the texts; rows with more than ``max_coverage`` hit words go.
 
     ``n_chars``, where there is such a column, follows the shortened texts.
-    Other rows and columns pass unchanged; see ``scan`` for the edge cases.
+    Other rows and columns pass unchanged, whatever the columns' names; null and
+    empty texts and repeated rows stay, an empty table gives an empty one, and
+    without items nothing goes. See ``scan`` for the rest.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = scan(docs, items, window=window, carry=others, remove=True)
+    # Carried under numbers, so that a column of the documents may have any name.
+    numbered = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"carried{i}") for i, c in enumerate(others)))
+    found = scan(numbered, items, window=window, carry=tuple(f"carried{i}" for i in range(len(others))), remove=True)
     kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")))
-    chars = F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
-    return kept.select(*(chars.alias(c) if c == "n_chars" else c for c in docs.columns))
+    values = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"carried{i}") for i, c in enumerate(others)}
+    if "n_chars" in others:
+        values["n_chars"] = F.when(F.col("n_hit") > 0, F.length("text")).otherwise(values["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(values[c].alias(c) for c in docs.columns))
 
 
 def _without(raw: bytes, spans: list[tuple[int, int]]) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NON_SPACE, mix, slices, utf8, word_hashes, words
-from .shared import cut
+from .shared import cut, unused
 
 #: Labelled rows used for training at most (smallest id hashes), rounds, and pseudo-labels of each class that a view gives in a round.
 LABELLED_ROWS, ROUNDS, PSEUDO = 8000, 3, 300
@@ -170,8 +170,9 @@ def train(encoded: DataFrame, labels: DataFrame, doc_id: str, label: str, meta_c
     """Co-training over ``encoded``; only bounded numbers of labelled and pseudo-labelled rows reach the driver."""
     known = labels.where(f"`{label}` in (0, 1) and `{doc_id}` is not null").groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
-    got = encoded.join(F.broadcast(some), "doc_id").select("a", "b", "y").distinct().collect()
-    got = sorted((bytes(r["a"]), bytes(r["b"]), r["y"]) for r in got)
+    # A labelled id may come with many texts: their number is bounded as well.
+    met = encoded.join(F.broadcast(some), "doc_id").select("a", "b", "y").distinct().orderBy(F.xxhash64("a", "b", "y")).limit(LABELLED_ROWS)
+    got = sorted((bytes(r["a"]), bytes(r["b"]), r["y"]) for r in met.collect())
     arrays = lambda x: [np.frombuffer(v, "<u2") for v in x]
     y = np.array([g[2] for g in got], float)
     if min((y == 1).sum(), (y == 0).sum()) < 8:
@@ -181,17 +182,21 @@ def train(encoded: DataFrame, labels: DataFrame, doc_id: str, label: str, meta_c
     pick = lambda x, m: [v for v, k in zip(x, m, strict=True) if k]
     learn_a, learn_b = (pick(a, ~held), y[~held]), (pick(b, ~held), y[~held])
     model = Model(fit_view(*learn_a, TEXT_BINS), fit_view(*learn_b, META_BINS), [0, 0, 0], None, meta_columns)
-    free = encoded.join(known.hint("shuffle_hash"), "doc_id", "left_anti").select("doc_id", "a", "b")
-    # Equal documents would all be equally sure: one of each is enough.
-    pool = cut(free.groupBy(F.xxhash64("a", "b").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").join(free.hint("shuffle_hash"), "doc_id"))
+    free = encoded.join(known.hint("shuffle_hash"), "doc_id", "left_anti").select("a", "b")
+    # Equal documents would all be equally sure: one of each is enough, named by the hash of its views.
+    pool = cut(free.groupBy(F.xxhash64("a", "b").alias("doc_id")).agg(F.min(F.struct("a", "b")).alias("x")).select("doc_id", "x.a", "x.b"))
+    gone: set[int] = set()  # at most 4 * pseudo a round: nothing is taught twice
     for _ in range(rounds):
-        sure = cut(_margins(pool, model))
+        left = pool.where(~F.col("doc_id").isin(*sorted(gone))) if gone else pool
+        sure = cut(_margins(left, model))
         taught: dict[str, list] = {"za": [], "zb": []}
         for by in taught:
             for up, cls in ((True, 1), (False, 0)):
                 order = F.desc(by) if up else F.asc(by)
                 rows = sure.where(F.col(by) > 0 if up else F.col(by) < 0).orderBy(order, "doc_id").limit(pseudo).select("doc_id")
-                taught[by] += [(bytes(r["a"]), bytes(r["b"]), cls) for r in pool.join(F.broadcast(rows), "doc_id").select("a", "b").collect()]
+                surest = pool.join(F.broadcast(rows), "doc_id").select("doc_id", "a", "b").collect()
+                taught[by] += [(bytes(r["a"]), bytes(r["b"]), cls) for r in surest]
+                gone |= {r["doc_id"] for r in surest}
         # Each view learns what the other one is sure of.
         extra_a, extra_b = sorted(taught["zb"]), sorted(taught["za"])
         learn_a = (learn_a[0] + arrays([x[0] for x in extra_a]), np.append(learn_a[1], [x[2] for x in extra_a]))
@@ -246,17 +251,23 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def keep(docs: DataFrame, labels: DataFrame, meta_columns: tuple[str, ...] = _META) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and other columns) that ``score`` keeps, unchanged; they are scored where they lie, without a join."""
+    """The rows of ``docs`` (doc_id, text and other columns) that ``score`` keeps, unchanged; they are scored where they lie, without a join.
+
+    Repeated rows get one score and stay or go together; null and empty texts are
+    scored like others; columns may have any names; ties at ``KEEP`` stay; an empty
+    table gives an empty one, and without labels everything stays.
+    """
     encoded, there = _prepared(docs, "doc_id", "text", meta_columns)
     held = docs.sparkSession.sparkContext.broadcast(train(cut(encoded), labels, "doc_id", "quality", there))
     names = docs.columns
-    wide = docs.select(*names, *((_length(docs, c) if c == "n_chars" else F.col(c)).cast("string").alias(f"__meta{i}") for i, c in enumerate(there)))
+    extra = [unused(docs, f"meta{i}") for i in range(len(there))]
+    wide = docs.select(*(F.col(f"`{c}`") for c in names), *((_length(docs, c) if c == "n_chars" else F.col(c)).cast("string").alias(m) for c, m in zip(there, extra, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets, layout = text_view(*utf8(part.column("text")))
-                meta = meta_view(layout, [part.column(f"__meta{i}").to_pylist() for i in range(len(there))])
+                meta = meta_view(layout, [part.column(m).to_pylist() for m in extra])
                 both = _chances(held.value, sets, list(meta))[2]
                 yield part.filter(pa.array(both >= KEEP)).select(names)
 
