@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Training rows taken at most of each class (those of the smallest id hash), and bytes of a training text at most.
-TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES = 2000, 4000, 200_000
+#: Bounds of the labelled rows that a model is fitted on: rows of each class (those of the smallest hash), bytes of each text, and windows that the library trains a dictionary on.
+TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES, TRAINED_WINDOWS = 2000, 4000, 50_000, 40_000
 WINDOW_WORDS = 8
 LEVEL = 6
 BASE_BYTES, OWN_BYTES = 14_000, 2_000
@@ -121,12 +121,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def _trained(texts: list[str], size: int) -> bytes:
-    """A dictionary of ``size`` bytes at most, trained by the library on at most 40,000 windows of ``texts``."""
+    """A dictionary of ``size`` bytes at most, trained by the library on at most ``TRAINED_WINDOWS`` windows of ``texts``, drawn by chance."""
     import zstandard as zstd
 
     pieces = [w for t in texts for w in windows(t)]
     random.Random(7).shuffle(pieces)
-    pieces = pieces[:40_000]
+    pieces = pieces[:TRAINED_WINDOWS]
     try:
         return zstd.train_dictionary(size + 2048, pieces).as_bytes()[-size:]
     except zstd.ZstdError:  # too little text to train on
@@ -157,14 +157,22 @@ def fit(rows: list[tuple[str, int]], separate: bool = False) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts: at most the module's numbers of rows of each class, by the hash of their id."""
-    known = labels.where(f"`{label}` in (0, 1) and `{doc_id}` is not null").groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("y"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = known.where("y = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(known.where("y = 0").orderBy(*order).limit(ORDINARY_ROWS))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text").between(1, ROW_BYTES)).join(F.broadcast(some), "doc_id")
-    got = sorted((r["doc_id"], r["text"], int(r["y"])) for r in rows.collect())
-    return [(t, y) for _, t, y in got[: 2 * (TOXIC_ROWS + ORDINARY_ROWS)]]
+def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, row_bytes: int = ROW_BYTES) -> list[tuple[str, int]]:
+    """A bounded sample of distinct labelled texts: at most these numbers of rows of each class, by hash, of at most ``row_bytes`` each.
+
+    Only fitting is bounded so; scoring reads every text whole. Null ids and labels
+    other than 0 and 1 don't count, of several labels of a document the largest
+    does, null and empty texts teach nothing, and empty tables give no rows.
+    """
+    known = labels.where(f"`{label}` in (0, 1) and `{doc_id}` is not null").groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text").between(1, row_bytes))
+    order, out = [F.xxhash64("doc_id"), F.col("doc_id")], []
+    for y, most in ((1, toxic_rows), (0, ordinary_rows)):
+        some = known.where(F.col("y") == y).orderBy(*order).limit(most)
+        # An id may come with many texts: the joined rows are bounded, too.
+        met = rows.join(F.broadcast(some), "doc_id").select("doc_id", "text").distinct().orderBy(*order, F.xxhash64("text")).limit(most)
+        out += [(r["doc_id"], r["text"], y) for r in met.collect()]
+    return [(t, y) for _, t, y in sorted(out)]
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
