@@ -90,9 +90,62 @@ from judged
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP3_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
+sets as (
+  select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+         else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as shingles
+  from w),
+sizes as (select doc_id, len(shingles) as n from sets),
+each as (select doc_id, unnest(shingles) as shingle from sets),
+met as (
+  select x.doc_id as a, y.doc_id as b, count(*) as both_have
+  from each x join each y on x.shingle = y.shingle and x.doc_id < y.doc_id group by all),
+links as (
+  select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * both_have >= 80 * (x.n + y.n - both_have)),
+ways as (select a, b from links union select b, a from links),
+reach as (select doc_id as node, doc_id as found from documents union select node, b from reach join ways on found = a)
+select s.doc_id, s.n as n_shingles, min(found) as component_id, s.doc_id = min(found) as kept
+from sizes s join reach on node = s.doc_id group by s.doc_id, s.n
+"""
+
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP9_SQL = f"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+i as (select item_id, {_WORDS} as ws from benchmark),
+windows as (
+  select distinct item_id, size, array_to_string(ws[start_at:start_at + size - 1], ' ') as passage
+  from (select *, least(len(ws), 10) as size, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) as start_at from i where len(ws) > 0)),
+met as (
+  select doc_id, start_at, size, array_to_string(ws[start_at:start_at + size - 1], ' ') as passage
+  from (select doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) as start_at from d, (select distinct size from windows) where len(ws) >= size)),
+found as (select doc_id, start_at, m.size, item_id from met m join windows w on m.size = w.size and m.passage = w.passage),
+hits as (select doc_id, count(distinct pos) as n from (select doc_id, unnest(range(start_at, start_at + size)) as pos from found) group by 1),
+items as (select doc_id, list(distinct cast(item_id as varchar)) as ids from found group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n, 0) as n_hit, cast(coalesce(len(ids), 0) as bigint) as n_items,
+       sha256(coalesce(array_to_string(list_sort(ids), ','), '')) as items_sha256, coalesce(n, 0) > 0 as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)
+"""
+
+_OP10_SQL = """
+with whole as (
+  select vec_id, row_number() over () as row_at, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.row_at, q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as score
+  from whole q join whole c on q.row_at <> c.row_at where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by row_at order by score desc, vec_id) as nth from pairs)
+select query_id, cast(nth as int) as "rank", vec_id, cast(score as bigint) as score from ranked where nth <= 5
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_cotraining_quality, op2_compression_toxicity, op3_near_duplicates, op4_url_filter, op5_best_fit_packing, op6_histogram_shards, op7_secret_scan, op8_token_counts, op9_decontamination, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": _OP4_SQL}
+    return {"op3_near_duplicates": _OP3_SQL, "op4_url_filter": _OP4_SQL, "op9_decontamination": _OP9_SQL, "op10_exact_top_k": _OP10_SQL}
