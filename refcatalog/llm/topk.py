@@ -14,8 +14,10 @@ from .shared import cut, partitions
 
 #: Vectors of a candidate block and of a query block.
 BLOCK, QUERIES = 4096, 256
-#: Leading dimensions of the rotated vectors whose sums are taken first, as a share.
-HEAD = 0.25
+#: Leading dimensions of the rotated vectors after which partial sums are held against the bound, as shares.
+HEADS = (0.125, 0.25, 0.5)
+#: Share of a block's pairs that must be left for one product of whole matrices to be cheaper than one per query.
+MANY = 0.25
 
 
 def _clean(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -69,8 +71,14 @@ def _rotation(clean: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(total)[1][:, ::-1]
 
 
-def _blocks(rows: DataFrame, size: int, dim: int) -> DataFrame:
-    """block, norm (largest), ids, rows, m: consecutive rows of a partition, ``size`` to a block, as one matrix each."""
+def _blocks(rows: DataFrame, size: int, dim: int, basis) -> DataFrame:
+    """block, norm (largest), ids, rows, m, turned, tails: consecutive rows of a partition, ``size`` to a block, as one matrix each.
+
+    ``turned`` are the rows in the rotated basis (a broadcast), ``tails`` their
+    lengths beyond each of the ``HEADS``; both are computed once for each row, and
+    held in single precision, which ``left_over`` allows for.
+    """
+    cuts = _heads(dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, n = TaskContext.get().partitionId(), 0
@@ -81,8 +89,11 @@ def _blocks(rows: DataFrame, size: int, dim: int) -> DataFrame:
             t = table.combine_chunks()
             ids, row, norm = (np.asarray(t.column(c)) for c in ("vec_id", "row", "norm"))
             m = _matrix(pa.chunked_array(t.column("v")), dim)
+            turned = m @ basis.value
+            tails = np.stack([np.sqrt((turned[:, h:] ** 2).sum(axis=1)) for h in cuts])
             n += 1
-            return pa.RecordBatch.from_arrays([pa.array([here << 32 | n]), pa.array([float(norm.max())]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([row.astype("<i8").tobytes()], pa.binary()), pa.array([m.astype("<f8").tobytes()], pa.binary())], ["block", "norm", "ids", "rows", "m"])
+            raw = [ids.astype("<i8"), row.astype("<i8"), m.astype("<f8"), turned.astype("<f4"), tails.astype("<f4")]
+            return pa.RecordBatch.from_arrays([pa.array([here << 32 | n]), pa.array([float(norm.max())]), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], ["block", "norm", "ids", "rows", "m", "turned", "tails"])
 
         for b in batches:
             while b.num_rows:
@@ -96,7 +107,11 @@ def _blocks(rows: DataFrame, size: int, dim: int) -> DataFrame:
         if count:
             yield emit(pa.Table.from_batches(held))
 
-    return rows.select("row", "vec_id", "norm", "v").mapInArrow(run, "block long, norm double, ids binary, rows binary, m binary")
+    return rows.select("row", "vec_id", "norm", "v").mapInArrow(run, "block long, norm double, ids binary, rows binary, m binary, turned binary, tails binary")
+
+
+def _heads(dim: int) -> list[int]:
+    return sorted({max(1, int(dim * h)) for h in HEADS})
 
 
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -118,6 +133,20 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
+def left_over(tq: np.ndarray, tv: np.ndarray, rq: np.ndarray, rv: np.ndarray, length: np.ndarray, floor: np.ndarray, reach: float, cuts: list[int]) -> np.ndarray:
+    """Pairs (query, candidate) that can still reach the query's ``floor``, by partial sums up to each of ``cuts`` and the remaining lengths; rounding in single precision is allowed for."""
+    least = floor - 1e-6 - 4e-7 * tq.shape[1] * length * reach
+    fits = np.repeat((length * reach >= least)[:, None], len(tv), axis=1)
+    total, done = np.zeros(fits.shape, np.float32), 0
+    for step, to in enumerate(cuts):
+        if not fits.any():
+            break
+        total += tq[:, done:to] @ tv[:, done:to].T
+        done = to
+        fits &= total + rq[step][:, None] * rv[step][None, :] >= least[:, None]
+    return fits
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the ``k`` best other rows.
 
@@ -129,27 +158,31 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec
     table gives an empty one, and with fewer than ``k`` others all are returned.
 
     Candidates are range-sorted by descending length into blocks. The first
-    block gives each query a lower bound of its k-th score. A pair of blocks is
-    skipped for the queries whose length times the block's largest length stays
-    below that bound, and within a block the sum over the leading rotated
-    dimensions plus the product of the remaining lengths decides which exact
-    products are taken. Bounds only skip what cannot be among the best.
+    block gives each query a lower bound of its k-th score, and so each block of
+    queries the number of candidate blocks whose largest length can still reach
+    it; only these are joined. Within a pair of blocks, sums over more and more
+    leading rotated dimensions plus the product of the remaining lengths decide
+    which pairs are left; their exact products are taken one query at a time, or
+    as one matrix product where most are left. Bounds only skip what cannot be
+    among the best.
     """
     spark = vectors.sparkSession
     clean = cut(_clean(vectors, vec_id, embedding, scale))
     dim = int((clean.agg(F.max(F.octet_length("v"))).first()[0] or 8) // 8) or 1
-    basis = _rotation(clean, dim)
-    head = max(1, int(dim * HEAD))
-    held_basis = spark.sparkContext.broadcast(basis)
+    held_basis = spark.sparkContext.broadcast(_rotation(clean, dim))
 
     sized = clean.repartitionByRange(partitions(vectors), F.desc("norm"), F.col("vec_id"), F.col("row")).sortWithinPartitions(F.desc("norm"), "vec_id", "row")
-    blocks = cut(_blocks(sized, BLOCK, dim))
-    order = Window.orderBy(F.desc("norm"), F.col("block"))  # over one narrow row per 4096 vectors
-    nth = blocks.select("block", F.col("norm").alias("reach"), F.row_number().over(order).alias("nth"))
-    first = blocks.orderBy(F.desc("norm"), "block").limit(1).collect()  # one block: at most BLOCK vectors
+    blocks = cut(_blocks(sized, BLOCK, dim, held_basis))
+    # 16 bytes for each block of 4096 vectors.
+    reach = sorted(((r["norm"], -r["block"]) for r in blocks.select("norm", "block").collect()), reverse=True)
+    if not reach:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    falling = np.array([-n * (1 + 1e-9) - 1e-6 for n, _ in reach])
+    nth = spark.createDataFrame([(-b, i + 1, n) for i, (n, b) in enumerate(reach)], "block long, nth int, reach double")
+    first = blocks.where(F.col("block") == -reach[0][1]).select("ids", "rows", "m").collect()  # one block: at most BLOCK vectors
     held_first = spark.sparkContext.broadcast([(r["ids"], r["rows"], r["m"]) for r in first])
     asked = clean.where(F.pmod("vec_id", F.lit(every)) == 0).repartition(partitions(vectors), "row")
-    queries = _blocks(asked, QUERIES, dim)
+    queries = _blocks(asked, QUERIES, dim, held_basis)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = held_first.value
@@ -168,44 +201,37 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec
                 with np.errstate(divide="ignore", invalid="ignore"):
                     need = np.where(length > 0, floor / length, np.where(floor > 0, np.inf, -np.inf))
                 floors.append(floor.astype("<f8").tobytes())
-                needs.append(float(need.min()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("block", "ids", "rows", "m")), pa.array(floors, pa.binary()), pa.array(needs, pa.float64())], ["qblock", "qids", "qrows", "q", "floors", "need"])
+                needs.append(int(np.searchsorted(falling, -need.min(), "right")))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("ids", "rows", "m", "turned", "tails")), pa.array(floors, pa.binary()), pa.array(needs, pa.int32())], ["qids", "qrows", "q", "tq", "rq", "floors", "upto"])
 
-    queries = cut(queries.mapInArrow(bound, "qblock long, qids binary, qrows binary, q binary, floors binary, need double"))
-    steps = blocks.count()
-    if not steps:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    numbered = blocks.hint("shuffle_hash").join(nth, "block")
-    pairs = queries.withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    pairs = pairs.hint("shuffle_hash").join(numbered, "nth").where("reach * (1 + 1e-9) + 1e-6 >= need")
+    queries = cut(queries.mapInArrow(bound, "qids binary, qrows binary, q binary, tq binary, rq binary, floors binary, upto int"))
+    numbered = blocks.hint("shuffle_hash").join(nth.hint("shuffle_hash"), "block").drop("block", "norm")
+    pairs = queries.where("upto > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("upto")))).drop("upto")
+    pairs = pairs.hint("shuffle_hash").join(numbered, "nth")
+    cuts = _heads(dim)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = held_basis.value
         for batch in batches:
-            for r in batch.select(["qids", "qrows", "q", "floors", "ids", "rows", "m", "reach"]).to_pylist():
+            for r in batch.to_pylist():
+                whole = lambda c, kind="<f8", r=r: np.frombuffer(r[c], kind).reshape(-1, dim)
                 qid, qrow, floor = np.frombuffer(r["qids"], "<i8"), np.frombuffer(r["qrows"], "<i8"), np.frombuffer(r["floors"], "<f8")
                 ids, row = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], "<i8")
-                q, v = np.frombuffer(r["q"], "<f8").reshape(-1, dim), np.frombuffer(r["m"], "<f8").reshape(-1, dim)
-                length = np.sqrt((q * q).sum(axis=1))
-                slack = 1e-6 + 1e-9 * length * r["reach"]
-                live = np.flatnonzero(length * r["reach"] + slack >= floor)
-                tq, tv = q[live] @ turn, v @ turn
-                rest_q, rest_v = (np.sqrt((x[:, head:] ** 2).sum(axis=1)) for x in (tq, tv))
-                upper = tq[:, :head] @ tv[:, :head].T + rest_q[:, None] * rest_v[None, :]
-                fits = upper + slack[live][:, None] >= floor[live][:, None]
-                fits &= qrow[live][:, None] != row[None, :]
+                q, v, tq, tv = whole("q"), whole("m"), whole("tq", "<f4"), whole("turned", "<f4")
+                rq, rv = (np.frombuffer(r[c], "<f4").reshape(len(cuts), -1) for c in ("rq", "tails"))
+                fits = left_over(tq, tv, rq, rv, np.sqrt((q * q).sum(axis=1)), floor, r["reach"], cuts)
+                fits &= qrow[:, None] != row[None, :]
                 out = [[], [], [], []]
-                for i, own in zip(live.tolist(), fits, strict=True):
-                    at = np.flatnonzero(own)
-                    if not len(at):
-                        continue
-                    s = _scores(q[i : i + 1], v[at])[0]
+                asked = np.flatnonzero(fits.any(axis=1))
+                scores = _scores(q[asked], v) if fits.mean() > MANY else None
+                for n, i in enumerate(asked.tolist()):
+                    at = np.flatnonzero(fits[i])
+                    s = _scores(q[i : i + 1], v[at])[0] if scores is None else scores[n, at]
                     top = _best(s, ids[at], k)
                     for held, x in zip(out, (np.full(len(top), qrow[i]), np.full(len(top), qid[i]), ids[at][top], s[top]), strict=True):
                         held.append(x)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["qrow", "query_id", "vec_id", "score"])
 
-    near = pairs.select("qids", "qrows", "q", "floors", "ids", "rows", "m", "reach").mapInArrow(match, "qrow long, query_id long, vec_id long, score long")
+    near = pairs.select("qids", "qrows", "q", "tq", "rq", "floors", "ids", "rows", "m", "turned", "tails", "reach").mapInArrow(match, "qrow long, query_id long, vec_id long, score long")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
