@@ -121,7 +121,8 @@ def score_from_band(band: Column) -> Column:
 
 
 def join_hyphens(c: Column) -> Column:
-    return F.regexp_replace(c, r"-\s*\n\s*", "")
+    """Words that a line end cuts, as in ``Col-`` and ``lege``, in one; hyphens beside anything but word characters stay."""
+    return F.regexp_replace(c, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
 
 
 def distinct_ci(items: Column) -> Column:

@@ -7,9 +7,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The identifier prefixes of venues, in order.
-ANTHOLOGY_TRACKS = [("findings-emnlp", "Findings of EMNLP"), ("findings-acl", "Findings of ACL"), ("findings-naacl", "Findings of NAACL"), ("blackboxnlp", "BlackboxNLP"), ("acl-", "ACL"), ("naacl-", "NAACL"), ("emnlp-", "EMNLP"), ("eacl-", "EACL"), ("aacl-", "AACL")]
-FIXED_DOIS = [("10.1145/3715275", "FAccT 2025"), ("10.1145/3630106", "FAccT 2024"), ("10.48550/arxiv.", "ArXiv")]
+# The identifier prefixes of venues, in order; a year in the identifier stands for {year}.
+DOI_VENUES = [
+    (r"^10\.18653/v1/(\d{4})\.findings-emnlp", "Findings of EMNLP {year}"),
+    (r"^10\.18653/v1/(\d{4})\.findings-acl", "Findings of ACL {year}"),
+    (r"^10\.18653/v1/(\d{4})\.findings-naacl", "Findings of NAACL {year}"),
+    (r"^10\.18653/v1/(\d{4})\.blackboxnlp", "BlackboxNLP {year}"),
+    (r"^10\.18653/v1/(\d{4})\.acl-", "ACL {year}"),
+    (r"^10\.18653/v1/(\d{4})\.naacl-", "NAACL {year}"),
+    (r"^10\.18653/v1/(\d{4})\.emnlp-", "EMNLP {year}"),
+    (r"^10\.18653/v1/(\d{4})\.eacl-", "EACL {year}"),
+    (r"^10\.18653/v1/(\d{4})\.aacl-", "AACL {year}"),
+    (r"^10\.1145/3715275", "FAccT 2025"),
+    (r"^10\.1145/3630106", "FAccT 2024"),
+    (r"^10\.48550/arxiv\.", "ArXiv"),
+]
+# The forms of a prefix, a volume, endings, a host and an article that a venue's name goes without.
+PROCEEDINGS = r"(?i)^Proceedings?\s+of\s+(?:the\s+)?(?:\d+(?:st|nd|rd|th)\s+)?"
+VOLUME = r"(?i)\s*\(Volume\s+\d+:[^)]*\)"
+ENDINGS = ["Poster", "Spotlight", "Oral", "Conference Desk Rejected Submission", "Desk Rejected Submission"]
+HOST = r"(?i)\s*\(Cornell\s+University\)\s*"
+ARTICLE = r"(?i)^(?:the|a|an)\s+"
 # Whole strings that name no venue.
 PLACEHOLDERS = [
     r"arxiv(\.org)?(\s+\d{4})?", r"arxiv\s+e-?prints?(\s+\d{4})?", r"arxiv\s+preprint.*", r"corr(\s+\d{4})?", r"biorxiv(\s+\d{4})?", r"medrxiv(\s+\d{4})?",
@@ -19,6 +37,7 @@ PLACEHOLDERS = [
 # Words by which routing tells types apart.
 ROUTE_CONFERENCE = "proceedings conference conf symposium neurips icml iclr aaai acl emnlp workshop coling naacl".split()
 ROUTE_JOURNAL = "journal transactions letters review nature science ieee acm".split()
+# Fixed value: how a comment says where a paper went.
 ACCEPTED = r"(?i)\b(?:Accepted (?:at|to|in)|Published (?:in|at)|Appeared (?:at|in)|Presented at|To appear (?:in|at)|Camera-ready for)\b\s+(.+?)\s+\b(20\d{2})\b"
 
 
@@ -38,11 +57,10 @@ def _any(low: Column, parts: list[str]) -> Column:
 
 def venue_from_doi(doi: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
-    for track, name in ANTHOLOGY_TRACKS:
-        pattern = rf"(?i)^10\.18653/v1/(\d{{4}})\.{track}"
-        out = out.when(doi.rlike(pattern), F.concat(F.lit(name + " "), F.regexp_extract(doi, pattern, 1)))
-    for prefix, name in FIXED_DOIS:
-        out = out.when(F.startswith(F.lower(doi), F.lit(prefix)), name)
+    for form, name in DOI_VENUES:
+        head, dated, tail = name.partition("{year}")
+        found = F.concat(F.lit(head), F.regexp_extract(doi, f"(?i){form}", 1), F.lit(tail)) if dated else F.lit(name)
+        out = out.when(doi.rlike(f"(?i){form}"), found)
     return out.otherwise("")
 
 
@@ -80,11 +98,9 @@ def _tidy(c: Column) -> Column:
 def normalize_venue(venue: Column, year: Column, dim: list[Venue] = ()) -> Column:
     """A short name with its year; empty for placeholders."""
     v = _tidy(F.regexp_replace(F.regexp_replace(F.trim(venue), "…", ""), r"\.{3,}", ""))
-    v = F.trim(F.regexp_replace(v, r"(?i)^Proceedings?\s+of\s+(?:the\s+)?(?:\d+(?:st|nd|rd|th)\s+)?", ""))
-    v = F.trim(F.regexp_replace(v, r"(?i)\s*\(Volume\s+\d+:[^)]*\)", ""))
-    v = F.trim(F.regexp_replace(F.regexp_replace(v, r"(?i)\s+(?:Poster|Spotlight|Oral)\b", ""), r"\s+", " "))
-    v = F.trim(F.regexp_replace(v, r"(?i)\s*\(Cornell\s+University\)\s*", " "))
-    v = F.trim(F.regexp_replace(v, r"(?i)^(?:the|a|an)\s+", ""))
+    v = F.trim(F.regexp_replace(F.trim(F.regexp_replace(v, PROCEEDINGS, "")), VOLUME, ""))
+    v = F.trim(F.regexp_replace(F.regexp_replace(v, rf"(?i)\s+(?:{'|'.join(ENDINGS)})\b", ""), r"\s+", " "))
+    v = F.trim(F.regexp_replace(F.trim(F.regexp_replace(v, HOST, " ")), ARTICLE, ""))
     longest = sorted(((a, d.canonical) for d in dim for a in d.aliases), key=lambda x: -len(x[0]))
 
     def shorter(v: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import evidence as E
 from ..functions import keys as K
@@ -120,6 +122,32 @@ def classify(df: DataFrame, keywords: list[str], tool: str, label: Callable[[Col
     return out.withColumn("band", E.confidence_band(F.col("category"), F.col("classification_signal"), F.col("linked_paper_tier"), F.col("windows"))).drop("__w", "__f", "__n")
 
 
+def with_labels(df: DataFrame, prompt: Column, fn: Callable[[list[str]], list[str | None]], labels: list[str], rule: Column, needs: Column | None = None) -> DataFrame:
+    """``df`` with category, unclassified_reason and classification_signal from a labeller.
+
+    ``fn`` maps prompts to replies, batch by batch inside the tasks, and is asked only for rows of which ``needs`` holds;
+    where it fails or gives none, ``rule`` decides (signal keyword_fallback). Other rows get nulls.
+    """
+    asked = df.withColumn("__prompt", prompt if needs is None else F.when(needs, prompt))
+    schema = T.StructType([*asked.schema.fields, T.StructField("__reply", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            given = b["__prompt"].notna()
+            replies = pd.Series([None] * len(b), index=b.index, dtype=object)
+            if given.any():
+                try:
+                    replies[given] = fn(b.loc[given, "__prompt"].tolist())
+                except Exception:  # whatever the caller's function raises: the rule decides
+                    pass
+            yield b.assign(__reply=replies)
+
+    out = asked.mapInPandas(run, schema).withColumn("__l", E.parse_label(F.col("__reply"), labels))
+    given = F.col("__prompt").isNotNull()
+    made = {"category": F.coalesce("__l.category", F.when(given, rule)), "unclassified_reason": F.col("__l.reason"), "classification_signal": F.when(F.col("__l").isNotNull(), "llm").when(given, "keyword_fallback")}
+    return out.withColumns(made).drop("__prompt", "__reply", "__l")
+
+
 # The form of a caption, and of the number in it.
 CAPTION = r"(?i)(?:^|\n)(Figure\s+\d+[:.]?\s*[^\n]{0,150}|Fig\.?\s+\d+[:.]?\s*[^\n]{0,150})"
 CAPTION_NUMBER = r"(?i)^Fig(?:ure|\.)?\s+(\d+)"

@@ -21,8 +21,8 @@ def exclude(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
 
 def union_sources(*ranked: tuple[int, DataFrame]) -> DataFrame:
-    """One table of all sources; ``rank`` of a source orders its rows before those of a higher one."""
-    first, *rest = [df.withColumn("source_rank", F.lit(r)) for r, df in ranked]
+    """One table of all sources; ``order`` puts the rows of a source before those of a higher ``rank``, each by its ``seq`` (0 to 2^52)."""
+    first, *rest = [df.withColumn("order", F.lit(r << 52) + F.col("seq")) for r, df in ranked]
     for df in rest:
         first = first.unionByName(df, allowMissingColumns=True)
     return first
@@ -114,13 +114,27 @@ def link_repos(repos: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def merge_repos(new: DataFrame, old: DataFrame, as_of: Column, grace_days: int = 30) -> DataFrame:
-    """Repos by key: seen again keeps first_seen; unseen ones stay if overridden or seen within ``grace_days``; a missing date ages out."""
-    seen = new.select("key", "stars").withColumn("seen", F.lit(True))
-    past = old.select("key", F.col("stars").alias("old_stars"), "first_seen", "last_seen", F.coalesce("manual_override", F.lit(False)).alias("manual_override"))
-    both = seen.join(past, "key", "full")
-    here = F.coalesce("seen", F.lit(False))
-    both = both.where(here | F.col("manual_override") | (F.datediff(as_of, F.col("last_seen")) <= grace_days))
-    return both.select("key", F.when(here & ~F.coalesce("manual_override", F.lit(False)), F.col("stars")).otherwise(F.col("old_stars")).alias("stars"), F.coalesce("first_seen", as_of).alias("first_seen"), F.when(here, as_of).otherwise(F.col("last_seen")).alias("last_seen"), F.coalesce("manual_override", F.lit(False)).alias("manual_override"))
+    """Whole repo rows by key: one seen again takes the new row and keeps first_seen; an override keeps its old row.
+
+    Unseen ones stay if overridden or last seen within ``grace_days``; a missing date ages out. Every column of
+    either side is kept; where one side lacks it, the other's value counts.
+    """
+    sides = {}
+    for side, df in (("new", new), ("old", old)):
+        sides[side] = df.select("key", F.struct(*(F.col(c) for c in df.columns if c != "key")).alias(f"__{side}"))
+    both = sides["new"].join(sides["old"], "key", "full")
+    at = lambda side, df, c: F.col(f"__{side}.{c}") if c in df.columns else F.lit(None)
+    here, kept = F.col("__new").isNotNull(), F.coalesce(at("old", old, "manual_override"), F.lit(False))
+    both = both.where(here | kept | (F.datediff(as_of, at("old", old, "last_seen")) <= grace_days))
+    dates = {"first_seen": F.coalesce(at("old", old, "first_seen"), as_of), "last_seen": F.when(here, as_of).otherwise(at("old", old, "last_seen")), "manual_override": kept}
+
+    def value(c: str) -> Column:
+        if c not in new.columns or c not in old.columns:
+            return F.coalesce(at("new", new, c), at("old", old, c))
+        return F.when(here & ~kept, at("new", new, c)).otherwise(at("old", old, c))
+
+    names = [c for c in dict.fromkeys([*new.columns, *old.columns]) if c != "key"]
+    return both.select("key", *((dates[c] if c in dates else value(c)).alias(c) for c in [*names, *(d for d in dates if d not in names)]))
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -131,15 +145,29 @@ def diff(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> D
     return a.join(b, key, "full").select(key, F.inline(F.filter(each, lambda x: ~x["old"].eqNullSafe(x["new"]))))
 
 
-def apply_curation(state: DataFrame, actions: DataFrame) -> DataFrame:
-    """State with promote, demote and discard of an actions table (key, action, reason) applied; touched rows are frozen. Of several actions the last by seq counts."""
-    last = actions.groupBy("key").agg(F.max_by(F.struct("action", "reason"), "seq").alias("__do"))
+def apply_curation(state: DataFrame, actions: DataFrame, reasons: list[str] | None = None) -> DataFrame:
+    """State with promote, demote and discard of an actions table (key, action, reason, and detail if there is one) applied; touched rows are frozen.
+
+    Of several actions the last by seq counts. A promotion clears reason and detail. Unknown actions, and
+    reasons that are not among ``reasons`` (if given), are errors.
+    """
+    said = F.struct("action", "reason", (F.col("detail") if "detail" in actions.columns else F.lit(None).cast("string")).alias("detail"))
+    last = actions.groupBy("key").agg(F.max_by(said, "seq").alias("__do"))
     out = state.join(last, "key", "left")
-    act = F.col("__do.action")
+    act, why = F.col("__do.action"), F.col("__do.reason")
     known = act.isin("promote", "demote", "discard")
     bucket = F.when(act == "promote", "verified").when(act == "demote", "pending").when(act == "discard", "discarded").otherwise(F.col("bucket"))
     checked = F.when(act.isNotNull() & ~known, F.raise_error(F.concat(F.lit("unknown action "), act))).otherwise(bucket)
-    return out.select(*(c for c in state.columns if c not in ("bucket", "reason", "manual_override")), checked.alias("bucket"), F.when(act == "promote", F.lit(None)).when(known, F.col("__do.reason")).otherwise(F.col("reason")).alias("reason"), (F.coalesce("manual_override", F.lit(False)) | F.coalesce(known, F.lit(False))).alias("manual_override"))
+    if reasons is not None:
+        why = F.when((act != "promote") & ~F.coalesce(why.isin(*reasons), F.lit(False)), F.raise_error(F.concat(F.lit("unknown reason "), F.coalesce(why, F.lit("null"))))).otherwise(why)
+    made = {
+        "bucket": checked,
+        "reason": F.when(act == "promote", F.lit(None)).when(known, why).otherwise(F.col("reason")),
+        "manual_override": F.coalesce("manual_override", F.lit(False)) | F.coalesce(known, F.lit(False)),
+    }
+    if "reason_detail" in state.columns:
+        made["reason_detail"] = F.when(act == "promote", F.lit(None)).when(known, F.col("__do.detail")).otherwise(F.col("reason_detail"))
+    return out.select(*(c for c in state.columns if c not in made), *(v.alias(c) for c, v in made.items()))
 
 
 def latest_batch(df: DataFrame, key: str, ts: str, ttl_hours: int, as_of: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import slug
+
 
 def counts_by(df: DataFrame, *columns: str) -> DataFrame:
     """Rows of each combination, null as ``unknown``."""
@@ -20,9 +22,10 @@ def head_with_rest(df: DataFrame, group: str, order: list, n: int = 15) -> DataF
     return top.join(total, group).withColumn("more", F.greatest(F.col("__n") - n, F.lit(0))).drop("__n")
 
 
-def listing(df: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` papers, newest first, then by title."""
-    return df.orderBy(F.desc_nulls_last("year"), F.lower("title"), "seq").limit(n)
+def listing(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Papers, newest first, then by title; the first ``n`` of them if that is given (a top-n report)."""
+    rows = df.orderBy(F.desc_nulls_last("year"), F.lower("title"), "seq")
+    return rows if n is None else rows.limit(n)
 
 
 def repo_listing(df: DataFrame) -> DataFrame:
@@ -34,7 +37,40 @@ def low_confidence(df: DataFrame) -> DataFrame:
 
 
 def public_papers(df: DataFrame) -> DataFrame:
-    return df.where("bucket = 'verified'").select("title", "authors", "venue", "year", "url", "description", "category")
+    """The public fields of verified papers; image and project_url are null where they are empty, and so left out by a JSON writer."""
+    blank = lambda c: (F.nullif(F.col(c), F.lit("")) if c in df.columns else F.lit(None).cast("string")).alias(c)
+    return df.where("bucket = 'verified'").select("title", "authors", "venue", "year", "url", "description", "category", blank("image"), blank("project_url"))
+
+
+def bucket_report(df: DataFrame, categories: list[str]) -> DataFrame:
+    """(bucket, part, name, n): of each bucket all rows, those of each listed category if it is verified, and else those of each reason (null as ``unknown``)."""
+    row = lambda part, name: F.struct(F.lit(part).alias("part"), name.cast("string").alias("name"))
+    verified = F.col("bucket") == "verified"
+    told = F.when(verified & F.col("category").isin(*categories), row("category", F.col("category"))).when(~verified, row("reason", F.coalesce("reason", F.lit("unknown"))))
+    each = df.select("bucket", F.inline(F.array_compact(F.array(row("all", F.lit("all")), told))))
+    return each.groupBy("bucket", "part", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repo_report(repos: DataFrame, removals: DataFrame | None = None, parts: tuple[str, ...] = ("category", "route", "classification_reason", "repo_type")) -> DataFrame:
+    """(part, name, n): repos in all, by each of ``parts``, and removals (reason, n); one pass of partial counts. Null counts as ``unknown``."""
+    row = lambda part, name: F.struct(F.lit(part).alias("part"), name.cast("string").alias("name"))
+    each = [row("all", F.lit("all")), *(row(c, F.coalesce(F.col(c).cast("string"), F.lit("unknown"))) for c in parts if c in repos.columns)]
+    out = repos.select(F.inline(F.array(*each))).groupBy("part", "name").agg(F.count(F.lit(1)).alias("n"))
+    return out if removals is None else out.unionByName(removals.select(F.lit("removed").alias("part"), F.col("reason").alias("name"), "n"))
+
+
+def reconcile_files(df: DataFrame, listing: DataFrame, folder: str = "/images/") -> DataFrame:
+    """Rows with ``image`` of the file named after their title, where the listing (name) has it; ``missing`` marks the others, whose image stays."""
+    there = listing.select(F.col("name").alias("__file")).distinct()
+    met = df.withColumn("__want", F.concat(slug(F.col("title")), F.lit(".png"))).join(there, F.col("__want") == F.col("__file"), "left")
+    found = F.col("__file").isNotNull()
+    image = F.when(found, F.concat(F.lit(folder), F.col("__want"))).otherwise(F.col("image") if "image" in df.columns else F.lit(None))
+    return met.select(*(c for c in df.columns if c != "image"), image.alias("image"), (~found).alias("missing"))
+
+
+def pages_with_figures(pages: DataFrame, drawings: int = 20) -> DataFrame:
+    """Pages with ``drawings`` drawings or more, or an image: only these give a document its best caption."""
+    return pages.where((F.coalesce("n_drawings", F.lit(0)) >= drawings) | (F.coalesce("n_images", F.lit(0)) > 0))
 
 
 def best_caption(pages: DataFrame, key: str) -> DataFrame:

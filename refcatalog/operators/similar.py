@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import written
 
-GRAM = 3
+#: Characters of a stretch of positions; pieces of titles meet within a stretch.
+STRETCH = 16
 
 
 def _lcs(a: str, b: str) -> int:
@@ -29,42 +30,42 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - bin(v).count("1")
 
 
+def title_classes(rows: DataFrame, key: str, title: str) -> tuple[DataFrame, DataFrame]:
+    """(key, t) of the rows with a title, and (t, k): the smallest key of each title; both written."""
+    named = written(rows.select(F.col(key).alias("key"), F.lower(F.trim(F.col(title))).alias("t")).where("t <> ''"))
+    return named, written(named.groupBy("t").agg(F.min("key").alias("k")))
+
+
 def similar_pairs(rows: DataFrame, key: str = "seq", title: str = "title", percent: int = 90) -> DataFrame:
     """(a, b, score) with a > b: all pairs of different keys whose titles reach ``percent``; equal titles score 100 and are not expanded beyond their class' smallest key.
 
-    Classes of equal titles come first. Two titles within the allowed distance k
-    share all but GRAM * k numbered grams, so they meet in a prefix of their
-    rarest grams; titles too short for that bound meet by length. The length
-    bound and Levenshtein (never above the insert-delete distance) reject pairs
-    natively, and the exact length of the longest common subsequence confirms
-    the rest. Empty titles match nothing. No pair is lost and nothing is capped.
+    Classes of equal titles come first. If a title is at most d single-character
+    insertions and deletions away from a longer one, then of d + 1 pieces of it at
+    least one is in the longer one, moved by at most d places. So the pieces of
+    each title meet the substrings of the longer ones by equal text and stretch of
+    positions, and place and length are checked inside the join. Levenshtein
+    (never above that distance) rejects pairs natively, and the exact length of
+    the longest common subsequence confirms the rest. Empty titles match nothing.
+    No pair is lost and nothing is capped.
     """
-    share = (100 - percent) / 100
-    low = F.lower(F.trim(F.col(title)))
-    named = rows.select(F.col(key).alias("k"), low.alias("t")).where("t <> ''")
-    classes = written(named.groupBy("t").agg(F.min("k").alias("k")))
-    same = named.join(classes.withColumnRenamed("k", "b"), "t").where("k <> b").select(F.col("k").alias("a"), "b", F.lit(100.0).alias("score"))
-    n = F.length("t")
-    longest = F.floor(n * (1 + share) / (1 - share))
-    reach = F.floor((n + longest) * share)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(GRAM)))
-    numbered = F.transform(grams, lambda g, i: F.concat_ws("\u0001", g, F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)).cast("string")))
-    sized = classes.select("k", "t", n.alias("n"), reach.alias("reach"), (n - GRAM + 1 - GRAM * reach).alias("bound"))
-    long_ = sized.where("bound > 0")
-    each = long_.select("k", "n", "reach", F.explode(numbered).alias("g"))
-    counts = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    place = Window.partitionBy("k").orderBy("df", "g")  # the grams of one title
-    prefix = written(each.join(counts, "g").withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= GRAM * F.col("reach") + 1).select("g", "k", "n"))
-    fits = F.abs(F.col("x.n") - F.col("y.n")) <= F.floor((F.col("x.n") + F.col("y.n")) * share)
-    met = prefix.alias("x").join(prefix.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.k") > F.col("y.k")) & fits).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
-    # Titles at or under the bound's length, and those that such a title may match: few lengths, compared within them.
-    edge = sized.where("bound <= 0").select(F.col("k").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.ceil(F.col("n") * (1 - share) / (1 + share)), F.floor(F.col("n") * (1 + share) / (1 - share)))).alias("n"))
-    short = edge.join(sized.select(F.col("k").alias("b"), "n"), "n").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = met.unionByName(short).distinct()
+    named, classes = title_classes(rows, key, title)
+    same = named.hint("shuffle_hash").join(classes.withColumnRenamed("k", "b").hint("shuffle_hash"), "t").where("key <> b").select(F.col("key").alias("a"), "b", F.lit(100.0).alias("score"))
+    far = 100 - percent
+    # Of n characters: the longest partner, edits at most, and the place and length of piece i of k + 1.
+    sized = classes.selectExpr("k", "t", "length(t) as n", f"length(t) * {100 + far} div {percent} as longest").selectExpr("*", f"(n + longest) * {far} div 100 as d")
+    cut = sized.selectExpr("k", "n", "longest", "t", "inline(transform(sequence(0, d), i -> named_struct('at', cast(i * n div (d + 1) as int), 'to', cast((i + 1) * n div (d + 1) as int))))")
+    pieces = written(cut.where("to > at").selectExpr("substring(t, at + 1, to - at) as piece", f"at div {STRETCH} as stretch", "k", "n", "longest", "at"))
+    # The lengths that pieces of this title's shorter partners may have.
+    d_of = f"((m + m * {100 + far} div {percent}) * {far} div 100)"
+    widths = f"array_distinct(flatten(transform(sequence(cast(ceil(n * {percent} / {100 + far}) as int), n), m -> array(cast(m div ({d_of} + 1) as int), cast((m + {d_of}) div ({d_of} + 1) as int)))))"
+    open_ = sized.selectExpr("k", "n", "t", f"explode({widths}) as w").where("w > 0 and w <= n")
+    each = open_.selectExpr("k", "n", "t", "w", "explode(sequence(0, n - w)) as at").selectExpr("substring(t, at + 1, w) as piece", "k", "n", "at", f"n * 2 * {far} div 100 as reach")
+    probes = written(each.selectExpr("piece", "k", "n", "at", f"explode(sequence(greatest(at - reach, 0) div {STRETCH}, (at + reach) div {STRETCH})) as stretch"))
+    met = pieces.alias("x").hint("shuffle_hash").join(probes.alias("y").hint("shuffle_hash"), F.expr(f"x.piece = y.piece and x.stretch = y.stretch and x.n <= y.n and y.n <= x.longest and abs(x.at - y.at) <= (x.n + y.n) * {far} div 100 and (x.n < y.n or x.k < y.k)"))
+    pairs = written(met.select(F.greatest("x.k", "y.k").alias("a"), F.least("x.k", "y.k").alias("b")).distinct())
     text = lambda x: classes.select(F.col("k").alias(x), F.col("t").alias(f"t{x}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b")
-    most = F.floor((F.length("ta") + F.length("tb")) * share).cast("int")
-    near = both.where(F.levenshtein("ta", "tb") <= most)
+    both = pairs.hint("shuffle_merge").join(text("a"), "a").hint("shuffle_merge").join(text("b"), "b")
+    near = both.where(F.levenshtein("ta", "tb") <= F.expr(f"cast((length(ta) + length(tb)) * {far} div 100 as int)"))
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -76,47 +77,47 @@ def similar_pairs(rows: DataFrame, key: str = "seq", title: str = "title", perce
     return same.unionByName(near.select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long, score double"))
 
 
-def greedy_leaders(rows: DataFrame, edges: DataFrame, key: str = "seq", most_rounds: int = 50) -> DataFrame:
-    """(seq, leader): each row in order joins the earlier leader it matches best, or leads itself.
+def greedy_leaders(rows: DataFrame, values: DataFrame, links: DataFrame, key: str = "seq") -> DataFrame:
+    """(seq, leader): each row in order joins the earlier leader it shares the first value with, or leads itself.
 
-    edges: a (later), b (earlier), rank (lower first: arXiv id, doi, title). A row
-    leads if no earlier leader matches it, which is the sequential rule; rounds
-    settle all rows whose earlier neighbours are settled. Rounds are bounded and
-    exceeding them is an error.
+    values: (seq, rank, v), a row's own values, those of lower rank first. links:
+    (rank, v, w), the values w that a row with v looks at besides its own; of
+    several leaders of one rank the first counts. A row leads if no earlier leader
+    has such a value, which is the sequential rule. Each round settles the rows
+    before which nothing of theirs is open; of each value only the first open row
+    and the first leader are needed, so equal values are never paired. There are as
+    many rounds as the longest chain of rows that wait for one another has, and
+    no bound on them.
+    """
+    state = written(rows.select(F.col(key).alias("seq")).distinct().withColumn("leads", F.lit(None).cast("boolean")))
+    looks = written(links.select("rank", "v", "w").unionByName(values.select("rank", "v", F.col("v").alias("w"))).distinct())
+
+    def told(state: DataFrame) -> DataFrame:
+        """(rank, v, open, lead) of each value: the first open row and the first leader among what it looks at."""
+        known = values.hint("shuffle_hash").join(state.where("leads is null or leads").hint("shuffle_hash"), "seq")
+        own = known.groupBy("rank", "v").agg(F.min(F.when(F.col("leads").isNull(), F.col("seq"))).alias("open"), F.min(F.when(F.col("leads"), F.col("seq"))).alias("lead"))
+        seen = looks.hint("shuffle_hash").join(own.withColumnRenamed("v", "w").hint("shuffle_hash"), ["rank", "w"])
+        return seen.groupBy("rank", "v").agg(F.min("open").alias("open"), F.min("lead").alias("lead"))
+
+    while state.where("leads is null").limit(1).count():
+        met = values.hint("shuffle_hash").join(told(state).hint("shuffle_hash"), ["rank", "v"])
+        seen = met.groupBy("seq").agg(F.bool_or(F.coalesce(F.col("lead") < F.col("seq"), F.lit(False))).alias("led"), F.bool_or(F.coalesce(F.col("open") < F.col("seq"), F.lit(False))).alias("waits"))
+        settled = F.when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
+        state = written(state.hint("shuffle_hash").join(seen.hint("shuffle_hash"), "seq", "left").select("seq", F.coalesce("leads", settled).alias("leads")))
+    met = values.hint("shuffle_hash").join(told(state).hint("shuffle_hash"), ["rank", "v"]).where("lead < seq")
+    best = met.groupBy("seq").agg(F.min_by("lead", "rank").alias("leader"))
+    return state.hint("shuffle_hash").join(best.hint("shuffle_hash"), "seq", "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("leader")).alias("leader"))
+
+
+def dedup(rows: DataFrame, ids: list[str], title: str = "title", percent: int = 90, key: str = "seq") -> DataFrame:
+    """(seq, leader) by shared ids, in their order of priority, else by similar titles; only a leader's own ids and title count.
+
+    ``key`` orders the rows. Classes of equal titles stand for their rows, and only classes are paired.
     """
-    edges = written(edges.groupBy("a", "b").agg(F.min("rank").alias("rank")))
-    state = written(rows.select(F.col(key).alias("seq")).withColumn("leads", F.lit(None).cast("boolean")))
-    for _ in range(most_rounds):
-        known = edges.join(state.select(F.col("seq").alias("b"), "leads"), "b")
-        seen = known.groupBy("a").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("open"))
-        fresh = state.join(seen.withColumnRenamed("a", "seq"), "seq", "left")
-        told = F.when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = written(fresh.select("seq", F.coalesce("leads", told).alias("leads")))
-        if not state.where("leads is null").limit(1).count():
-            led = edges.join(state.where("leads").select(F.col("seq").alias("b")), "b")
-            best = led.groupBy("a").agg(F.min_by("b", F.struct("rank", "b")).alias("leader"))
-            return state.join(best.withColumnRenamed("a", "seq"), "seq", "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("leader")).alias("leader"))
-    raise RuntimeError(f"leaders did not settle in {most_rounds} rounds")
-
-
-def dedup(rows: DataFrame, ids: list[str], title: str = "title", percent: int = 90) -> DataFrame:
-    """(seq, leader) by shared ids, in their order of priority, else by similar titles; only a leader's own ids and title count."""
-    edges = []
+    named, classes = title_classes(rows, key, title)
+    pairs = written(similar_pairs(classes.select(F.col("k").alias("seq"), F.col("t").alias("title")), "seq", "title", percent).select(F.col("a").cast("string").alias("v"), F.col("b").cast("string").alias("w")))
+    own = named.hint("shuffle_hash").join(classes.hint("shuffle_hash"), "t").select(F.col("key").alias("seq"), F.lit(len(ids)).alias("rank"), F.col("k").cast("string").alias("v"))
     for r, c in enumerate(ids):
-        known = rows.where(F.col(c) != "").select(F.col(c).alias("id"), "seq")
-        edges.append(known.alias("x").join(known.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.seq") > F.col("y.seq"))).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b"), F.lit(r).alias("rank")))
-    whole = _expanded(rows, title, percent).select("a", "b", F.lit(len(ids)).alias("rank"))
-    for e in edges:
-        whole = whole.unionByName(e)
-    return greedy_leaders(rows, whole)
-
-
-def _expanded(rows: DataFrame, title: str, percent: int) -> DataFrame:
-    """Similar pairs between all rows, through their classes of equal titles."""
-    named = rows.select("seq", F.lower(F.trim(F.col(title))).alias("t")).where("t <> ''")
-    first = written(named.groupBy("t").agg(F.min("seq").alias("c")))
-    member = written(named.join(first, "t").select("seq", "c"))
-    pairs = similar_pairs(first.select(F.col("c").alias("seq"), F.col("t").alias(title)), "seq", title, percent)
-    links = pairs.select("a", "b").unionByName(first.select(F.col("c").alias("a"), F.col("c").alias("b")))
-    one = links.join(member.select(F.col("seq").alias("x"), F.col("c").alias("a")), "a").join(member.select(F.col("seq").alias("y"), F.col("c").alias("b")), "b")
-    return one.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        own = own.unionByName(rows.where(F.col(c) != "").select(F.col(key).alias("seq"), F.lit(r).alias("rank"), F.col(c).alias("v")))
+    links = pairs.unionByName(pairs.select(F.col("w").alias("v"), F.col("v").alias("w"))).withColumn("rank", F.lit(len(ids)))
+    return greedy_leaders(rows, written(own), links, key)

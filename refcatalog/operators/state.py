@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evidence as E
 from ..functions import keys as K
 from ..functions import venues as V
-from ..plans.tables import written
+from ..plans.tables import replace, written
 from .enrich import TRUSTED_YEARS
 from .entities import diff, match_by_priority
 from .similar import dedup, similar_pairs
@@ -66,16 +68,24 @@ def apply_updates(old: DataFrame, new: DataFrame, dim: list[V.Venue]) -> DataFra
 
 
 def match_titles(new: DataFrame, old: DataFrame, percent: int = 90) -> DataFrame:
-    """(seq, matched): for new rows the first old row of a similar title. Equal titles are one class, and only classes are paired."""
+    """(seq, matched): for new rows the old row of the most similar title, the first of equals. Equal titles are one class, and only classes are paired."""
     low = F.nullif(F.lower(F.trim("title")), F.lit(""))
     both = old.select(F.col("seq").alias("o"), low.alias("t")).unionByName(new.select(F.lit(None).cast("long").alias("o"), low.alias("t"))).where("t is not null")
     classes = written(both.groupBy("t").agg(F.min("o").alias("o")).withColumn("k", F.monotonically_increasing_id()))
-    links = written(similar_pairs(classes.select("k", "t"), "k", "t", percent).select("a", "b"))
-    each = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = each.join(classes.select(F.col("k").alias("b"), "o"), "b").where("o is not null").select(F.col("a").alias("k"), "o")
-    own = classes.where("o is not null").select("k", "o")
-    best = near.unionByName(own).groupBy("k").agg(F.min("o").alias("matched")).join(classes.select("k", "t"), "k")
-    return new.select("seq", low.alias("t")).join(best, "t").select("seq", "matched")
+    links = written(similar_pairs(classes.select("k", "t"), "k", "t", percent))
+    each = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    near = each.hint("shuffle_hash").join(classes.select(F.col("k").alias("b"), "o").hint("shuffle_hash"), "b").where("o is not null").select(F.col("a").alias("k"), "score", "o")
+    own = classes.where("o is not null").select("k", F.lit(100.0).alias("score"), "o")
+    best = near.unionByName(own).groupBy("k").agg(F.min_by("o", F.struct(-F.col("score"), F.col("o"))).alias("matched")).hint("shuffle_hash").join(classes.select("k", "t").hint("shuffle_hash"), "k")
+    return new.select("seq", low.alias("t")).hint("shuffle_hash").join(best.hint("shuffle_hash"), "t").select("seq", "matched")
+
+
+def best_match(left: DataFrame, candidates: DataFrame, percent: int = 90) -> DataFrame:
+    """(seq, venue): for rows without a venue from elsewhere the venue of the candidate of the most similar title; empty ones and submissions name none."""
+    met = match_titles(left, candidates, percent)
+    told = candidates.select(F.col("seq").alias("matched"), "venue")
+    named = met.hint("shuffle_hash").join(told.hint("shuffle_hash"), "matched").where(K.present(F.col("venue")).isNotNull() & ~F.contains(F.lower("venue"), F.lit("submitted")))
+    return named.select("seq", "venue")
 
 
 def merge_papers(old: DataFrame, new: DataFrame, dim: list[V.Venue], percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +107,7 @@ def merge_papers(old: DataFrame, new: DataFrame, dim: list[V.Venue], percent: in
     return merged, stats
 
 
-def _decided() -> Column:
+def decided() -> Column:
     c = F.col
     named = F.coalesce(K.present(c("arxiv_id")), K.present(c("doi"))).isNotNull()
     return E.decide_bucket(c("year"), K.usable_abstract(c("abstract")), named, c("category"), c("unclassified_reason"), c("category_confidence_band"))
@@ -105,7 +115,7 @@ def _decided() -> Column:
 
 def rebucket(df: DataFrame) -> DataFrame:
     """Papers with bucket and reason decided anew unless overridden, and ``moved``: promoted, demoted or null. Detail goes with a promotion."""
-    out = df.withColumn("__d", _decided())
+    out = df.withColumn("__d", decided())
     moves = ~F.coalesce("manual_override", F.lit(False)) & ~F.col("bucket").eqNullSafe(F.col("__d.bucket"))
     moved = F.when(moves & (F.col("bucket") == "pending"), "promoted").when(moves & (F.col("bucket") == "verified"), "demoted")
     swap = lambda new, old: F.when(moves, new).otherwise(F.col(old))
@@ -140,6 +150,11 @@ YES, NO = ["y", "yes", "true", "t", "1"], ["n", "no", "false", "f", "0"]
 EDITABLE = [*TEXT, *OPTIONAL, *CHOICES, "year", "reason", "peer_reviewed"]
 
 
+def edit_changes(before: DataFrame, after: DataFrame, key: str = "seq") -> DataFrame:
+    """(key, field, old, new) of what edits changed in the editable fields."""
+    return diff(before, after, key, [c for c in EDITABLE if c in before.columns])
+
+
 def apply_edits(state: DataFrame, edits: DataFrame, key: str = "seq", reasons: list[str] | None = None) -> DataFrame:
     """State with typed edits (key, field, value, ord) applied; edited rows are frozen, their flags derived and, unless the bucket was edited, decided anew.
 
@@ -173,7 +188,7 @@ def apply_edits(state: DataFrame, edits: DataFrame, key: str = "seq", reasons: l
     touched, moved = F.col("__e").isNotNull(), has("bucket")
     out = out.select(*((F.when(has(c), parsed(c)).otherwise(F.col(c)) if c in EDITABLE else F.col(c)).alias(c) for c in state.columns), touched.alias("__t"), moved.alias("__b"))
     flags = {"has_summary": K.present(F.col("description")).isNotNull(), "has_classification": F.coalesce(F.col("category") != "unclassified", F.lit(False)), "has_thumbnail": K.present(F.col("image")).isNotNull(), "has_affiliations": K.present(F.col("affiliations")).isNotNull(), "manual_override": F.lit(True)}
-    out = out.withColumn("__d", _decided())
+    out = out.withColumn("__d", decided())
     again = F.col("__t") & ~F.col("__b") & ~F.col("bucket").eqNullSafe(F.col("__d.bucket"))
     values = {c: F.when(F.col("__t"), x).otherwise(F.col(c)) for c, x in flags.items()} | {c: F.when(again, F.col(f"__d.{c}")).otherwise(F.col(c)) for c in ("bucket", "reason")}
     return out.select(*(values.get(c, F.col(c)).alias(c) for c in state.columns))
@@ -218,9 +233,45 @@ def sheet(df: DataFrame, name: str) -> DataFrame:
     return (df if bucket is None else df.where(F.col("bucket") == bucket)).select(*(cell(c).alias(c) for c in columns))
 
 
+STATE_KEYS = ["bucket", "title", "source"]
+BUCKETS = ["pending", "verified", "discarded"]
+
+
 def write_state(df: DataFrame, path: str) -> None:
-    """The whole state as parquet by bucket; only the buckets written are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """The whole state as parquet by bucket. It is written beside ``path`` and then takes its place, so that no bucket of the old state stays and ``df`` may be read from there."""
+    staged = f"{path.rstrip('/')}_{uuid.uuid4().hex}_staged"
+    df.write.partitionBy("bucket").parquet(staged)
+    replace(df.sparkSession, staged, path.rstrip("/"))
+
+
+def read_state(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """A state as ``write_state`` leaves it, or (``form`` json) one document with a list of papers for each bucket.
+
+    A flat list, a missing bucket or a missing column is an error; papers without a title are left out.
+    """
+    if form == "json":
+        whole = spark.read.option("multiLine", True).json(path)
+        lacking = [b for b in BUCKETS if b not in whole.columns]
+        if lacking:
+            raise ValueError(f"{path} has no {', '.join(lacking)}: not a state by buckets")
+        each = [whole.select(F.inline(b)).withColumn("bucket", F.lit(b)) for b in BUCKETS if whole.schema[b].dataType.typeName() == "array" and whole.schema[b].dataType.elementType.typeName() == "struct"]
+        if not each:
+            return spark.createDataFrame([], "title string, source string, bucket string")
+        state = each[0]
+        for x in each[1:]:
+            state = state.unionByName(x, allowMissingColumns=True)
+    else:
+        state = spark.read.parquet(path)
+    lacking = [c for c in STATE_KEYS if c not in state.columns]
+    if lacking:
+        raise ValueError(f"{path} has no column {', '.join(lacking)}")
+    return state.where(K.present(F.col("title")).isNotNull())
+
+
+def read_repo_state(spark: SparkSession, path: str) -> DataFrame:
+    """Repos as ``write_repo_state`` leaves them; those without owner or name are left out."""
+    repos = spark.read.parquet(path)
+    return repos.where(K.present(F.col("owner")).isNotNull() & K.present(F.col("repo")).isNotNull())
 
 
 # The public fields of a repo.
@@ -234,14 +285,16 @@ def public_repos(repos: DataFrame) -> DataFrame:
 
 
 def write_repo_state(repos: DataFrame, path: str) -> None:
-    """All repos with every field as parquet; ``path`` must not be the one they are read from."""
-    repos.write.mode("overwrite").parquet(path)
+    """All repos with every field as parquet, written beside ``path`` before they take its place."""
+    staged = f"{path.rstrip('/')}_{uuid.uuid4().hex}_staged"
+    repos.write.parquet(staged)
+    replace(repos.sparkSession, staged, path.rstrip("/"))
 
 
 def trace(state: DataFrame, texts: DataFrame, keywords: list[str], key: str = "seq") -> DataFrame:
     """(key, section, name, value): per record its ids, tier, text length, hits of each keyword in text and abstract, and the verdict held. Absent texts have length 0."""
     both = state.join(texts.select(key, F.col("text").alias("__text")), key, "left")
-    count = lambda c, k: F.coalesce(F.size(E.keyword_positions(F.col(c), k)), F.lit(0)).cast("string")
+    count = lambda c, k: F.coalesce(E.keyword_count(F.col(c), k), F.lit(0)).cast("string")
     row = lambda s, n, v: F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), v.alias("value"))
     rows = [row("ids", c, F.col(c).cast("string")) for c in ("arxiv_id", "doi", "linked_paper_tier")]
     rows.append(row("text", "length", F.coalesce(F.length("__text"), F.lit(0)).cast("string")))

@@ -289,9 +289,9 @@ def top_repos_by_owner(spark, sf_dir):
     return top.select("owner", "repo", "stars", "position", "more")
 
 
-@_query(_with("paper", "select seq, title, year from paper order by year desc nulls last, lower(title), seq limit 100"))
+@_query(_with("paper", "select seq, title, year from paper order by year desc nulls last, lower(title), seq"))
 def paper_listing(spark, sf_dir):
-    return R.listing(shape(spark, sf_dir, "paper"), 100).select("seq", "title", "year")
+    return R.listing(shape(spark, sf_dir, "paper")).select("seq", "title", "year")
 
 
 @_query("""select page_id, link, count(*) as hits from (select page_id, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) as link from pages) group by 1, 2""")

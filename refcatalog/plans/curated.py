@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..operators import state as S
 from ..operators.similar import dedup
 from ..sources import landed as L
 from .catalogue import DIM, _with, shape
-from .tables import table
+from .tables import table, written
 
 _CASES: dict[str, tuple] = {}
 
@@ -237,18 +239,53 @@ def run_metrics_row(spark, sf_dir):
     return P.run_metrics(p, state, ["s2_citation", "scholar"])
 
 
-def discover(sources: list[tuple[int, DataFrame]], least_year: int, excluded: list[str]) -> DataFrame:
-    """Unique papers of all sources: union in order of rank, year and title filters, resolution, gaps filled within each cluster."""
-    rows = M.exclude(M.min_year(M.union_sources(*sources), least_year), "title", excluded)
-    groups = dedup(rows.select("seq", "title", "arxiv_id", "doi"), ["arxiv_id", "doi"])
-    filled = [c for c in rows.columns if c not in ("seq", "source_rank")]
-    return M.coalesce_cluster(rows.join(groups, "seq"), "leader", filled).drop("leader")
+def discover(sources: list[tuple[int, DataFrame]], least_year: int, excluded: list[str], dim: list) -> DataFrame:
+    """Unique papers of all sources in order of rank: excluded titles go, rows are resolved, gaps are filled within each cluster, the first confident venue counts, and old years go at last."""
+    rows = written(M.exclude(M.union_sources(*sources), "title", excluded))
+    leaders = dedup(rows.select("order", "title", "arxiv_id", "doi"), ["arxiv_id", "doi"], key="order").withColumnRenamed("seq", "order")
+    rows = written(rows.hint("shuffle_hash").join(leaders.hint("shuffle_hash"), "order"))
+    filled = [c for c in rows.columns if c not in ("seq", "order", "venue", "leader")]
+    one, venues = M.coalesce_cluster(rows, "leader", filled, "order"), M.venue_survivor(rows, "leader", dim, "order")
+    firsts = rows.where("order = leader").select("leader", "seq")
+    out = one.hint("shuffle_hash").join(venues.hint("shuffle_hash"), "leader").join(firsts.hint("shuffle_hash"), "leader")
+    return M.min_year(out.drop("leader", "order"), least_year)
+
+
+def run(sources: list[tuple[int, DataFrame]], state: DataFrame, texts: DataFrame, repos: DataFrame, old_repos: DataFrame, dim: list, settings: dict) -> dict[str, DataFrame]:
+    """A full run: ``papers`` and ``repos`` of the new state, and ``routes``, ``stats`` and ``buckets`` of the report.
+
+    sources: (rank, papers of the state's columns). texts: (seq, text). repos and old_repos: rows of ``merge_repos``
+    with owner, repo, linked_arxiv_id, url and the columns of ``route_repos``. settings: least_year, excluded,
+    keywords, tool, label (a function of the evidence), as_of, course_parents, course_words, categories.
+    """
+    found = discover(sources, settings["least_year"], settings["excluded"], dim).withColumn("content_hash", K.paper_hash(F.col("title"), F.col("abstract")))
+    # Repos: shared links go, types follow, course links go; what is left links papers.
+    tidy = M.unlink_shared(D.process_repos(D.route_repos(repos, old_repos)), settings.get("shared", 5))
+    kind = M.repo_type(F.col("repo"), F.col("description"), F.col("stars"), F.col("linked_paper_url"), F.col("parent_full_name"), F.col("unlinked"), F.col("category"), F.coalesce("manual_override", F.lit(False)), F.col("repo_type"), settings["course_parents"], settings["course_words"])
+    tidy = written(D.unlink_courses(tidy.withColumn("repo_type", kind)))
+    links = tidy.withColumn("linked_arxiv_id", K.arxiv_id_from_url(F.col("linked_paper_url")))
+    found = written(M.link_repos(links, found.withColumn("linked_paper_tier", F.lit(None).cast("int"))))
+    routes = written(M.route(found, state))
+    # Only papers that need it are classified; the others bring what was landed.
+    open_ = routes.where("needs_classification").hint("shuffle_hash").join(texts.hint("shuffle_hash"), "seq", "left")
+    judged = D.classify(open_.drop("category", "unclassified_reason"), settings["keywords"], settings["tool"], settings["label"])
+    judged = judged.withColumns({"category_confidence_band": F.col("band"), "has_classification": F.col("category") != "unclassified"})
+    judged = judged.withColumn("__d", S.decided()).withColumns({"bucket": F.col("__d.bucket"), "reason": F.col("__d.reason")})
+    judged = D.discard_zero_hits(judged, settings["keywords"])
+    names = state.columns
+    whole = lambda df: df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(state.schema[c].dataType).alias(c) for c in names))
+    fresh = written(whole(judged).unionByName(whole(routes.where("not needs_classification"))).withColumn("seq", F.col("seq") + settings.get("offset", 1 << 40)))
+    merged, stats = S.merge_papers(state, fresh, dim)
+    papers = written(S.rebucket(merged))
+    keyed = lambda df: df.withColumn("key", F.concat_ws("/", "owner", "repo"))
+    both = M.merge_repos(keyed(tidy.drop("route", "cleared", "unlinked")), keyed(old_repos), settings["as_of"])
+    return {"papers": papers, "repos": both, "routes": P.counts_by(routes, "route"), "stats": stats, "buckets": P.bucket_report(papers, settings["categories"])}
 
 
 @_query(None)
 def discovery_run(spark, sf_dir):
     p, s = shape(spark, sf_dir, "paper"), F.col("seq")
-    return discover([(0, p.where(s % 2 == 0)), (1, p.where(s % 2 == 1))], 2022, ["the"]).select("seq", "title", "arxiv_id", "doi", "year")
+    return discover([(1, p.where(s % 2 == 0)), (0, p.where(s % 2 == 1))], 2022, ["the"], DIM).select("seq", "title", "arxiv_id", "doi", "year", "venue", "source")
 
 
 @_query(None)
@@ -338,6 +375,125 @@ def figure_captions(spark, sf_dir):
 
 
 
+@_query(None)
+def full_run(spark, sf_dir):
+    s, none = F.col("seq"), F.lit(None).cast("string")
+    state = _papers(spark, sf_dir).withColumns({"content_hash": K.paper_hash(F.col("title"), F.col("abstract")), "linked_paper_tier": none.cast("int")})
+    r = shape(spark, sf_dir, "repo").withColumns({"archived": F.lit(False), "last_commit": F.lit("2025-01-02"), "url": F.concat_ws("/", "owner", "repo"), "category": F.lit("uses_library"), "manual_override": s % 23 == 0, "repo_type": none, "first_seen": F.to_date(F.lit("2025-01-01")), "last_seen": F.date_add(F.to_date(F.lit("2025-05-20")), (s % 60 - 30).cast("int")), "has_classification": F.lit(True)})
+    r = r.withColumn("content_hash", K.repo_hash(F.col("description"), F.col("last_commit"), F.col("archived")))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    settings = {"least_year": 2022, "excluded": ["the"], "keywords": ["ation"], "tool": "ation", "label": lambda t: E.first_label(t, [("uses_library", ["ing"])], "referencing"), "as_of": F.to_date(F.lit("2025-06-01")), "course_parents": ["course-org/exercises"], "course_words": ["machinery"], "categories": ["uses_library", "referencing"]}
+    landed = state.drop("bucket", "reason", "manual_override", "category", "has_classification")
+    out = run([(0, landed.where(s % 3 == 0)), (1, landed.where(s % 3 == 1))], state.where(s % 2 == 0), texts, r.where(s % 3 != 0), r.where(s % 10 != 0), DIM, settings)
+    return out["buckets"]
+
+
+@_query(_with("paper", """select bucket, part, name, count(*) as n from (
+ select bucket, unnest([('all', 'all'), case when bucket = 'verified' then case when category in ('a', 'b') then ('category', category) end else ('reason', coalesce(reason, 'unknown')) end]) as x, x[1] as part, x[2] as name
+ from (select case seq % 3 when 0 then 'verified' when 1 then 'pending' else 'discarded' end as bucket, case seq % 4 when 0 then 'a' when 1 then 'b' else 'c' end as category, case when seq % 5 = 0 then null else source end as reason from paper)) where x is not null group by all"""))
+def bucket_report(spark, sf_dir):
+    s = F.col("seq")
+    p = shape(spark, sf_dir, "paper").withColumns({"bucket": F.when(s % 3 == 0, "verified").when(s % 3 == 1, "pending").otherwise("discarded"), "category": F.when(s % 4 == 0, "a").when(s % 4 == 1, "b").otherwise("c"), "reason": F.when(s % 5 != 0, F.col("source"))})
+    return P.bucket_report(p, ["a", "b"])
+
+
+@_query(_with("repo", """, m as (select seq, case when seq % 7 = 0 then 404 when seq % 7 = 1 then 403 else 200 end as status, seq % 11 = 0 as renamed, seq % 13 = 0 as archived, description from repo where seq % 2 = 0),
+v as (select r.seq, r.description as was, case when status = 404 then '404' when status = 200 and renamed then 'rename_redirect' when status = 200 and m.archived then 'archived' end as removed,
+ case when status = 200 then seq * 3 end as forks, case when status = 200 and seq % 3 = 0 then 'MIT' when status = 200 and seq % 3 = 1 then 'Own terms' end as license from repo r left join m using (seq))
+select 'removed' as part, coalesce(removed, 'none') as name, count(*) as n from v group by all union all select 'forks', cast(coalesce(forks, -1) % 10 as varchar), count(*) from v group by all union all select 'license', coalesce(license, 'unknown'), count(*) from v group by all"""))
+def repo_snapshots(spark, sf_dir):
+    s = F.col("seq")
+    r = shape(spark, sf_dir, "repo").withColumn("key", F.concat_ws("/", "owner", "repo"))
+    license_ = F.when(s % 3 == 0, F.struct(F.lit("MIT").alias("spdx_id"), F.lit("x").alias("name"))).when(s % 3 == 1, F.struct(F.lit(None).cast("string").alias("spdx_id"), F.lit("Own terms").alias("name")))
+    snap = r.where(s % 2 == 0).select("key", F.when(s % 7 == 0, 404).when(s % 7 == 1, 403).otherwise(200).alias("status"), F.when(s % 11 == 0, "other/name").otherwise(F.upper("key")).alias("full_name"), (s % 13 == 0).alias("archived"), (s * 3).alias("forks_count"), license_.alias("license"))
+    out = L.apply_repo_snapshot(r, snap)
+    named = out.select(F.coalesce("removed", F.lit("none")).alias("removed"), (F.coalesce("forks", F.lit(-1)) % 10).alias("forks"), "license")
+    return P.repo_report(named, None, ("removed", "forks", "license")).where("part <> 'all'")
+
+
+@_query("""select doc_id, case when a and not b then 'library prompt' when b and not a then 'infrastructure prompt' else 'unified prompt' end || case doc_id % 4 when 1 then ' [1 entry]' when 2 then ' [2 section]' else '' end as prompt,
+ case doc_id % 5 when 0 then 'uses' when 1 then 'referencing' when 4 then null else 'unclassified' end as category, case doc_id % 5 when 2 then 'llm_returned_unclassified' when 3 then 'llm_unparseable' end as why
+from (select doc_id, contains(lower(text), 'ation') as a, contains(lower(text), 'stupid') or contains(lower(text), 'licen') as b from documents where text is not null)""")
+def prompts_and_replies(spark, sf_dir):
+    d, i = table(spark, sf_dir, "documents").where("text is not null"), F.col("doc_id")
+    family = E.prompt_family(F.col("text"), ["ation"], ["stupid", "licen"])
+    prompts = {x: f"{x} prompt" for x in ("library", "infrastructure", "unified")}
+    prompt = E.build_prompt(family, prompts, i % 4, {1: "entry", 2: "section"}, " [{tier} {descriptor}]")
+    reply = F.when(i % 5 == 0, "It USES the tool").when(i % 5 == 1, " referencing ").when(i % 5 == 2, "unclassified").when(i % 5 == 3, "no idea")
+    label = E.parse_label(reply, ["uses", "referencing"])
+    return d.select("doc_id", prompt.alias("prompt"), label["category"].alias("category"), label["reason"].alias("why"))
+
+
+@_query("""with k as (select doc_id, text, lower(text) as low, (length(text) - length(replace(lower(text), 'ation', ''))) // 5 as n, strpos(lower(text), 'ation') - 1 as p from documents)
+select doc_id, cast(least(n, 5) as int) as windows, p as first_pos, substring(text, greatest(p - 500, 0) + 1, least(p, 500) + 505) as first_text from k where n > 0""")
+def keyword_windows(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("doc_id", E.keyword_windows(F.col("text"), ["ation"]).alias("w")).where(F.size("w") > 0)
+    return w.select("doc_id", F.size("w").alias("windows"), F.col("w")[0]["pos"].cast("long").alias("first_pos"), F.col("w")[0]["text"].alias("first_text"))
+
+
+@_query("""select doc_id, regexp_matches(text, 'ation') as plain, regexp_matches(replace(replace(text, 'tation ', ''), 'nation ', ''), 'ation') as own from documents where text is not null""")
+def usage_classes(spark, sf_dir):
+    t = F.col("text")
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", E.usage_class(t, "ation").alias("plain"), E.usage_class(F.regexp_replace(F.regexp_replace(t, "(?i)TATION ", "tation "), "(?i)NATION ", "nation "), "ation", [("t", " "), ("n", " ")]).alias("own"))
+
+
+@_query(_with("paper", """select seq, '@article{' || 'bee' || coalesce(cast(year as varchar), '') || lower(regexp_replace(regexp_extract(title, '^(\\S*)', 1), '[^A-Za-z0-9]', '', 'g')) || ',' || chr(10) || '  title = {' || trim(title) || '},' || chr(10) || '  author = {Ann Bee, Cy Dow},' || chr(10)
+ || case when year is null then '' else '  year = {' || year || '},' || chr(10) end || case when venue is null then '' else '  journal = {' || venue || '},' || chr(10) end || case when arxiv_id is null then '' else '  eprint = {' || arxiv_id || '},' || chr(10) end || case when doi is null then '' else '  doi = {' || doi || '},' || chr(10) end || '}' as bibtex,
+ case when seq % 4 = 0 then 'certain' when seq % 10 >= 9 then 'high' when seq % 10 = 0 then 'none' else null end as band from paper where coalesce(title, '') <> '' and (seq % 4 = 0 or seq % 10 in (0, 9))"""))
+def entry_texts(spark, sf_dir):
+    p, s, none = shape(spark, sf_dir, "paper"), F.col("seq"), F.lit(None).cast("string")
+    p = p.where("coalesce(title, '') <> '' and (seq % 4 = 0 or seq % 10 in (0, 9))")
+    band = K.band_from_score((s % 10) / 10.0, s % 4 == 0)
+    return p.select("seq", K.bibtex(F.col("title"), F.lit("Ann Bee, Cy Dow"), F.col("year"), F.col("venue"), none, F.col("arxiv_id"), F.col("doi")).alias("bibtex"), band.alias("band"))
+
+
+@_query("""select 'cited ' || doc_id as title, case when doc_id % 3 = 0 then '2407.' || lpad(cast(doc_id % 400 as varchar), 5, '0') when doc_id % 3 = 1 then '2301.00001' end as arxiv_id, 'A, B' as authors,
+ case when doc_id % 2 = 0 then 'ICML' else 'raw venue' end as venue, 2024 as year, case when doc_id % 5 = 0 then 'https://x.org/a.pdf' end as pdf_url from documents where doc_id % 7 <> 0""")
+def cited_records(spark, sf_dir):
+    raw = table(spark, sf_dir, "documents").selectExpr("case when doc_id % 7 = 0 then '' else concat('cited ', doc_id) end as title", "concat('P', doc_id) as paperId",
+        "case when doc_id % 3 = 0 then map('ArXiv', concat('2407.', lpad(cast(doc_id % 400 as string), 5, '0'))) when doc_id % 3 = 1 then map('DOI', '10.48550/arXiv.2301.00001') else map('DOI', '10.1/x') end as externalIds",
+        "array(named_struct('name', 'A'), named_struct('name', 'B')) as authors", "'raw venue' as venue", "case when doc_id % 2 = 0 then named_struct('name', 'ICML') end as publicationVenue", "'2024-05-06' as publicationDate",
+        "named_struct('url', case when doc_id % 5 = 0 then 'https://x.org/a.pdf' else 'https://doi.org/10.1/x' end) as openAccessPdf", "text as abstract", "'u' as url")
+    return L.citations_to_papers(raw).select("title", "arxiv_id", "authors", "venue", "year", "pdf_url")
+
+
+@_query("""select 'hit ' || doc_id as title, case doc_id % 3 when 0 then '2401.00002' when 1 then '2402.00003' end as arxiv_id, 'A One, B Two' as authors, case when doc_id % 2 = 0 then 2023 end as year, case when doc_id % 2 = 0 then 'Journal of Parts' else 'Only a venue' end as venue from documents""")
+def search_records(spark, sf_dir):
+    raw = table(spark, sf_dir, "documents").selectExpr("concat('hit ', doc_id) as title", "case when doc_id % 3 = 0 then 'https://arxiv.org/abs/2401.00002' else 'https://x.org/p' end as link", "case when doc_id % 3 = 1 then 'see 2402.00003 here' else 'nothing' end as snippet", "named_struct('summary', concat('A One, B Two - ', case when doc_id % 2 = 0 then 'Journal of Parts, 2023' else 'Only a venue' end, ' - host.org')) as publication_info")
+    return L.search_results_to_papers(raw).select("title", "arxiv_id", "authors", "year", "venue")
+
+
+@_query(_STATE + """select seq, title, bucket from (select *, seq % 3 as k from de) where bucket = 'pending' and k <> 0 and coalesce(trim(title), '') <> ''""")
+def state_round_trip(spark, sf_dir):
+    p = _papers(spark, sf_dir)
+    path = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp')}/state-{uuid.uuid4().hex}"
+    S.write_state(p, path)
+    # The second write leaves out whole buckets and reads what it replaces.
+    S.write_state(S.read_state(spark, path).where("bucket = 'pending' and seq % 3 <> 0"), path)
+    return S.read_state(spark, path).select("seq", "title", "bucket")
+
+
+@_query(_with("paper", """select title, authors, venue, year, url, description, category, case when seq % 4 = 0 then 'a.png' end as image, case when seq % 5 = 0 then 'o/r' end as project_url
+ from (select seq, title, cast(null as varchar) as authors, venue, year, cast(null as varchar) as url, cast(null as varchar) as description, 'referencing' as category from paper where seq % 2 = 1)"""))
+def public_paper_rows(spark, sf_dir):
+    s = F.col("seq")
+    return P.public_papers(_papers(spark, sf_dir).withColumns({"image": F.when(s % 4 == 0, "a.png").otherwise(""), "project_url": F.when(s % 5 == 0, "o/r")}))
+
+
+@_query(_with("repo", "select seq, stars, owner, repo from repo order by stars desc nulls last, lower(owner), lower(repo)"))
+def repo_listing(spark, sf_dir):
+    return P.repo_listing(shape(spark, sf_dir, "repo")).select("seq", "stars", "owner", "repo")
+
+
+@_query(_with("paper", """, f as (select distinct regexp_replace(trim(regexp_replace(title, '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s-]', '', 'g')), '\\s+', '-', 'g') || '.png' as name from paper where seq % 4 = 0)
+select seq, case when name is not null then '/images/' || name end as image, name is null as missing from (select seq, regexp_replace(trim(regexp_replace(title, '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s-]', '', 'g')), '\\s+', '-', 'g') || '.png' as want from paper) left join f on want = name"""))
+def reconciled_images(spark, sf_dir):
+    p = shape(spark, sf_dir, "paper")
+    files = p.where("seq % 4 = 0").select(F.concat(K.slug(F.col("title")), F.lit(".png")).alias("name"))
+    return P.reconcile_files(p.select("seq", "title"), files).select("seq", "image", "missing")
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _CASES.items()}
 

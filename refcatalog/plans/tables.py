@@ -13,12 +13,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a parquet table in ``spark.checkpoint.dir`` (a temporary folder where that is unset), read back: its lineage ends there."""
+    """``df`` as a parquet table in ``spark.checkpoint.dir``, read back: its lineage ends there.
+
+    Where that is unset, a temporary folder takes its place on a local master (tests); on a cluster that is an error.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/catalogue/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def replace(spark: SparkSession, staged: str, path: str) -> None:
+    """Puts the finished table at ``staged`` in the place of the one at ``path``, which goes last."""
+    names = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, own, old = (names.Path(x) for x in (staged, path, f"{path}_{uuid.uuid4().hex}_old"))
+    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = files.exists(own)
+    if there and not files.rename(own, old):
+        raise OSError(f"could not move {path}")
+    if not files.rename(new, own):
+        raise OSError(f"could not move {staged} to {path}")
+    if there:
+        files.delete(old, True)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..functions.venues import Venue
 
 
 def text_from_inverted_index(index: Column) -> Column:
@@ -54,17 +55,73 @@ def search_results_to_papers(raw: DataFrame) -> DataFrame:
     return raw.where(K.present(F.col("title")).isNotNull()).select("title", F.coalesce(*found).alias("arxiv_id"), doi.alias("doi"), parts["authors"].alias("authors"), parts["year"].alias("year"), parts["venue"].alias("venue"), F.col("link").alias("url"), F.col("snippet").alias("abstract"), F.lit("scholar").alias("source"))
 
 
-def links_from_pages(pages: DataFrame, pattern: str, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, link, hits): what the pattern's first group finds in each page's html."""
-    return pages.select(page_id, F.explode(F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))).alias("link")).groupBy(page_id, "link").agg(F.count(F.lit(1)).alias("hits"))
+def links_from_pages(pages: DataFrame, pattern: str, page_id: str = "page_id", html: str = "html", named: bool = False) -> DataFrame:
+    """(page_id, link, hits): what the pattern's first group finds in each page's html; with ``named`` only what reads ``owner/repo``."""
+    found = pages.select(page_id, F.explode(F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))).alias("link"))
+    found = found.where(F.col("link").rlike("^[^/\\s]+/[^/\\s]+$")) if named else found
+    return found.groupBy(page_id, "link").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def next_page(pages: DataFrame, pattern: str, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """(page_id, next): the last link of the pattern's first group, null where a page has none."""
+    found = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
+    return pages.select(page_id, F.when(F.size(found) > 0, F.element_at(found, -1)).alias("next"))
+
+
+#: What a repo takes over from its snapshot: its column, and the snapshot's.
+TAKEN = {"description": "description", "stars": "stargazers_count", "forks": "forks_count", "archived": "archived", "is_fork": "fork", "language": "language", "license": "license", "topics": "topics", "last_commit": "pushed_at"}
 
 
 def apply_repo_snapshot(repos: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Repos with ``removed``: why a repo goes (not found, renamed, archived), or null; a failed request keeps the stale row."""
-    now = snapshot.select("key", "status", F.lower("full_name").alias("now"), "archived")
-    out = repos.join(now, "key", "left")
-    why = F.when(F.col("status") == 404, "not_found").when((F.col("status") == 200) & (F.col("now") != F.lower("key")), "renamed").when((F.col("status") == 200) & F.col("archived"), "archived")
-    return out.withColumn("removed", why).drop("status", "now", "archived")
+    """Repos (key) with what their snapshot (key, status and any of ``TAKEN``) says, and ``removed``: why one goes (404, rename_redirect, archived), or null.
+
+    A failed or limited request keeps the row as it is. Where the snapshot is good, its values count, though an
+    empty description, licence or date leaves the old one; a licence is its spdx_id, else its name.
+    """
+    held = snapshot.select("key", F.struct(*(c for c in snapshot.columns if c != "key")).alias("__now"))
+    out = repos.join(held, "key", "left")
+    now = lambda c: F.col(f"__now.{c}")
+    good = F.coalesce(now("status") == 200, F.lit(False))
+    full = F.lower(K.present(now("full_name")))
+    why = F.when(now("status") == 404, "404").when(good & (full != F.lower("key")), "rename_redirect").when(good & now("archived"), "archived")
+    made = {}
+    for c, theirs in TAKEN.items():
+        if theirs not in snapshot.columns:
+            continue
+        value, old = now(theirs), F.col(c) if c in repos.columns else F.lit(None)
+        if c == "license":
+            value = F.coalesce(K.present(now("license.spdx_id")), K.present(now("license.name")), old)
+        elif c == "last_commit":
+            value = F.coalesce(F.to_date(F.substring(value, 1, 10)), old.cast("date"))
+        elif c == "description":
+            value = F.coalesce(K.present(value), old)
+        elif c in ("archived", "is_fork"):
+            value = F.coalesce(value, F.lit(False))
+        elif c == "topics":
+            value = F.coalesce(value, F.array().cast("array<string>"))
+        made[c] = F.when(good, value).otherwise(old)
+    return out.withColumn("removed", why).withColumns(made).drop("__now")
+
+
+def removals(repos: DataFrame) -> DataFrame:
+    """(reason, n) of the repos that ``apply_repo_snapshot`` removes."""
+    return repos.where("removed is not null").groupBy(F.col("removed").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: The form of a venue dimension: a document of venues by name.
+VENUES = "venues map<string, struct<type string, parent string, aliases array<string>>>"
+
+
+def load_venues(spark: SparkSession, path: str) -> DataFrame:
+    """(canonical, type, parent, alias, ord): a venue dimension from a JSON document (``VENUES``), one row for each alias, and one without for a venue that has none."""
+    named = spark.read.schema(VENUES).option("multiLine", True).json(path).select(F.explode("venues").alias("canonical", "v"))
+    return named.select("canonical", F.col("v.type").alias("type"), F.col("v.parent").alias("parent"), F.posexplode_outer("v.aliases").alias("ord", "alias"))
+
+
+def venue_list(dimension: DataFrame) -> list[Venue]:
+    """The dimension as the rules take it: a table of a few hundred names, in order. Workshops count as conferences there."""
+    rows = dimension.groupBy("canonical", "type").agg(F.array_sort(F.collect_list(F.when(F.col("alias").isNotNull(), F.struct("ord", "alias")))).alias("a")).orderBy("canonical").collect()
+    return [Venue(r["canonical"], r["type"], tuple(x["alias"] for x in r["a"])) for r in rows]
 
 
 def works_to_papers(raw: DataFrame) -> DataFrame:
