@@ -1,7 +1,13 @@
 """The corpus pipeline: documents in, packed sequences out, one operator a stage.
 
 Rejected documents, copies and contaminated passages go; secrets are masked; what
-is left is packed. Each stage works on all its predecessor kept.
+is left is packed. Each stage works on all its predecessor kept, with all columns.
+
+In every stage null and empty texts are documents without words: they are scored
+like others, are no copies of anything, hold no passages or secrets, and are packed
+as one end token. Null ids stay; repeated rows are copies, of which one stays; ties
+are told apart by the smallest id; columns may have any names; and an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from refcatalog.llm import decontam, near_dup, packing, quality, secrets
 from refcatalog.llm.queries import tokenizer_path
 from refcatalog.llm.shared import cut, table
 
-#: SQL can't express the trained classifiers; the stages are tested against brute force instead.
+#: SQL can't express the trained classifiers; tests/llm runs the stages on small texts with known results, on whole small tables, and on odd and empty ones.
 ORACLE_SQL = None
 
 
@@ -54,6 +60,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the packed pieces of what they keep."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .arrays import PairMap, slices
 
-#: Distinct pre-tokens remembered by a worker (about 100 bytes each).
-REMEMBERED = 500_000
+#: Bytes of distinct pre-tokens that a worker remembers, with 100 for the entry of each.
+REMEMBERED = 60 << 20
 _SPACE = "▁"
 
 
@@ -127,23 +127,27 @@ class PieceRanks:
         return total
 
 
-_models: dict[str, tuple[PieceRanks, dict[str, int]]] = {}
+_models: dict[str, PieceRanks] = {}
+_known: dict[str, tuple[dict[str, int], list[int]]] = {}
 
 
-def _model(path: str) -> tuple[PieceRanks, dict[str, int]]:
+def _model(path: str) -> tuple[PieceRanks, dict[str, int], list[int]]:
+    """The model, the counts remembered, and the bytes that they take (one number in a list)."""
     if path not in _models:
-        _models[path] = PieceRanks(path), {}
-    return _models[path]
+        _models[path], _known[path] = PieceRanks(path), ({}, [0])
+    return _models[path], *_known[path]
 
 
 def count_texts(texts: list[str | None], model_path: str) -> list[int]:
     """Tokens of each whole text (null: 0)."""
-    model, known = _model(model_path)
+    model, known, held = _model(model_path)
     split = [model.units(t or "") for t in texts]
     new = list(set().union(*split).difference(known))
     fresh = dict(zip(new, model.count(new).tolist(), strict=True)) if new else {}
-    if len(known) + len(fresh) <= REMEMBERED:
+    cost = sum(map(len, fresh)) + 100 * len(fresh)
+    if held[0] + cost <= REMEMBERED:
         known.update(fresh)
+        held[0] += cost
         return [sum(map(known.__getitem__, u)) for u in split]
     both = known | fresh if len(fresh) > len(known) else None
     if both is None:
