@@ -16,6 +16,7 @@ from ..operators import entities as M
 from ..operators import reports as R
 from ..operators.similar import dedup, similar_pairs
 from ..sources.landed import links_from_pages
+from .resolution_sql import resolution, similar
 from .tables import table
 
 SHAPES = {
@@ -314,12 +315,13 @@ def overlay_state(spark, sf_dir):
     return M.overlay(p.where(s % 2 == 0).select("seq", "source"), p.where(s % 3 == 0).select("seq", F.lit("fresh").alias("source")), "seq")
 
 
-@_query(None)
+@_query(_with("paper", f""", rows as (select seq as k, lower(trim(title)) as t from paper), {similar('s', 'rows')}
+select a, b, score from s union all select r.k, c.k, 100.0 from rows r join s_c c using (t) where r.k <> c.k"""))
 def similar_titles(spark, sf_dir):
     return similar_pairs(shape(spark, sf_dir, "paper").select("seq", "title"))
 
 
-@_query(None)
+@_query("with recursive " + _with("paper", f", {resolution('g', 'paper')} select seq, leader from g").removeprefix("with "))
 def dedup_papers(spark, sf_dir):
     return dedup(shape(spark, sf_dir, "paper").select("seq", "title", "arxiv_id", "doi"), ["arxiv_id", "doi"])
 

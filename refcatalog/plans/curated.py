@@ -20,6 +20,7 @@ from ..operators import state as S
 from ..operators.similar import dedup
 from ..sources import landed as L
 from .catalogue import DIM, _with, shape
+from .resolution_sql import resolution, similar
 from .tables import table, written
 
 _CASES: dict[str, tuple] = {}
@@ -282,13 +283,40 @@ def run(sources: list[tuple[int, DataFrame]], state: DataFrame, texts: DataFrame
     return {"papers": papers, "repos": both, "routes": P.counts_by(routes, "route"), "stats": stats, "buckets": P.bucket_report(papers, settings["categories"])}
 
 
-@_query(None)
+_DISCOVERED = f""", r as (select *, case when seq % 2 = 0 then 1::bigint << 52 else 0 end + seq as ord from paper where title is null or lower(trim(title)) <> 'the'),
+k as (select ord as seq, title, arxiv_id, doi from r), {resolution('g', 'k')},
+c as (select r.*, leader, venue in ('International Conference on Machine Learning', 'ICLR 2026 Poster', 'Nature Methods') as sure from r join g on r.ord = g.seq)
+select max(seq) filter (where ord = leader) as seq, arg_min(title, ord) filter (where trim(title) <> '') as title, arg_min(arxiv_id, ord) filter (where arxiv_id is not null) as arxiv_id, arg_min(doi, ord) filter (where doi is not null) as doi,
+ arg_min(year, ord) filter (where year is not null) as year, coalesce(arg_min(venue, ord) filter (where sure), arg_min(venue, ord) filter (where venue is not null)) as venue, arg_min(source, ord) as source
+from c group by leader having coalesce(arg_min(year, ord) filter (where year is not null), 2022) >= 2022"""
+
+
+@_query("with recursive " + _with("paper", _DISCOVERED).removeprefix("with "))
 def discovery_run(spark, sf_dir):
     p, s = shape(spark, sf_dir, "paper"), F.col("seq")
     return discover([(1, p.where(s % 2 == 0)), (0, p.where(s % 2 == 1))], 2022, ["the"], DIM).select("seq", "title", "arxiv_id", "doi", "year", "venue", "source")
 
 
-@_query(None)
+_MERGED = f""", o as (select *, seq % 23 = 0 as kept from paper where seq % 10 <> 9), n as (select * replace (seq + 1000000000000 as seq), seq % 23 = 0 as kept from paper where seq % 3 = 0),
+ma as (select arxiv_id, max(seq) as m from o where arxiv_id is not null group by 1), md as (select doi, max(seq) as m from o where doi is not null group by 1),
+byid as (select n.*, coalesce(ma.m, md.m) as m from n left join ma on n.arxiv_id = ma.arxiv_id left join md on n.doi = md.doi),
+tt as (select seq as k, lower(trim(title)) as t, seq as o from o union all select seq, lower(trim(title)), null from byid where m is null), {similar('s', 'tt')},
+oc as (select t, min(o) as o from tt group by t), cls as (select c.k, oc.o from s_c c join oc using (t)),
+near as (select a as k, b as other, score from s union all select b, a, score from s union all select k, k, 100.0 from s_c),
+best as (select near.k, arg_min(cls.o, (-score, cls.o)) as m from near join cls on near.other = cls.k where cls.o is not null group by near.k),
+met as (select byid.* replace (coalesce(byid.m, best.m) as m) from byid left join s_c c on c.t = lower(trim(title)) left join best on best.k = c.k),
+rest as (select * from met where m is null), {resolution('g', 'rest')},
+ups as (select * from met where m is not null union all select rest.* replace (leader as m) from rest join g using (seq) where leader <> seq),
+base as (select *, false as added from o union all select rest.* exclude (m), true from rest join g using (seq) where leader = seq),
+u as (select m, arg_max(venue, seq) filter (where venue is not null) as venue, arg_min(year, seq) filter (where year > 0) as year, arg_min(doi, seq) filter (where doi is not null) as doi,
+ arg_min(arxiv_id, seq) filter (where arxiv_id is not null) as arxiv_id, arg_min(abstract, seq) filter (where trim(abstract) <> '') as abstract from ups group by m)
+select seq, title, case when kept then b.venue else coalesce(u.venue, b.venue) end as venue, added,
+ not kept and (coalesce(u.venue, b.venue) is distinct from b.venue or coalesce(b.year, u.year) is distinct from b.year or coalesce(b.doi, u.doi) is distinct from b.doi
+  or coalesce(b.arxiv_id, u.arxiv_id) is distinct from b.arxiv_id or (coalesce(trim(b.abstract), '') = '' and coalesce(u.abstract, b.abstract) is distinct from b.abstract)) as changed
+from base b left join u on b.seq = u.m"""
+
+
+@_query("with recursive " + _with("paper", _MERGED).removeprefix("with "))
 def merged_papers(spark, sf_dir):
     old, new = (x.where(F.col("seq") % 10 != 9) if i == 0 else x.where(F.col("seq") % 3 == 0) for i, x in enumerate([_papers(spark, sf_dir)] * 2))
     shifted = new.withColumn("seq", F.col("seq") + 10**12)
