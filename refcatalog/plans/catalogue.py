@@ -36,6 +36,18 @@ select c_custkey as seq, concat('owner', cast(c_nationkey as string)) as owner,
  case when c_custkey % 6 = 0 then concat('https://arxiv.org/abs/2407.', lpad(cast(c_nationkey as string),5,'0')) end as linked_paper_url,
  case when c_custkey % 6 = 0 then cast(1 + c_custkey % 4 as int) end as linked_paper_tier,
  case when c_custkey % 17 = 0 then 'course-org/exercises' end as parent_full_name from customer""",
+    # Names, identifiers and links of many forms, each document with one of each.
+    "named": """
+select doc_id as seq, case when doc_id % 13 = 0 then null else cast(2021 + doc_id % 6 as int) end as year,
+ case doc_id % 20 when 0 then 'Proceedings of the 41st International Conference on Machine Learning' when 1 then 'ICLR 2026 Poster' when 2 then 'arXiv (Cornell University)' when 3 then 'Handbook of Human'
+   when 4 then 'Nature Methods' when 5 then 'ICML 2025 Conference Desk Rejected Submission' when 6 then 'ICLR 2025 Desk Rejected Submission' when 7 then 'The Journal of Parts (Volume 2: Long Papers)'
+   when 8 then 'arXiv preprint arXiv:2401.00001' when 9 then 'ICML 2025 2025' when 10 then 'Workshop on Graphs, 2024' when 11 then 'International Conference on 2023' when 12 then 'Transactions … on   Parts...'
+   when 13 then '3rd Meeting of Parts' when 14 then 'Parts (unfinished' when 15 then null when 16 then '  ' when 17 then concat('Symposium ', cast(doc_id % 97 as string), ' Oral') when 18 then 'SSRN Electronic Journal' else concat('Letters on ', cast(2000 + doc_id % 30 as string)) end as venue,
+ case when doc_id % 3 = 0 then concat('2407.', lpad(cast(doc_id % 400 as string),5,'0')) end as arxiv_id,
+ case doc_id % 17 when 0 then concat('10.18653/v1/', cast(2015 + doc_id % 11 as string), '.findings-emnlp.', cast(doc_id as string)) when 1 then '10.18653/v1/2024.findings-acl.7' when 2 then '10.18653/v1/2022.findings-naacl.3' when 3 then '10.18653/v1/2023.blackboxnlp-1.2'
+   when 4 then concat('10.18653/v1/', cast(2015 + doc_id % 11 as string), '.acl-long.9') when 5 then '10.18653/v1/2024.naacl-long.1' when 6 then '10.18653/V1/2024.EMNLP-main.4' when 7 then '10.18653/v1/2023.eacl-main.5' when 8 then '10.18653/v1/2022.aacl-short.6'
+   when 9 then '10.1145/3715275.3732001' when 10 then '10.1145/3630106.3658901' when 11 then '10.48550/arXiv.2401.00001' when 12 then '10.18653/v1/W19-4828' when 13 then '10.1145/1.2' when 14 then '10.18653/v1/2024.findings-eacl.1' when 15 then concat('10.1000/', cast(doc_id as string)) end as doi,
+ case doc_id % 8 when 0 then 'https://openreview.net/forum?id=a' when 1 then 'https://aclanthology.org/2024.acl-long.1' when 2 then 'https://dl.acm.org/doi/10.1145/1' when 3 then 'https://arxiv.org/pdf/2407.1' when 4 then concat('https://x.org/', cast(doc_id as string)) when 5 then '' end as url from documents""",
     "figure": """
 select doc_id, concat('Figure ', cast(1 + doc_id % 4 as string), ': ',
  case doc_id % 3 when 0 then 'circuit overview' when 1 then 'logo of sponsor' else 'attention pattern' end) as caption,
@@ -84,12 +96,13 @@ def paper_hashes(spark, sf_dir):
     return p.select("seq", K.paper_hash(F.col("title"), F.col("abstract")).alias("content_hash"), K.usable_abstract(F.col("abstract")).alias("usable"))
 
 
-@_query(_with("paper", """
-select seq, case when arxiv_id is not null then 'https://arxiv.org/abs/' || arxiv_id
- when doi is not null then 'https://doi.org/' || doi else '' end as url from paper"""))
+@_query(_with("named", """
+select seq, case when contains(url, 'openreview.net') then url
+ when arxiv_id is not null and not (regexp_matches(coalesce(url, ''), 'aclanthology[.]org|dl[.]acm[.]org') and not contains(url, 'arxiv')) then 'https://arxiv.org/abs/' || arxiv_id
+ when doi is not null and coalesce(url, '') = '' then 'https://doi.org/' || doi else coalesce(url, '') end as url from named"""))
 def best_urls(spark, sf_dir):
-    p = shape(spark, sf_dir, "paper")
-    return p.select("seq", K.best_url(F.lit(None).cast("string"), F.col("arxiv_id"), F.col("doi")).alias("url"))
+    p = shape(spark, sf_dir, "named")
+    return p.select("seq", K.best_url(F.col("url"), F.col("arxiv_id"), F.col("doi")).alias("url"))
 
 
 @_query("""
@@ -106,19 +119,35 @@ def title_slugs(spark, sf_dir):
     return p.select("seq", K.slug(F.col("title")).alias("slug"), K.file_slug(F.col("title")).alias("file_slug"))
 
 
-@_query(_with("paper", "select seq, case when doi is null then '' else 'ACL 2025' end as doi_venue from paper"))
+@_query(_with("named", """
+select seq, case when lower(doi) like '10.48550/arxiv.%' then 'ArXiv' when doi like '10.1145/3715275%' then 'FAccT 2025' when doi like '10.1145/3630106%' then 'FAccT 2024'
+ when x.part in ('findings-emnlp', 'findings-acl', 'findings-naacl') then 'Findings of ' || upper(substring(x.part, 10)) || ' ' || x.y when x.part = 'blackboxnlp' then 'BlackboxNLP ' || x.y
+ when x.part in ('acl', 'naacl', 'emnlp', 'eacl', 'aacl') and x.dash = '-' then upper(x.part) || ' ' || x.y else '' end as doi_venue
+from (select seq, doi, regexp_extract(lower(doi), '^10[.]18653/v1/([0-9]{4})[.](findings-[a-z]+|[a-z]+)(-?)', ['y', 'part', 'dash']) as x from named)"""))
 def doi_venues(spark, sf_dir):
-    return shape(spark, sf_dir, "paper").select("seq", V.venue_from_doi(F.col("doi")).alias("doi_venue"))
-
-
-@_query(_with("paper", """
-select seq, case seq % 6 when 0 then trim('ICML ' || coalesce(cast(year as string), '')) when 1 then 'ICLR 2026' when 2 then ''
- when 3 then trim('Handbook of Human ' || coalesce(cast(year as string), '')) when 4 then trim('Nature Methods ' || coalesce(cast(year as string), '')) else '' end as venue,
- case seq % 6 when 0 then 'preprint' when 1 then 'conference' when 2 then 'preprint' when 4 then 'journal' else 'preprint' end as kind,
- coalesce(seq % 6 in (1, 4), false) as reviewed,
- case seq % 6 when 0 then 'conference' when 1 then 'conference' when 2 then 'preprint' when 4 then 'journal' else 'unknown' end as route_kind from paper"""))
+    return shape(spark, sf_dir, "named").select("seq", V.venue_from_doi(F.col("doi")).alias("doi_venue"))
+
+
+#: The rule step by step; DIM has one alias. RE2 knows no back references, so a doubled year is compared as two groups.
+_NORMAL = """, a as (select *, replace(trim(venue), '…', '') as v from named),
+b as (select * replace (regexp_replace(regexp_replace(regexp_replace(v, '[.]{3,}', '', 'g'), '\\s+', ' ', 'g'), '^[ ,;-]+|[ ,;-]+$', '', 'g') as v) from a),
+c as (select * replace (trim(regexp_replace(v, '(?i)^Proceedings?\\s+of\\s+(the\\s+)?([0-9]+(st|nd|rd|th)\\s+)?', '')) as v) from b),
+d as (select * replace (trim(regexp_replace(v, '(?i)\\s*[(]Volume\\s+[0-9]+:[^)]*[)]', '', 'g')) as v) from c),
+e as (select * replace (trim(regexp_replace(v, '(?i)\\s+(Poster|Spotlight|Oral|Conference Desk Rejected Submission|Desk Rejected Submission)\\b', '', 'g')) as v) from d),
+f as (select * replace (regexp_replace(trim(regexp_replace(v, '(?i)\\s*[(]Cornell\\s+University[)]\\s*', ' ', 'g')), '(?i)^(the|a|an)\\s+', '') as v) from e),
+g as (select * replace (trim(regexp_replace(v, '(?i)International Conference on Machine Learning', 'ICML', 'g')) as v) from f),
+h as (select * replace (case when x.one <> '' and x.one = x.two then replace(v, x.all, x.one) else v end as v) from (select *, regexp_extract(v, '(\\b(20[0-9]{2})\\s+(20[0-9]{2})\\b)', ['all', 'one', 'two']) as x from g)),
+i as (select * replace (regexp_replace(regexp_replace(v, '\\s*,\\s+([0-9]{4}\\b)', ' \\1', 'g'), '^[ ,;-]+|[ ,;-]+$', '', 'g') as v) from h),
+j as (select *, regexp_full_match(v, '(?i)(""" + "|".join(V.PLACEHOLDERS) + """)') or length(replace(v, '(', '')) <> length(replace(v, ')', '')) or regexp_matches(v, '(?i)^[0-9]+(st|nd|rd|th)\\b') as junk, lower(venue) as low from i)
+select seq, case when coalesce(trim(venue), '') = '' or junk then '' when year > 0 and not regexp_matches(v, '\\b20[0-9]{2}\\b') then trim(v || ' ' || year) else v end as venue,
+ case when contains(low, 'arxiv') then 'preprint' when contains(low, 'workshop') then 'workshop' when contains(low, 'nature methods') then 'journal' when contains(low, 'icml') or contains(low, 'iclr') then 'conference' else 'preprint' end as kind,
+ coalesce(not contains(low, 'arxiv') and regexp_matches(low, 'icml|iclr|nature methods|workshop'), false) as reviewed,
+ case when contains(low, 'arxiv') then 'preprint' when regexp_matches(low, '""" + "|".join(V.ROUTE_CONFERENCE) + """') then 'conference' when regexp_matches(low, '""" + "|".join(V.ROUTE_JOURNAL) + """') then 'journal' else 'unknown' end as route_kind from j"""
+
+
+@_query(_with("named", _NORMAL))
 def venue_normal_forms(spark, sf_dir):
-    p, v = shape(spark, sf_dir, "paper"), F.col("venue")
+    p, v = shape(spark, sf_dir, "named"), F.col("venue")
     return p.select("seq", V.normalize_venue(v, F.col("year"), DIM).alias("venue"), V.venue_type(v, DIM).alias("kind"), V.peer_reviewed(v, DIM).alias("reviewed"), V.route_venue_type(v).alias("route_kind"))
 
 
