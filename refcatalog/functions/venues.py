@@ -65,10 +65,10 @@ def venue_from_doi(doi: Column) -> Column:
 
 
 def is_preprint(venue: Column) -> Column:
-    """Placeholders, and names that are cut off (an open bracket) or begin with an ordinal."""
-    v = F.trim(venue)
+    """No name at all (null or blank), placeholders, and names that are cut off (an open bracket) or begin with an ordinal."""
+    v = F.trim(F.coalesce(venue, F.lit("")))
     cut_off = F.regexp_count(v, F.lit(r"\(")) != F.regexp_count(v, F.lit(r"\)"))
-    return F.coalesce(v.rlike(f"(?i)^(?:{'|'.join(PLACEHOLDERS)})$") | cut_off | v.rlike(r"(?i)^\d+(st|nd|rd|th)\b"), F.lit(False))
+    return (v == "") | v.rlike(f"(?i)^(?:{'|'.join(PLACEHOLDERS)})$") | cut_off | v.rlike(r"(?i)^\d+(st|nd|rd|th)\b")
 
 
 def has_known_venue(venue: Column, dim: list[Venue]) -> Column:

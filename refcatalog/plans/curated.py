@@ -97,29 +97,33 @@ def venue_cascade(spark, sf_dir):
     return N.resolve_venue(p, DIM).select("seq", "venue", "venue_source", "year")
 
 
-@_query(_with("paper", """, q as (select *, venue is null or seq % 6 = 2 as open_ from paper),
+@_query(_with("paper", """, q as (select *, venue is null or seq % 9 in (0, 3) as open_ from paper),
 reg as (select doi as k, min(seq) as m from paper where doi is not null and seq % 2 = 0 group by 1), feed as (select arxiv_id as k, min('author ' || lpad(cast(seq as varchar), 9, '0')) as a from paper where arxiv_id is not null and seq % 2 = 1 group by 1),
-cit as (select arxiv_id as k from paper where arxiv_id is not null and seq % 4 = 0 group by 1)
-select q.seq, reg.k is not null as crossref, cit.k is not null as s2, feed.k is not null as noted, feed.a as authors from q left join reg on doi = reg.k left join cit on arxiv_id = cit.k and venue is not null and seq % 6 = 2 left join feed on arxiv_id = feed.k"""))
+cit as (select arxiv_id as k from paper where arxiv_id is not null and seq % 4 = 0 group by 1), citd as (select doi as k from paper where doi is not null and seq % 4 = 0 group by 1),
+rev as (select lower(trim(title)) as k, min('ICLR ' || lpad(cast(seq as varchar), 9, '0')) as v from paper where seq % 5 = 0 and lower(trim(title)) <> '' group by 1)
+select q.seq, reg.k is not null as crossref, cit.k is not null or citd.k is not null as s2, feed.k is not null as noted, feed.a as authors, rev.v as review from q left join rev on lower(trim(title)) = rev.k and open_ left join reg on doi = reg.k left join cit on arxiv_id = cit.k and open_ left join citd on doi = citd.k and open_ and arxiv_id is null left join feed on arxiv_id = feed.k"""))
 def venue_signals(spark, sf_dir):
     p, s = shape(spark, sf_dir, "paper"), F.col("seq")
-    papers = p.withColumns({"affiliations": F.lit(None).cast("string"), "authors": F.lit(None).cast("string")})
+    held = F.when(s % 9 == 0, F.lit(None).cast("string")).when(s % 9 == 3, "arXiv preprint 2401").otherwise(F.col("venue"))
+    papers = p.withColumns({"venue": held, "affiliations": F.lit(None).cast("string"), "authors": F.lit(None).cast("string")})
     registry = p.where(s % 2 == 0).select("doi", F.lit("ACL").alias("venue"), F.lit("First Lab").alias("affiliations"))
-    citations = p.where(s % 4 == 0).select("arxiv_id", F.lit(None).cast("string").alias("doi"), F.lit("ICML").alias("venue"))
-    reviews = p.where("false").select("title", F.lit("ICLR").alias("venue"))
+    citations = p.where(s % 4 == 0).select("arxiv_id", "doi", F.lit("ICML").alias("venue"))
+    reviews = p.where(s % 5 == 0).select("title", F.concat(F.lit("ICLR "), F.lpad(s.cast("string"), 9, "0")).alias("venue"))
     feed = p.where(s % 2 == 1).select("arxiv_id", F.concat(F.lit("author "), F.lpad(s.cast("string"), 9, "0")).alias("authors"), F.lit(None).cast("string").alias("affiliations"), F.lit(None).cast("string").alias("journal_ref"), F.lit("Accepted at ICML 2024").alias("comment"))
     out = N.collect_signals(papers, registry, citations, reviews, feed)
     there = lambda k: F.map_contains_key("signals", F.lit(k))
-    return out.select("seq", there("crossref").alias("crossref"), there("s2").alias("s2"), there("arxiv_comment").alias("noted"), "authors")
+    return out.select("seq", there("crossref").alias("crossref"), there("s2").alias("s2"), there("arxiv_comment").alias("noted"), "authors", F.try_element_at("signals", F.lit("openreview")).alias("review"))
 
 
 @_query(_with("paper", """, w as (select seq, arxiv_id, doi, case when seq % 3 = 0 then 'Lab ' || lpad(cast(seq as varchar), 9, '0') end as a from paper where seq % 2 = 0),
-x as (select arxiv_id as k, min(a) as a from w where arxiv_id is not null group by 1), y as (select doi as k, min(a) as a from w where doi is not null group by 1)
-select seq, case when seq % 5 = 1 then 'own' when x.k is not null then x.a else y.a end as affiliations from paper left join x on arxiv_id = x.k left join y on doi = y.k"""))
+x as (select arxiv_id as k, min(a) as a from w where arxiv_id is not null group by 1), y as (select doi as k, min(a) as a from w where doi is not null group by 1),
+t as (select lower(trim(title)) as k, min(a) as a from w join paper using (seq) where seq % 4 = 0 and trim(title) <> '' group by 1), z as (select 'W' || seq as k, a from w where seq % 4 = 0)
+select seq, case when seq % 5 = 1 then 'own' when z.k is not null then z.a when x.k is not null then x.a when y.k is not null then y.a else t.a end as affiliations
+from paper left join x on arxiv_id = x.k left join y on doi = y.k left join t on lower(trim(title)) = t.k left join z on seq % 9 = 0 and 'W' || seq = z.k"""))
 def affiliation_backfill(spark, sf_dir):
     p, s, none = shape(spark, sf_dir, "paper"), F.col("seq"), F.lit(None).cast("string")
-    works = p.where(s % 2 == 0).select("arxiv_id", "doi", none.alias("title"), none.alias("openalex_id"), F.when(s % 3 == 0, F.concat(F.lit("Lab "), F.lpad(s.cast("string"), 9, "0"))).alias("affiliations"))
-    papers = p.withColumns({"affiliations": F.when(s % 5 == 1, "own"), "openalex_id": none})
+    works = p.where(s % 2 == 0).select("arxiv_id", "doi", F.when(s % 4 == 0, F.col("title")).alias("title"), F.when(s % 4 == 0, F.concat(F.lit("W"), s)).alias("openalex_id"), F.when(s % 3 == 0, F.concat(F.lit("Lab "), F.lpad(s.cast("string"), 9, "0"))).alias("affiliations"))
+    papers = p.withColumns({"affiliations": F.when(s % 5 == 1, "own"), "openalex_id": F.when(s % 9 == 0, F.concat(F.lit("https://openalex.org/W"), s))})
     return N.fill_affiliations(papers, works).select("seq", "affiliations")
 
 

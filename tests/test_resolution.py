@@ -191,3 +191,8 @@ def test_venue_dimension_pages_and_snapshots(spark, tmp_path):
     assert sorted(tuple(r) for r in landed.removals(out).collect()) == [("404", 1), ("rename_redirect", 1)]
     figures = spark.createDataFrame([(1, 25, 0), (2, 3, 1), (3, 3, 0), (4, None, None)], "page_num int, n_drawings int, n_images int")
     assert [r["page_num"] for r in reports.pages_with_figures(figures).collect()] == [1, 2]
+
+
+def test_rows_without_a_venue_are_placeholders(spark):
+    rows = spark.createDataFrame([(1, None), (2, " "), (3, "arXiv preprint arXiv:2401.1"), (4, "Parts (cut"), (5, "3rd Meeting"), (6, "ICML 2024"), (7, "arXiv (Cornell University)")], "seq long, venue string")
+    assert [r["p"] for r in rows.select("seq", venues.is_preprint(F.col("venue")).alias("p")).orderBy("seq").collect()] == [True, True, True, True, True, False, False]
