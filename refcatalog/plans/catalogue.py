@@ -119,17 +119,19 @@ def title_slugs(spark, sf_dir):
     return p.select("seq", K.slug(F.col("title")).alias("slug"), K.file_slug(F.col("title")).alias("file_slug"))
 
 
-@_query(_with("named", """
-select seq, case when lower(doi) like '10.48550/arxiv.%' then 'ArXiv' when doi like '10.1145/3715275%' then 'FAccT 2025' when doi like '10.1145/3630106%' then 'FAccT 2024'
+DOI_RULE = """case when lower(doi) like '10.48550/arxiv.%' then 'ArXiv' when doi like '10.1145/3715275%' then 'FAccT 2025' when doi like '10.1145/3630106%' then 'FAccT 2024'
  when x.part in ('findings-emnlp', 'findings-acl', 'findings-naacl') then 'Findings of ' || upper(substring(x.part, 10)) || ' ' || x.y when x.part = 'blackboxnlp' then 'BlackboxNLP ' || x.y
- when x.part in ('acl', 'naacl', 'emnlp', 'eacl', 'aacl') and x.dash = '-' then upper(x.part) || ' ' || x.y else '' end as doi_venue
-from (select seq, doi, regexp_extract(lower(doi), '^10[.]18653/v1/([0-9]{4})[.](findings-[a-z]+|[a-z]+)(-?)', ['y', 'part', 'dash']) as x from named)"""))
+ when x.part in ('acl', 'naacl', 'emnlp', 'eacl', 'aacl') and x.dash = '-' then upper(x.part) || ' ' || x.y else '' end"""
+DOI_PARTS = "regexp_extract(lower(doi), '^10[.]18653/v1/([0-9]{4})[.](findings-[a-z]+|[a-z]+)(-?)', ['y', 'part', 'dash'])"
+
+
+@_query(_with("named", f"select seq, {DOI_RULE} as doi_venue from (select seq, doi, {DOI_PARTS} as x from named)"))
 def doi_venues(spark, sf_dir):
     return shape(spark, sf_dir, "named").select("seq", V.venue_from_doi(F.col("doi")).alias("doi_venue"))
 
 
 #: The rule step by step; DIM has one alias. RE2 knows no back references, so a doubled year is compared as two groups.
-_NORMAL = """, a as (select *, replace(trim(venue), '…', '') as v from named),
+NORMAL = """, a as (select *, replace(trim(venue), '…', '') as v from named),
 b as (select * replace (regexp_replace(regexp_replace(regexp_replace(v, '[.]{3,}', '', 'g'), '\\s+', ' ', 'g'), '^[ ,;-]+|[ ,;-]+$', '', 'g') as v) from a),
 c as (select * replace (trim(regexp_replace(v, '(?i)^Proceedings?\\s+of\\s+(the\\s+)?([0-9]+(st|nd|rd|th)\\s+)?', '')) as v) from b),
 d as (select * replace (trim(regexp_replace(v, '(?i)\\s*[(]Volume\\s+[0-9]+:[^)]*[)]', '', 'g')) as v) from c),
@@ -138,14 +140,15 @@ f as (select * replace (regexp_replace(trim(regexp_replace(v, '(?i)\\s*[(]Cornel
 g as (select * replace (trim(regexp_replace(v, '(?i)International Conference on Machine Learning', 'ICML', 'g')) as v) from f),
 h as (select * replace (case when x.one <> '' and x.one = x.two then replace(v, x.all, x.one) else v end as v) from (select *, regexp_extract(v, '(\\b(20[0-9]{2})\\s+(20[0-9]{2})\\b)', ['all', 'one', 'two']) as x from g)),
 i as (select * replace (regexp_replace(regexp_replace(v, '\\s*,\\s+([0-9]{4}\\b)', ' \\1', 'g'), '^[ ,;-]+|[ ,;-]+$', '', 'g') as v) from h),
-j as (select *, regexp_full_match(v, '(?i)(""" + "|".join(V.PLACEHOLDERS) + """)') or length(replace(v, '(', '')) <> length(replace(v, ')', '')) or regexp_matches(v, '(?i)^[0-9]+(st|nd|rd|th)\\b') as junk, lower(venue) as low from i)
-select seq, case when coalesce(trim(venue), '') = '' or junk then '' when year > 0 and not regexp_matches(v, '\\b20[0-9]{2}\\b') then trim(v || ' ' || year) else v end as venue,
+j as (select *, regexp_full_match(v, '(?i)(""" + "|".join(V.PLACEHOLDERS) + """)') or length(replace(v, '(', '')) <> length(replace(v, ')', '')) or regexp_matches(v, '(?i)^[0-9]+(st|nd|rd|th)\\b') as junk, lower(venue) as low from i)"""
+NORMAL_NAME = "case when coalesce(trim(venue), '') = '' or junk then '' when year > 0 and not regexp_matches(v, '\\b20[0-9]{2}\\b') then trim(v || ' ' || year) else v end"
+_TYPES = """
  case when contains(low, 'arxiv') then 'preprint' when contains(low, 'workshop') then 'workshop' when contains(low, 'nature methods') then 'journal' when contains(low, 'icml') or contains(low, 'iclr') then 'conference' else 'preprint' end as kind,
  coalesce(not contains(low, 'arxiv') and regexp_matches(low, 'icml|iclr|nature methods|workshop'), false) as reviewed,
  case when contains(low, 'arxiv') then 'preprint' when regexp_matches(low, '""" + "|".join(V.ROUTE_CONFERENCE) + """') then 'conference' when regexp_matches(low, '""" + "|".join(V.ROUTE_JOURNAL) + """') then 'journal' else 'unknown' end as route_kind from j"""
 
 
-@_query(_with("named", _NORMAL))
+@_query(_with("named", f"{NORMAL} select seq, {NORMAL_NAME} as venue, {_TYPES}"))
 def venue_normal_forms(spark, sf_dir):
     p, v = shape(spark, sf_dir, "named"), F.col("venue")
     return p.select("seq", V.normalize_venue(v, F.col("year"), DIM).alias("venue"), V.venue_type(v, DIM).alias("kind"), V.peer_reviewed(v, DIM).alias("reviewed"), V.route_venue_type(v).alias("route_kind"))

@@ -19,7 +19,7 @@ from ..operators import reports as P
 from ..operators import state as S
 from ..operators.similar import dedup
 from ..sources import landed as L
-from .catalogue import DIM, _with, shape
+from .catalogue import DIM, DOI_PARTS, DOI_RULE, NORMAL, NORMAL_NAME, _with, shape
 from .resolution_sql import resolution, similar
 from .tables import table, written
 
@@ -82,18 +82,27 @@ def image_scores(spark, sf_dir):
     return d.select("doc_id", G.page_section(F.col("text")).alias("section"), score.alias("score"))
 
 
-_CASCADE = _with("paper", """
-select seq, case when doi is not null then 'ACL 2025' when seq % 7 = 1 then 'ICLR 2024' when seq % 7 = 2 then trim('ICML ' || coalesce(cast(year as varchar), ''))
- when seq % 6 = 0 then trim('ICML ' || coalesce(cast(year as varchar), '')) when seq % 6 = 1 then 'ICLR 2026' when seq % 6 = 4 then trim('Nature Methods ' || coalesce(cast(year as varchar), '')) else trim('ArXiv ' || coalesce(cast(year as varchar), '')) end as venue,
- case when doi is not null then 'doi_prefix' when seq % 7 = 1 then 'arxiv_comment_parsed' when seq % 7 = 2 then 's2' when seq % 6 in (0, 1, 4) then 'existing' else 'fallback' end as venue_source,
- case when doi is not null then 2025 when seq % 7 = 1 then 2024 else year end as year from paper""")
+#: What is offered, in order, put into normal form; the first that is known counts.
+_CASCADE = _with("named", f""", told as (select *, case seq % 7 when 1 then 'Accepted at ICLR 2024.' when 4 then 'To appear in Nature Methods, 2025' when 5 then '12 pages' end as comment,
+  case seq % 11 when 2 then 'ICML' when 3 then 'corr 2023' when 4 then 'Some Meeting' end as s2, case seq % 5 when 3 then 'A series of notes' when 4 then 'Nature Methods' end as crossref, {DOI_PARTS} as x from named),
+said as (select *, regexp_extract(comment, '(?i)\\b(Accepted (at|to|in)|Published (in|at)|Appeared (at|in)|Presented at|To appear (in|at)|Camera-ready for)\\b\\s+(.+?)\\s+\\b(20[0-9]{{2}})\\b', ['a', 'b', 'c', 'd', 'e', 'name', 'dated']) as n from told),
+offers as (select seq, year, unnest([{{'at': 1, 'source': 'doi_prefix', 'raw': {DOI_RULE}}}, {{'at': 2, 'source': 'arxiv_comment_parsed', 'raw': case when n.name <> '' then regexp_replace(trim(n.name), '[,.;:]+$', '') || ' ' || n.dated end}},
+  {{'at': 3, 'source': 's2', 'raw': s2}}, {{'at': 4, 'source': 'crossref', 'raw': crossref}}, {{'at': 5, 'source': 'existing', 'raw': venue}}]) as o from said),
+offered as (select seq, year, o.at as nth, o.source as source, o.raw as venue from offers where trim(o.raw) <> '')
+""" + NORMAL.replace("from named)", "from offered)", 1) + f""", normal as (select seq, nth, source, {NORMAL_NAME} as name from j),
+best as (select seq, arg_min(name, nth) as name, arg_min(source, nth) as source from normal where name <> '' and (source = 'doi_prefix' or regexp_matches(name, '(?i)\\b(ICML|ICLR)\\b|nature methods')) group by seq)
+select seq, coalesce(name, trim('ArXiv ' || coalesce(cast(year as varchar), ''))) as venue, coalesce(source, 'fallback') as venue_source,
+ case when source in ('doi_prefix', 'arxiv_comment_parsed') then coalesce(try_cast(nullif(regexp_extract(name, '\\b20[0-9]{{2}}\\b'), '') as int), year) else year end as year from named left join best using (seq)""")
 
 
 @_query(_CASCADE)
 def venue_cascade(spark, sf_dir):
     s = F.col("seq")
-    told = F.create_map(F.lit("arxiv_comment"), F.when(s % 7 == 1, "Accepted at ICLR 2024."), F.lit("s2"), F.when(s % 7 == 2, "ICML"), F.lit("crossref"), F.when(s % 7 == 3, "A series of notes"))
-    p = shape(spark, sf_dir, "paper").withColumns({"signals": told, "openalex_id": F.lit(None).cast("string")})
+    comment = F.when(s % 7 == 1, "Accepted at ICLR 2024.").when(s % 7 == 4, "To appear in Nature Methods, 2025").when(s % 7 == 5, "12 pages")
+    s2 = F.when(s % 11 == 2, "ICML").when(s % 11 == 3, "corr 2023").when(s % 11 == 4, "Some Meeting")
+    crossref = F.when(s % 5 == 3, "A series of notes").when(s % 5 == 4, "Nature Methods")
+    told = F.create_map(F.lit("arxiv_comment"), comment, F.lit("s2"), s2, F.lit("crossref"), crossref)
+    p = shape(spark, sf_dir, "named").withColumns({"signals": told, "openalex_id": F.lit(None).cast("string")})
     return N.resolve_venue(p, DIM).select("seq", "venue", "venue_source", "year")
 
 
