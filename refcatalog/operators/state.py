@@ -24,7 +24,8 @@ def apply_updates(old: DataFrame, new: DataFrame, dim: list[V.Venue]) -> DataFra
     Overrides stay as they are. Longer authors win, empty fields are filled by the
     first value in order, the last trusted year counts, else the first one fills. The
     last venue that is no placeholder is taken; placeholders after it only tidy a
-    confident venue and replace any other. All of it is one aggregation by partial
+    confident venue and replace any other. Where old has ``venue_type`` and
+    ``peer_reviewed``, they follow a venue taken over. All of it is one aggregation by partial
     minima and maxima, so many rows of one paper meet nowhere. Where several rows
     meet, a venue is tidied with the year held before them.
     """
@@ -63,7 +64,11 @@ def apply_updates(old: DataFrame, new: DataFrame, dim: list[V.Venue]) -> DataFra
     for c in values:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"__after.{c}"))
     source = F.when(touched, F.coalesce("__source", "venue_source")).otherwise(F.col("venue_source"))
-    met = met.withColumn("changed", differs).withColumn("venue_source", source)
+    # Type and review flag follow a new venue; one that is only tidied takes its type alone.
+    kind, moved = V.venue_type(F.col("__after.venue"), dim), ~F.col("venue").eqNullSafe(F.col("__after.venue"))
+    taken = moved & (F.coalesce(F.col("__real.v") != F.coalesce("venue", F.lit("")), F.lit(False)) | (later & ~V.is_confident(F.coalesce(base, F.lit("")), dim)))
+    follows = {"venue_type": F.when(moved, kind).otherwise(F.col("venue_type")), "peer_reviewed": (taken & kind.isin("conference", "workshop", "journal")) | F.col("peer_reviewed")}
+    met = met.withColumns({c: x for c, x in follows.items() if c in old.columns}).withColumn("changed", differs).withColumn("venue_source", source)
     return met.select(*(F.col(f"__after.{c}").alias(c) if c in values else F.col(c) for c in old.columns), "changed")
 
 

@@ -196,3 +196,12 @@ def test_venue_dimension_pages_and_snapshots(spark, tmp_path):
 def test_rows_without_a_venue_are_placeholders(spark):
     rows = spark.createDataFrame([(1, None), (2, " "), (3, "arXiv preprint arXiv:2401.1"), (4, "Parts (cut"), (5, "3rd Meeting"), (6, "ICML 2024"), (7, "arXiv (Cornell University)")], "seq long, venue string")
     assert [r["p"] for r in rows.select("seq", venues.is_preprint(F.col("venue")).alias("p")).orderBy("seq").collect()] == [True, True, True, True, True, False, False]
+
+
+def test_type_and_review_flag_follow_a_new_venue(spark):
+    names = "seq long, authors string, venue string, venue_source string, year int, " + ", ".join(f"{c} string" for c in state.FILLED)
+    empty = (None,) * len(state.FILLED)
+    old = spark.createDataFrame([(i, None, v, None, 2024, *empty, "preprint", False, False) for i, v in enumerate(["arXiv preprint 1", "ICML 2024", "Handbook", None])], names + ", venue_type string, peer_reviewed boolean, manual_override boolean")
+    new = spark.createDataFrame([(10 + i, None, v, None, 2024, *empty, i) for i, v in enumerate(["ICLR 2025", "arXiv preprint 1", "arXiv preprint 1", "Nature Methods"])], names + ", matched long")
+    got = state.apply_updates(old, new, DIM).orderBy("seq").select("venue", "venue_type", "peer_reviewed").collect()
+    assert [tuple(r) for r in got] == [("ICLR 2025", "conference", True), ("ICML 2024", "preprint", False), ("arXiv preprint 1", "preprint", False), ("Nature Methods", "journal", True)]
