@@ -86,7 +86,7 @@ def is_confident(venue: Column, dim: list[Venue]) -> Column:
     return ~is_preprint(venue) & has_known_venue(venue, dim)
 
 
-def _let(c: Column, f) -> Column:
+def once(c: Column, f) -> Column:
     """f(c), with c evaluated once: a long chain would otherwise repeat it in every branch."""
     return F.transform(F.array(c), f)[0]
 
@@ -114,8 +114,8 @@ def normalize_venue(venue: Column, year: Column, dim: list[Venue] = ()) -> Colum
         lacks = (F.coalesce(year, F.lit(0)) > 0) & ~v.rlike(r"\b20\d{2}\b")
         return F.when(is_preprint(v), "").when(lacks, F.trim(F.concat_ws(" ", v, year.cast("string")))).otherwise(v)
 
-    v = F.regexp_replace(F.trim(F.regexp_replace(_let(v, shorter), r"\b(20\d{2})\s+\1\b", "$1")), r"\s*,\s+(?=\d{4}\b)", " ")
-    return F.when(F.coalesce(F.trim(venue), F.lit("")) == "", "").otherwise(_let(_tidy(v), dated))
+    v = F.regexp_replace(F.trim(F.regexp_replace(once(v, shorter), r"\b(20\d{2})\s+\1\b", "$1")), r"\s*,\s+(?=\d{4}\b)", " ")
+    return F.when(F.coalesce(F.trim(venue), F.lit("")) == "", "").otherwise(once(_tidy(v), dated))
 
 
 def venue_type(venue: Column, dim: list[Venue]) -> Column:
