@@ -65,9 +65,12 @@ def apply_updates(old: DataFrame, new: DataFrame, dim: list[V.Venue]) -> DataFra
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"__after.{c}"))
     source = F.when(touched, F.coalesce("__source", "venue_source")).otherwise(F.col("venue_source"))
     # Type and review flag follow a new venue; one that is only tidied takes its type alone.
-    kind, moved = V.once(F.col("__after.venue"), lambda v: V.venue_type(v, dim)), ~F.col("venue").eqNullSafe(F.col("__after.venue"))
-    taken = moved & (F.coalesce(F.col("__real.v") != F.coalesce("venue", F.lit("")), F.lit(False)) | (later & ~V.is_confident(F.coalesce(base, F.lit("")), dim)))
-    follows = {"venue_type": F.when(moved, kind).otherwise(F.col("venue_type")), "peer_reviewed": (taken & kind.isin("conference", "workshop", "journal")) | F.col("peer_reviewed")}
+    sure = V.is_confident(F.coalesce(base, F.lit("")), dim)
+    brings = F.when(later & ~sure, F.col("__junk.v")).otherwise(F.col("__real.v"))
+    taken = touched & F.coalesce(brings != F.coalesce("venue", F.lit("")), F.lit(False))
+    kind = V.venue_type(brings, dim)
+    tidied = touched & later & sure & ~F.col("venue").eqNullSafe(F.col("__after.venue"))
+    follows = {"venue_type": F.when(tidied, V.once(F.col("__after.venue"), lambda v: V.venue_type(v, dim))).when(taken, kind).otherwise(F.col("venue_type")), "peer_reviewed": (taken & kind.isin("conference", "workshop", "journal")) | F.col("peer_reviewed")}
     met = met.withColumns({c: x for c, x in follows.items() if c in old.columns}).withColumn("changed", differs).withColumn("venue_source", source)
     return met.select(*(F.col(f"__after.{c}").alias(c) if c in values else F.col(c) for c in old.columns), "changed")
 
