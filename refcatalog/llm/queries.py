@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dup, packing, quality, secrets, shards, token_count, topk, toxicity, url_filter
+from . import curve_packing, decontam, near_dup, packing, quality, secrets, shards, token_count, topk, toxicity, url_filter, vector_codes, whitening
 from .shared import table
 
 
@@ -67,6 +67,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), pieces=4, entries=256, rounds=4, scale=1024)
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, 1)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32, scale=64)
+    each = white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "own"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "own.whitened", "own.explained", "identity_error")
+
+
 _OP4_SQL = """
 with split as (
   select page_id,
@@ -143,9 +158,35 @@ select query_id, cast(nth as int) as "rank", vec_id, cast(score as bigint) as sc
 """
 
 
+def _op11_sql() -> str:
+    """Product codebooks by all distances: the four rounds follow one another as named steps."""
+    steps = ["""kept as materialized (
+  select vec_id, label, row_number() over () as row_at, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        "first as (select *, row_number() over (order by vec_id, v) - 1 as entry from kept where vec_id is not null)",
+        "parts as materialized (select row_at, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] as w from kept, range(4) as p(part))",
+        "book0 as materialized (select part, entry, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] as w from first, range(4) as p(part) where entry < 256)",
+    ]
+    assign = """own{r} as materialized (
+  select row_at, part, w, least_far.far as far, least_far.entry as entry from (
+    select row_at, part, p.w as w, min(struct_pack(far := list_sum(list_transform(range(1, len(p.w) + 1), lambda i: (p.w[i] - b.w[i]) * (p.w[i] - b.w[i]))), entry := entry)) as least_far
+    from parts p join book{r} b using (part) group by row_at, part, p.w))"""
+    update = """book{n} as materialized (
+  select b.part, b.entry, coalesce(m.w, b.w) as w from book{r} b left join (
+    select part, entry, list(mean order by i) as w from (
+      select part, entry, i, cast((sum(w[i]) - ((sum(w[i]) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as mean
+      from own{r}, range(1, (select max(len(w)) from parts) + 1) as d(i) group by part, entry, i) group by part, entry) m using (part, entry))"""
+    for r in range(4):
+        steps += [assign.format(r=r), update.format(r=r, n=r + 1)]
+    steps.append(assign.format(r=4))
+    steps.append("coded as (select row_at, string_agg(format('{:02x}', entry), '' order by part) as code, cast(sum(far) as bigint) as error from own4 group by row_at)")
+    steps.append("sha as (select sha256(string_agg(array_to_string(w, ','), ',' order by part, entry)) as codebooks_sha256 from book4)")
+    return f"with {', '.join(steps)} select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from kept join coded using (row_at), sha"
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cotraining_quality, op2_compression_toxicity, op3_near_duplicates, op4_url_filter, op5_best_fit_packing, op6_histogram_shards, op7_secret_scan, op8_token_counts, op9_decontamination, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op2_compression_toxicity, op3_near_duplicates, op4_url_filter, op5_best_fit_packing, op6_histogram_shards, op7_secret_scan, op8_token_counts, op9_decontamination, op10_exact_top_k, op11_vector_codes, op12_curve_packing, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": _OP3_SQL, "op4_url_filter": _OP4_SQL, "op9_decontamination": _OP9_SQL, "op10_exact_top_k": _OP10_SQL}
+    return {"op3_near_duplicates": _OP3_SQL, "op4_url_filter": _OP4_SQL, "op9_decontamination": _OP9_SQL, "op10_exact_top_k": _OP10_SQL, "op11_vector_codes": _op11_sql()}

@@ -158,7 +158,7 @@ def odd(spark, tmp_path_factory):
         spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
         spark.createDataFrame([(1, None), (2, "one"), (3, "A b C d e f g h i j"), (4, "A b C d e f g h i j")][: 4 * len(rows)], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
         spark.createDataFrame([(1, None), (2, ""), (None, "http://a.net/")][: 3 * len(rows)], "page_id long, url string").withColumn("html", F.lit("x")).withColumn("rule", F.lit("x")).write.parquet(f"{base}/pages.parquet")
-        spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, None), (100, [1.0, None]), (None, [1.0, 1.0]), (7, [])][: 6 * len(rows)], "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).write.parquet(f"{base}/embeddings.parquet")
+        spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, None), (100, [1.0, None]), (None, [1.0, 1.0]), (7, [])][: 6 * len(rows)], "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("label", F.lit(None).cast("int")).write.parquet(f"{base}/embeddings.parquet")
         folders.append(base)
     return folders
 
@@ -170,6 +170,12 @@ def test_odd_and_empty_tables(spark, odd, name):
         assert len(got) == 3
     elif name.startswith("op10"):
         assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(got)] == [(0, 1, 0), (0, 1, 0), (0, 2, 7), (0, 2, 7)]
+    elif name.startswith("op11"):
+        assert Counter(r["vec_id"] for r in got) == {0: 2, None: 1, 7: 1} and {r["label_error"] for r in got} == {sum(r["error"] for r in got)}
+    elif name.startswith("op12"):
+        assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(i for i, _ in ODD)
+    elif name.startswith("op13"):
+        assert Counter((r["vec_id"], r["component"]) for r in got) == {(0, 1): 2, (0, 2): 2, (None, 1): 1, (None, 2): 1, (7, 1): 1, (7, 2): 1}
     elif name.startswith("op5"):
         assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(i for i, _ in ODD)
     else:
