@@ -12,7 +12,8 @@ from ..functions import keys as K
 from ..functions import venues as V
 from ..plans.tables import replace, written
 from .enrich import TRUSTED_YEARS
-from .entities import diff, match_by_priority
+from .entities import diff
+from .moves import folded
 from .similar import dedup, similar_pairs
 
 FILLED = ["affiliations", "abstract", "pdf_url", "doi", "arxiv_id", "s2_paper_id", "openalex_id"]
@@ -21,41 +22,43 @@ FILLED = ["affiliations", "abstract", "pdf_url", "doi", "arxiv_id", "s2_paper_id
 def apply_updates(old: DataFrame, new: DataFrame, dim: list[V.Venue]) -> DataFrame:
     """Old papers (key ``seq``) with what new rows (``matched``, own ``seq``) bring, and ``changed``.
 
-    Overrides stay as they are. Longer authors win, empty fields are filled by the
-    first value in order, the last trusted year counts, else the first one fills. The
-    last venue that is no placeholder is taken; placeholders after it only tidy a
-    confident venue and replace any other. Where old has ``venue_type`` and
-    ``peer_reviewed``, they follow a venue taken over. All of it is one aggregation by partial
-    minima and maxima, so many rows of one paper meet nowhere. Where several rows
-    meet, a venue is tidied with the year held before them.
+    Overrides stay as they are. Longer authors win, and empty fields are filled by
+    the first value in order. Venue and year follow the rows one by one: a venue is
+    taken, a placeholder tidies a confident venue with the year held by then and
+    replaces any other; trusted years are taken, others fill. That order is kept
+    by ``moves.folded``, the rest is one aggregation by partial minima and maxima,
+    so many rows of one paper meet nowhere. Where old has ``venue_type`` and
+    ``peer_reviewed``, they follow a venue taken over; a venue that is only tidied
+    takes its type alone. A row without a source leaves the source. ``changed``
+    says whether a paper differs in the end.
     """
     at, v = F.col("seq"), K.present(F.col("venue"))
-    junk = V.is_preprint(F.col("venue"))
+    new = new.where("matched is not null")
+    junk, real = v.isNotNull() & V.is_preprint(F.col("venue")), v.isNotNull() & ~V.is_preprint(F.col("venue"))
     first = lambda c: F.min_by(F.col(c), F.when(K.present(F.col(c)).isNotNull(), at)).alias(f"__{c}")
-    last = lambda value, when, name: F.max_by(value, F.when(when, at)).alias(name)
-    dated = F.coalesce("year", F.lit(0)) > 0
-    real = v.isNotNull() & ~junk
-    brought = new.where("matched is not null").groupBy("matched").agg(
+    dated = F.when(F.coalesce("year", F.lit(0)) > 0, F.col("year"))
+    moves = folded(new.select("matched", "seq", F.when(real, v).alias("real"), F.when(junk, v).alias("junk"), dated.alias("year"), F.when(F.col("venue_source").isin(*TRUSTED_YEARS), dated).alias("trusted")))
+    reviewed = F.when(real & V.venue_type(v, dim).isin("conference", "workshop", "journal"), v)
+    brought = new.groupBy("matched").agg(
         *(first(c) for c in FILLED),
         F.max(F.when(K.present(F.col("authors")).isNotNull(), F.struct(F.length("authors").alias("n"), (-at).alias("o"), F.col("authors").alias("v")))).alias("__authors"),
-        F.max(F.when(real, F.struct(at.alias("at"), v.alias("v"), F.col("venue_source").alias("s")))).alias("__real"),
-        F.max(F.when(v.isNotNull() & junk, F.struct(at.alias("at"), v.alias("v"), F.col("venue_source").alias("s")))).alias("__junk"),
-        last(F.col("venue_source"), K.present(F.col("venue_source")).isNotNull(), "__source"),
-        last(F.col("year"), dated & F.col("venue_source").isin(*TRUSTED_YEARS), "__trusted"),
-        F.min_by("year", F.when(dated, at)).alias("__year"),
+        F.max_by("venue_source", F.when(K.present(F.col("venue_source")).isNotNull(), at)).alias("__source"),
+        *(f(c).alias(n) for n, f, c in (("__a", F.min, F.when(real, v)), ("__z", F.max, F.when(real, v)), ("__ra", F.min, reviewed), ("__rz", F.max, reviewed))),
     )
-    met = old.join(brought, F.col("seq") == F.col("matched"), "left").drop("matched")
-    touched = F.col("__met")
+    told = moves.select("matched", F.struct(*(c for c in moves.columns if c != "matched")).alias("__m"))
+    met = old.join(brought.hint("shuffle_hash"), F.col("seq") == F.col("matched"), "left").drop("matched").join(told.hint("shuffle_hash"), F.col("seq") == F.col("matched"), "left").drop("matched")
+    touched, m = F.col("__met"), lambda c: F.col(f"__m.{c}")
     met = met.withColumn("__met", ~F.coalesce("manual_override", F.lit(False)))
-    base = F.coalesce(F.col("__real.v"), F.col("venue"))
-    later = F.col("__junk").isNotNull() & (F.col("__real").isNull() | (F.col("__junk.at") > F.col("__real.at")))
-    tidy = F.coalesce(K.present(V.normalize_venue(base, F.col("year"), dim)), base)
-    venue = F.when(later & V.is_confident(F.coalesce(base, F.lit("")), dim), tidy).when(later, F.col("__junk.v")).otherwise(base)
     held = F.when(F.coalesce("year", F.lit(0)) > 0, F.col("year"))
+    base, later = F.coalesce(m("real"), F.col("venue")), F.coalesce(m("met"), F.lit(False))
+    # The year held at the first placeholder after the venue, or at the first one that had any.
+    by_then = F.coalesce(m("met_trusted"), held, m("met_year"), F.when(m("dated"), F.coalesce(m("dated_trusted"), m("dated_year"))))
+    tidy = F.coalesce(K.present(V.normalize_venue(base, by_then, dim)), base)
+    sure = V.is_confident(F.coalesce(base, F.lit("")), dim)
     values = {
         "authors": F.when(F.col("__authors.n") > F.length(F.coalesce("authors", F.lit(""))), F.col("__authors.v")).otherwise(F.col("authors")),
-        "venue": venue,
-        "year": F.coalesce(F.col("__trusted"), held, F.col("__year"), F.col("year")),
+        "venue": F.when(later & sure, tidy).when(later, m("junk")).otherwise(base),
+        "year": F.coalesce(m("trusted"), held, m("year"), F.col("year")),
         **{c: F.coalesce(K.unless_blank(F.col(c)), F.col(f"__{c}"), F.col(c)) for c in FILLED},
     }
     after = F.struct(*(F.when(touched, x).otherwise(F.col(c)).alias(c) for c, x in values.items()))
@@ -64,13 +67,12 @@ def apply_updates(old: DataFrame, new: DataFrame, dim: list[V.Venue]) -> DataFra
     for c in values:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"__after.{c}"))
     source = F.when(touched, F.coalesce("__source", "venue_source")).otherwise(F.col("venue_source"))
-    # Type and review flag follow a new venue; one that is only tidied takes its type alone.
-    sure = V.is_confident(F.coalesce(base, F.lit("")), dim)
-    brings = F.when(later & ~sure, F.col("__junk.v")).otherwise(F.col("__real.v"))
-    taken = touched & F.coalesce(brings != F.coalesce("venue", F.lit("")), F.lit(False))
+    other = lambda a, z: F.coalesce((F.col(a) != F.coalesce("venue", F.lit(""))) | (F.col(z) != F.coalesce("venue", F.lit(""))), F.lit(False))
+    brings = F.when(later & ~sure, m("junk")).otherwise(m("real"))
+    taken = touched & (other("__a", "__z") | F.coalesce(brings != F.coalesce("venue", F.lit("")), F.lit(False)))
     kind = V.venue_type(brings, dim)
     tidied = touched & later & sure & ~F.col("venue").eqNullSafe(F.col("__after.venue"))
-    follows = {"venue_type": F.when(tidied, V.once(F.col("__after.venue"), lambda v: V.venue_type(v, dim))).when(taken, kind).otherwise(F.col("venue_type")), "peer_reviewed": (taken & kind.isin("conference", "workshop", "journal")) | F.col("peer_reviewed")}
+    follows = {"venue_type": F.when(tidied, V.once(F.col("__after.venue"), lambda v: V.venue_type(v, dim))).when(taken, kind).otherwise(F.col("venue_type")), "peer_reviewed": (touched & other("__ra", "__rz")) | (taken & kind.isin("conference", "workshop", "journal")) | F.col("peer_reviewed")}
     met = met.withColumns({c: x for c, x in follows.items() if c in old.columns}).withColumn("changed", differs).withColumn("venue_source", source)
     return met.select(*(F.col(f"__after.{c}").alias(c) if c in values else F.col(c) for c in old.columns), "changed")
 
@@ -97,20 +99,20 @@ def best_match(left: DataFrame, candidates: DataFrame, percent: int = 90) -> Dat
 
 
 def merge_papers(old: DataFrame, new: DataFrame, dim: list[V.Venue], percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(merged, stats): new papers matched by preprint id, doi, then similar title update the old ones; the others join, later ones among them updating the first.
+    """(merged, stats): in order, each new paper updates the paper of its preprint id, else doi (of several old ones the last), else the first one of a similar title; the others join, and later ones may update them.
 
-    ``seq`` orders both; new ones follow the old. merged has ``changed`` and ``added``.
+    ``seq`` orders both; new ones follow the old. Without old papers all new ones join as they are. merged has ``changed`` and ``added``.
     """
-    met = written(match_by_priority(new, old, ["arxiv_id", "doi"], "seq"))
-    by_title = match_titles(met.where("matched is null"), old, percent).withColumnRenamed("matched", "__t")
-    met = written(met.join(by_title, "seq", "left").withColumn("matched", F.coalesce("matched", "__t")).drop("__t"))
-    rest = met.where("matched is null")
-    leaders = written(dedup(rest.select("seq", "title", "arxiv_id", "doi"), ["arxiv_id", "doi"], percent=percent))
-    fresh = rest.join(leaders.where("seq = leader").select("seq"), "seq", "left_semi").drop("matched").withColumn("added", F.lit(True))
-    followers = rest.drop("matched").join(leaders.where("seq <> leader").select("seq", F.col("leader").alias("matched")), "seq")
-    kept = apply_updates(old.withColumn("added", F.lit(False)), met.where("matched is not null"), dim)
-    joined = apply_updates(fresh, followers, dim)
-    merged = written(kept.unionByName(joined, allowMissingColumns=True))
+    ids = ["arxiv_id", "doi"]
+    named = lambda df: df.select("seq", "title", *ids)
+    if old.limit(1).count():
+        leaders = written(dedup(named(old).unionByName(named(new)), ids, percent=percent, seeds=old.select("seq")))
+        met = new.hint("shuffle_hash").join(leaders.hint("shuffle_hash"), "seq")
+    else:
+        met = new.withColumn("leader", F.col("seq"))
+    fresh = met.where("seq = leader").drop("leader").withColumn("added", F.lit(True))
+    base = old.withColumn("added", F.lit(False)).unionByName(fresh, allowMissingColumns=True)
+    merged = written(apply_updates(base, met.where("seq <> leader").withColumnRenamed("leader", "matched"), dim))
     stats = merged.agg(F.count_if(~F.col("added")).alias("existing"), F.count_if("added").alias("new"), F.count_if(F.col("changed") & ~F.col("added")).alias("updated"), F.count(F.lit(1)).alias("total"))
     return merged, stats
 

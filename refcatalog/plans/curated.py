@@ -311,16 +311,9 @@ def discovery_run(spark, sf_dir):
 
 
 _MERGED = f""", o as (select *, seq % 23 = 0 as kept from paper where seq % 10 <> 9), n as (select * replace (seq + 1000000000000 as seq), seq % 23 = 0 as kept from paper where seq % 3 = 0),
-ma as (select arxiv_id, max(seq) as m from o where arxiv_id is not null group by 1), md as (select doi, max(seq) as m from o where doi is not null group by 1),
-byid as (select n.*, coalesce(ma.m, md.m) as m from n left join ma on n.arxiv_id = ma.arxiv_id left join md on n.doi = md.doi),
-tt as (select seq as k, lower(trim(title)) as t, seq as o from o union all select seq, lower(trim(title)), null from byid where m is null), {similar('s', 'tt')},
-oc as (select t, min(o) as o from tt group by t), cls as (select c.k, oc.o from s_c c join oc using (t)),
-near as (select a as k, b as other, score from s union all select b, a, score from s union all select k, k, 100.0 from s_c),
-best as (select near.k, arg_min(cls.o, (-score, cls.o)) as m from near join cls on near.other = cls.k where cls.o is not null group by near.k),
-met as (select byid.* replace (coalesce(byid.m, best.m) as m) from byid left join s_c c on c.t = lower(trim(title)) left join best on best.k = c.k),
-rest as (select * from met where m is null), {resolution('g', 'rest')},
-ups as (select * from met where m is not null union all select rest.* replace (leader as m) from rest join g using (seq) where leader <> seq),
-base as (select *, false as added from o union all select rest.* exclude (m), true from rest join g using (seq) where leader = seq),
+k as (select seq, title, arxiv_id, doi from o union all select seq, title, arxiv_id, doi from n), {resolution('g', 'k', 'o.seq < 1000000000000')},
+ups as (select n.*, leader as m from n join g using (seq) where leader <> seq),
+base as (select *, false as added from o union all select n.*, true from n join g using (seq) where leader = seq),
 u as (select m, arg_max(venue, seq) filter (where venue is not null) as venue, arg_min(year, seq) filter (where year > 0) as year, arg_min(doi, seq) filter (where doi is not null) as doi,
  arg_min(arxiv_id, seq) filter (where arxiv_id is not null) as arxiv_id, arg_min(abstract, seq) filter (where trim(abstract) <> '') as abstract from ups group by m)
 select seq, title, case when kept then b.venue else coalesce(u.venue, b.venue) end as venue, added,

@@ -16,16 +16,16 @@ def similar(name: str, rows: str) -> str:
     return _SIMILAR.format(name=name, rows=rows)
 
 
-def resolution(name: str, rows: str) -> str:
-    """CTEs up to ``name`` (seq, leader) over ``rows`` (seq, title, arxiv_id, doi): a row joins the earlier leader of the same arxiv_id, else doi, else a similar title, the first of several; recursive."""
+def resolution(name: str, rows: str, seeds: str = "false") -> str:
+    """CTEs up to ``name`` (seq, leader) over ``rows`` (seq, title, arxiv_id, doi): a row joins the earlier leader of the same arxiv_id, else doi (the last of several), else a similar title (the first); recursive. Rows where ``seeds`` holds all lead."""
     return f"""
 {name}_t as (select seq as k, lower(trim(title)) as t from {rows}),{similar(f'{name}_s', f'{name}_t')},
 {name}_v as (select seq, 0 as rank, arxiv_id as v from {rows} where arxiv_id <> '' union all select seq, 1, doi from {rows} where doi <> ''
  union all select {name}_t.k, 2, cast(c.k as varchar) from {name}_t join {name}_s_c c using (t)),
 {name}_l as (select distinct rank, v, v as w from {name}_v union all select 2, cast(a as varchar), cast(b as varchar) from {name}_s union all select 2, cast(b as varchar), cast(a as varchar) from {name}_s),
-{name}_e as (select x.seq, list(distinct {{'rank': x.rank, 'to': y.seq}}) as earlier from {name}_v x join {name}_l l on x.rank = l.rank and x.v = l.v join {name}_v y on y.rank = l.rank and y.v = l.w where y.seq < x.seq group by x.seq),
+{name}_e as (select x.seq, list(distinct {{'rank': x.rank, 'nth': case when x.rank < 2 then -y.seq else y.seq end, 'to': y.seq}}) as earlier from {name}_v x join {name}_l l on x.rank = l.rank and x.v = l.v join {name}_v y on y.rank = l.rank and y.v = l.w where y.seq < x.seq group by x.seq),
 {name}_o as materialized (select row_number() over (order by r.seq) as nth, r.seq, list_sort(coalesce(earlier, [])) as earlier from {rows} r left join {name}_e e on r.seq = e.seq),
 {name}_r as (select 0::bigint as nth, null::bigint as seq, null::bigint as leader, []::bigint[] as leaders
  union all select nth, seq, leader, case when leader = seq then list_append(leaders, seq) else leaders end
- from (select o.nth, o.seq, r.leaders, coalesce(list_filter(o.earlier, lambda e: list_contains(r.leaders, e.to))[1].to, o.seq) as leader from {name}_r r join {name}_o o on o.nth = r.nth + 1)),
+ from (select o.nth, o.seq, r.leaders, case when {seeds} then o.seq else coalesce(list_filter(o.earlier, lambda e: list_contains(r.leaders, e.to))[1].to, o.seq) end as leader from {name}_r r join {name}_o o on o.nth = r.nth + 1)),
 {name} as (select seq, leader from {name}_r where nth > 0)"""

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from refcatalog.functions import affiliations, evidence, keys, venues
-from refcatalog.operators import decisions, reports, state
+from refcatalog.operators import decisions, moves, reports, similar, state
 from refcatalog.operators.entities import apply_curation, merge_repos
-from refcatalog.operators.similar import _lcs, dedup, similar_pairs
+from refcatalog.operators.similar import _lcs, dedup, greedy_leaders, similar_pairs
 from refcatalog.plans import curated
 from refcatalog.plans.catalogue import DIM
+from refcatalog.plans.tables import written
 from refcatalog.sources import landed
 
 
@@ -72,6 +73,75 @@ def test_a_chain_of_rows_that_wait_for_one_another_settles(spark):
     assert {r["seq"]: r["leader"] for r in dedup(frame, ["arxiv_id", "doi"]).collect()} == _greedy(rows)
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """2,000 rows that each wait for the one before (by doubling), or for the two before (in order in one task)."""
+    n = 2000
+    rows = spark.range(n).withColumnRenamed("id", "seq")
+    none = spark.createDataFrame([], "rank int, v string, w string")
+    calls = []
+    real = similar._along_runs
+    monkeypatch.setattr(similar, "_along_runs", lambda *a: calls.append(1) or real(*a))
+    chain = written(spark.createDataFrame([(i, 0, f"{k}") for i in range(n) for k in (i, i + 1)], "seq long, rank int, v string"))
+    got = {r["seq"]: r["leader"] for r in greedy_leaders(rows, chain, none, at_once=0).collect()}
+    assert got == {i: i - i % 2 for i in range(n)} and len(calls) <= 3
+    wide = written(spark.createDataFrame([(i, 0, f"{k}") for i in range(n) for k in (i, i + 1, i + 2)], "seq long, rank int, v string"))
+    calls.clear()
+    got = {r["seq"]: r["leader"] for r in greedy_leaders(rows, wide, none).collect()}
+    assert got == {i: i - i % 3 for i in range(n)} and len(calls) <= 3
+
+
+def _merged(old, new):
+    """The rule paper by paper: (leader of each new one)."""
+    by_id, by_doi, titles, out = {}, {}, [], {}
+    for seq, title, arxiv, doi in old:
+        by_id |= {arxiv: seq} if arxiv else {}
+        by_doi |= {doi: seq} if doi else {}
+        titles.append((seq, title))
+    for seq, title, arxiv, doi in new:
+        at = by_id.get(arxiv) if arxiv else None
+        at = by_doi.get(doi) if at is None and doi else at
+        at = next((s for s, t in titles if _alike(title, t)), None) if at is None else at
+        if at is None:
+            at = seq
+            by_id |= {arxiv: seq} if arxiv else {}
+            by_doi |= {doi: seq} if doi else {}
+            titles.append((seq, title))
+        out[seq] = at
+    return out
+
+
+def test_merging_equals_the_sequential_rule(spark):
+    names = "seq long, title string, arxiv_id string, doi string"
+    for seed in range(3):
+        draw = random.Random(seed)
+        pick = lambda: draw.choice([None, None, "", str(draw.randint(0, 14))])  # noqa: E731, B023
+        rows = [(i, t, pick(), pick()) for i, t in enumerate(_titles(40, 10 + seed))]
+        cut = len(rows) // 2
+        frame = spark.createDataFrame(rows, names)
+        got = {r["seq"]: r["leader"] for r in dedup(frame, ["arxiv_id", "doi"], seeds=frame.where(f"seq < {cut}").select("seq")).collect()}
+        assert got == {i: i for i in range(cut)} | _merged(rows[:cut], rows[cut:])
+
+
+def _paper(seq, title, arxiv=None, doi=None):
+    return (seq, title, "", None, None, 2024, *(arxiv if c == "arxiv_id" else doi if c == "doi" else None for c in state.FILLED))
+
+
+def test_merge_takes_the_first_similar_title_and_ids_before_titles(spark):
+    names = "seq long, title string, authors string, venue string, venue_source string, year int, " + ", ".join(f"{c} string" for c in state.FILLED)
+    frame = lambda rows: spark.createDataFrame(rows, names).withColumn("manual_override", F.lit(False))
+    long = "a study of sparse circuits in models parts one"
+    old = frame([_paper(1, long), _paper(2, long + "x")])
+    # The first similar title counts, not the most similar one.
+    merged, stats = state.merge_papers(old, frame([_paper(10, long + "x", doi="d")]), DIM)
+    assert {r["seq"]: r["doi"] for r in merged.collect()} == {1: "d", 2: None} and stats.first()["updated"] == 1
+    # An id of an earlier new paper comes before an old one's title.
+    merged, stats = state.merge_papers(old, frame([_paper(10, "quite another name", "2401.00001"), _paper(11, long, "2401.00001")]), DIM)
+    assert {r["seq"]: r["arxiv_id"] for r in merged.collect()} == {1: None, 2: None, 10: "2401.00001"}
+    assert tuple(stats.first()) == (2, 1, 0, 3)
+    # Without old papers, all new ones join.
+    assert state.merge_papers(old.where("false"), frame([_paper(10, long), _paper(11, long)]), DIM)[0].count() == 2
+
+
 def test_discovery_orders_by_source_and_takes_the_first_confident_venue(spark):
     schema = "seq long, title string, arxiv_id string, doi string, year int, venue string, source string"
     late = spark.createDataFrame([(1, "One paper", "1", None, 2024, "ICML 2024", "late"), (2, "Old", "2", None, 1999, None, "late")], schema)
@@ -205,3 +275,42 @@ def test_type_and_review_flag_follow_a_new_venue(spark):
     new = spark.createDataFrame([(10 + i, None, v, None, 2024, *empty, i) for i, v in enumerate(["ICLR 2025", "arXiv preprint 1", "arXiv preprint 1", "Nature Methods"])], names + ", matched long")
     got = state.apply_updates(old, new, DIM).orderBy("seq").select("venue", "venue_type", "peer_reviewed").collect()
     assert [tuple(r) for r in got] == [("ICLR 2025", "conference", True), ("ICML 2024", "preprint", False), ("arXiv preprint 1", "preprint", False), ("Nature Methods", "journal", True)]
+
+
+NAMES = ["International Conference on Machine Learning", "ICML", "ICLR 2026 Poster", "Handbook", "arXiv preprint arXiv:1", "arXiv", "3rd Meeting", "Nature Methods", None]
+
+
+def test_field_updates_equal_the_rule_row_by_row(spark):
+    """Random sequences of venues, sources and years, a third of all rows on one paper; summaries join in any grouping."""
+    draw = random.Random(4)
+    years = [0, 2019, 2021, 2024]
+    known = spark.createDataFrame([(v, y) for v in NAMES[:-1] for y in years], "v string, y int")
+    once_ = known.select("v", "y", venues.normalize_venue(F.col("v"), F.col("y"), DIM).alias("n"))
+    twice = once_.where("n <> ''").select(F.col("n").alias("v")).distinct().join(known.select("y").distinct().hint("shuffle_replicate_nl")).select("v", "y", venues.normalize_venue(F.col("v"), F.col("y"), DIM).alias("n"))
+    table = {(r["v"], r["y"]): r for r in once_.union(twice).select("*", venues.is_preprint(F.col("v")).alias("junk"), venues.is_confident(F.col("v"), DIM).alias("sure"), venues.venue_type(F.col("v"), DIM).alias("kind")).collect()}
+    trait = {v: r for (v, _), r in table.items()}
+    old = [(p, draw.choice(NAMES), draw.choice(years)) for p in range(40)]
+    new = [(100 + i, draw.choice([0, draw.randrange(40)]) if i % 3 else 0, draw.choice(NAMES), draw.choice(["doi_prefix", "s2", "s2"]), draw.choice(years)) for i in range(240)]
+    want = {p: [v, y, trait[v]["kind"] if v else "preprint", False] for p, v, y in old}
+    for _, p, v, source, y in new:
+        own = want[p]
+        if v and v != own[0]:
+            if trait[v]["junk"] and own[0] and trait[own[0]]["sure"]:
+                tidy = table[own[0], own[1]]["n"]
+                if tidy and tidy != own[0]:
+                    own[0], own[2] = tidy, trait[tidy]["kind"]
+            else:
+                own[0], own[2] = v, trait[v]["kind"]
+                own[3] = own[3] or own[2] in ("conference", "workshop", "journal")
+        if source == "doi_prefix" and y:
+            own[1] = y
+        own[1] = own[1] or y
+    names = "seq long, authors string, venue string, venue_source string, year int, " + ", ".join(f"{c} string" for c in state.FILLED)
+    empty = (None,) * len(state.FILLED)
+    held = spark.createDataFrame([(p, None, v, None, y, *empty, trait[v]["kind"] if v else "preprint", False, False) for p, v, y in old], names + ", venue_type string, peer_reviewed boolean, manual_override boolean")
+    rows = spark.createDataFrame([(s, None, v, source, y, *empty, p) for s, p, v, source, y in new], names + ", matched long")
+    got = state.apply_updates(held, rows, DIM).collect()
+    assert {r["seq"]: [r["venue"], r["year"], r["venue_type"], r["peer_reviewed"]] for r in got} == want
+    for _ in range(300):
+        each = [moves.row_moves(*((x, None) if k == 0 else (None, x) if k == 1 else (None, None)), *((y, y) if k % 3 == 0 else (y, None))) for x, y, k in ((draw.choice("ab"), draw.choice([None, 1, 2]), draw.randrange(4)) for _ in range(3))]
+        assert moves.then(moves.then(each[0], each[1]), each[2]) == moves.then(each[0], moves.then(each[1], each[2]))
