@@ -249,3 +249,13 @@ def test_field_on_planted_secrets(spark):
         found += any(a < at + len(value) and b > at for a, b, _ in spans)
         wrong += sum(not (a < at + len(value) and b > at) for a, b in own)
     assert found / wanted > 0.9 and wrong <= 0.03 * wanted
+
+
+def test_field_leaves_ordinary_text_alone(spark):
+    """Over the whole table: documents without planted secrets get next to no added span."""
+    got = OPS["op7_secret_scan"](spark, "/root/testdata/sf0.01").toPandas()
+    added = [x for s in got.spans for x in s.split(",") if x.startswith("crf:")]
+    assert len(added) <= 2
+    words = spark.createDataFrame([(f"{w} " * 600,) for w in ("For", "Shti", "Erou", "Mit")], "text string")
+    field = secrets.calibrated(secrets.fit([r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0").collect() if r["text"]]), words, 0)
+    assert all(sum(s[2] == "crf" for s in x) == 0 for b in words.toArrow().to_batches() for x in secrets.find(b, field))

@@ -179,6 +179,7 @@ def test_secret_decoding_equals_viterbi_over_all_tokens():
     for scale in (0.3, 1.0, 3.0):
         field = secrets.Field(rng.normal(size=(secrets.SLOTS * secrets.BINS, 3)) * scale + [0.2, 0, 0], rng.normal(size=(3, 3)), rng.normal(size=3))
         u, step, want = field.unary[secrets.features(t, np.arange(len(t.starts)))].sum(axis=1), field.step + secrets._BLOCKED, []
+        gain = []
         for lo, hi in zip(t.firsts[:-1], t.firsts[1:], strict=True):
             if lo == hi:
                 continue
@@ -196,7 +197,10 @@ def test_secret_decoding_equals_viterbi_over_all_tokens():
                     while tags[j + 1] == 2:
                         j += 1
                     want.append((int(lo + i), int(lo + j)))
-        assert sorted(secrets.decode(t, field)) == want and want
+                    path = lambda g: field.first[g[0]] + sum(u[lo + n, x] for n, x in enumerate(g)) + sum(step[x, y] for x, y in zip(g, g[1:]))  # noqa: E731, B023
+                    gain.append((path(tags[:-1]) - path([0 if i <= n <= j else x for n, x in enumerate(tags[:-1])])) / (j - i + 1))
+        got = sorted(secrets.decode(t, field))
+        assert [x[:2] for x in got] == want and want and np.allclose([x[2] for x in got], gain)
 
 
 def test_near_duplicates_equal_brute_force_over_hot_buckets(spark):
