@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -48,11 +49,13 @@ class Venue:
     aliases: tuple[str, ...] = ()
 
 
+def _either(parts: list[str]) -> str:
+    """One expression for all of ``parts``, longest first, of any number."""
+    return "|".join(rf"\Q{p}\E" for p in sorted(set(parts), key=lambda p: (-len(p), p)))
+
+
 def _any(low: Column, parts: list[str]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | F.contains(low, F.lit(p.lower()))
-    return out
+    return low.rlike(_either([p.lower() for p in parts])) if parts else F.lit(False)
 
 
 def venue_from_doi(doi: Column) -> Column:
@@ -72,14 +75,11 @@ def is_preprint(venue: Column) -> Column:
 
 
 def has_known_venue(venue: Column, dim: list[Venue]) -> Column:
-    low, out = F.lower(venue), F.lit(False)
-    for v in dim:
-        if v.kind == "journal":
-            out = out | F.contains(low, F.lit(v.canonical.lower()))
-        elif v.kind != "preprint":
-            out = out | venue.rlike(rf"(?i)\b\Q{v.canonical}\E\b")
-        out = out | _any(low, list(v.aliases))
-    return F.coalesce(out, F.lit(False))
+    """Whether a name of the dimension is in ``venue``: a journal's or an alias anywhere, another's as a word; one expression, however many there are."""
+    anywhere = [v.canonical for v in dim if v.kind == "journal"] + [a for v in dim for a in v.aliases]
+    worded = [v.canonical for v in dim if v.kind not in ("journal", "preprint")]
+    parts = ([rf"\b(?:{_either(worded)})\b"] if worded else []) + ([_either(anywhere)] if anywhere else [])
+    return F.coalesce(venue.rlike(f"(?iu){'|'.join(parts)}"), F.lit(False)) if parts else F.lit(False)
 
 
 def is_confident(venue: Column, dim: list[Venue]) -> Column:
@@ -102,13 +102,21 @@ def normalize_venue(venue: Column, year: Column, dim: list[Venue] = ()) -> Colum
     v = F.trim(F.regexp_replace(F.regexp_replace(v, rf"(?i)\s+(?:{'|'.join(ENDINGS)})\b", ""), r"\s+", " "))
     v = F.trim(F.regexp_replace(F.trim(F.regexp_replace(v, HOST, " ")), ARTICLE, ""))
     longest = sorted(((a, d.canonical) for d in dim for a in d.aliases), key=lambda x: -len(x[0]))
+    known = {}
+    for n, (alias, name) in enumerate(longest):
+        known.setdefault(alias.lower(), {"nth": n, "name": name})
+    names = F.from_json(F.lit(json.dumps(known)), "map<string, struct<nth: int, name: string>>")
+    # At each place the longest alias that begins there, without moving on: so the longest of all is among them.
+    begins = rf"(?iu)(?=({_either([a for a, _ in longest])}))"
 
     def shorter(v: Column) -> Column:
         """With the longest alias that occurs put short."""
-        out = F.when(F.lit(False), v)
-        for alias, name in longest:
-            out = out.when(F.contains(F.lower(v), F.lit(alias.lower())), F.trim(F.regexp_replace(v, rf"(?i)\Q{alias}\E", name)))
-        return out.otherwise(v)
+        if not longest:
+            return v
+        there = F.transform(F.regexp_extract_all(v, F.lit(begins), F.lit(1)), lambda a: F.struct(F.element_at(names, F.lower(a)).alias("own"), a.alias("alias")))
+        best = F.array_min(F.filter(there, lambda x: x["own"].isNotNull()))
+        put = lambda b: F.when(b.isNull(), v).otherwise(F.trim(F.regexp_replace(v, F.concat(F.lit(r"(?iu)\Q"), b["alias"], F.lit(r"\E")), b["own"]["name"])))
+        return once(best, put)
 
     def dated(v: Column) -> Column:
         lacks = (F.coalesce(year, F.lit(0)) > 0) & ~v.rlike(r"\b20\d{2}\b")

@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import evidence as E
 from ..functions import keys as K
 from ..functions import venues as V
+from ..plans.tables import written
+from . import versions
 
 
 def route_repos(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def venue_upgrades(new: DataFrame, old: DataFrame, dim: list[V.Venue]) -> DataFr
     better = new.select(key.alias("k"), F.col("seq").alias("at"), "venue").where(V.venue_type(F.col("venue"), dim).isin("conference", "workshop", "journal"))
     # The first upgrade of a key is enough: later ones meet a row that is a preprint no more.
     first = better.where("k is not null").groupBy("k").agg(F.min(F.struct("at", "venue")).alias("n"))
-    met = first.join(held, "k").where(V.venue_type(F.col("o.old_venue"), dim) == "preprint").groupBy("o.seq").agg(F.min(F.struct("n", "o")).alias("b"))
+    met = first.hint("shuffle_hash").join(held.hint("shuffle_hash"), "k").where(V.venue_type(F.col("o.old_venue"), dim) == "preprint").groupBy("o.seq").agg(F.min(F.struct("n", "o")).alias("b"))
     rows = met.select("seq", F.col("b.o.title").alias("title"), F.col("b.o.old_venue").alias("old_venue"), F.col("b.n.venue").alias("venue"))
     arrow = F.concat(F.lit('"'), F.coalesce("title", F.lit("")), F.lit('": '), F.coalesce("old_venue", F.lit("")), F.lit(" → "), F.col("venue"))
     return rows.select("*", V.venue_type(F.col("venue"), dim).alias("venue_type"), V.peer_reviewed(F.col("venue"), dim).alias("peer_reviewed"), arrow.alias("message"))
@@ -81,12 +82,12 @@ def find(df: DataFrame, ids: DataFrame, key: str = "seq") -> DataFrame:
     preprint = F.when(trimmed.startswith("http"), K.arxiv_id_from_url(trimmed)).otherwise(K.normalize_arxiv_id(trimmed))
     asked = ids.select(i, F.explode(F.array_compact(F.array(tag("a:", preprint), F.when(trimmed.startswith("10."), tag("d:", trimmed)), tag("u:", trimmed)))).alias("__k"))
     held = df.select(key, F.explode(F.array_compact(F.array(tag("a:", F.col("arxiv_id")), tag("d:", F.col("doi")), tag("u:", F.col("url"))))).alias("__k"))
-    return asked.join(held, "__k").select("id", key).distinct()
+    return asked.hint("shuffle_hash").join(held, "__k").select("id", key).distinct()
 
 
 def missing_ids(df: DataFrame, ids: DataFrame, key: str = "seq") -> DataFrame:
     """The ids that name no row."""
-    return ids.join(find(df, ids, key), "id", "left_anti")
+    return ids.join(find(df, ids, key).select("id").distinct().hint("shuffle_hash"), "id", "left_anti")
 
 
 def discard_zero_hits(df: DataFrame, keywords: list[str], text: str = "text", least: int = 1000) -> DataFrame:
@@ -122,30 +123,60 @@ def classify(df: DataFrame, keywords: list[str], tool: str, label: Callable[[Col
     return out.withColumn("band", E.confidence_band(F.col("category"), F.col("classification_signal"), F.col("linked_paper_tier"), F.col("windows"))).drop("__w", "__f", "__n")
 
 
-def with_labels(df: DataFrame, prompt: Column, fn: Callable[[list[str]], list[str | None]], labels: list[str], rule: Column, needs: Column | None = None) -> DataFrame:
-    """``df`` with category, unclassified_reason and classification_signal from a labeller.
+_REPLIES = "prompt_hash string, reply string, error string"
 
-    ``fn`` maps prompts to replies, batch by batch inside the tasks, and is asked only for rows of which ``needs`` holds;
-    where it fails or gives none, ``rule`` decides (signal keyword_fallback). Other rows get nulls.
+
+def ask(prompts: DataFrame, fn: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """(prompt_hash, reply, error) of ``prompts`` (prompt_hash, prompt); ``fn`` maps a batch of prompts to replies inside the tasks.
+
+    Where it fails on a batch, that batch is asked prompt by prompt, and only
+    those that fail alone go without a reply; ``error`` says what was raised.
     """
-    asked = df.withColumn("__prompt", prompt if needs is None else F.when(needs, prompt))
-    schema = T.StructType([*asked.schema.fields, T.StructField("__reply", T.StringType())])
+
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return fn([prompt])[0], None
+        except Exception as e:  # the caller's function: told in ``error``
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            given = b["__prompt"].notna()
-            replies = pd.Series([None] * len(b), index=b.index, dtype=object)
-            if given.any():
-                try:
-                    replies[given] = fn(b.loc[given, "__prompt"].tolist())
-                except Exception:  # whatever the caller's function raises: the rule decides
-                    pass
-            yield b.assign(__reply=replies)
-
-    out = asked.mapInPandas(run, schema).withColumn("__l", E.parse_label(F.col("__reply"), labels))
+            asked = b["prompt"].tolist()
+            try:
+                got = [(r, None) for r in (fn(asked) if asked else [])]
+                if len(got) != len(asked):
+                    raise ValueError(f"{len(got)} replies to {len(asked)} prompts")
+            except Exception:  # asked again one by one, where errors are kept
+                got = [one(p) for p in asked]
+            yield pd.DataFrame({"prompt_hash": b["prompt_hash"], "reply": pd.Series([r for r, _ in got], index=b.index, dtype=object), "error": pd.Series([e for _, e in got], index=b.index, dtype=object)})
+
+    return prompts.select("prompt_hash", "prompt").mapInPandas(run, _REPLIES)
+
+
+def with_labels(df: DataFrame, prompt: Column, fn: Callable[[list[str]], list[str | None]], labels: list[str], rule: Column, needs: Column | None = None, replies: str | None = None) -> DataFrame:
+    """``df`` with category, unclassified_reason, classification_signal and label_error from a labeller.
+
+    Each distinct prompt of the rows of which ``needs`` holds is asked once; where
+    ``fn`` fails or gives no reply, ``rule`` decides (signal keyword_fallback).
+    Replies are kept in the table at ``replies``, if it is given, and not asked
+    for again by later runs; prompts that failed are. Other rows get nulls.
+    """
+    asked = df.withColumn("__prompt", prompt if needs is None else F.when(needs, prompt)).withColumn("__hash", F.sha2("__prompt", 256))
+    distinct = asked.where("__prompt is not null").groupBy(F.col("__hash").alias("prompt_hash")).agg(F.first("__prompt").alias("prompt"))
+    known = None
+    if replies is not None and versions.latest(df.sparkSession, replies):
+        known, _ = versions.read_version(df.sparkSession, replies)
+        distinct = distinct.hint("shuffle_hash").join(known.select("prompt_hash").hint("shuffle_hash"), "prompt_hash", "left_anti")
+    told = written(ask(distinct, fn))
+    if known is not None:
+        told = written(told.unionByName(known))
+    if replies is not None:
+        versions.write_version(told.where("error is null"), replies)
+    met = asked.join(told.select(F.col("prompt_hash").alias("__hash"), F.col("reply").alias("__reply"), F.col("error").alias("label_error")).hint("shuffle_hash"), "__hash", "left")
+    out = met.withColumn("__l", E.parse_label(F.col("__reply"), labels))
     given = F.col("__prompt").isNotNull()
     made = {"category": F.coalesce("__l.category", F.when(given, rule)), "unclassified_reason": F.col("__l.reason"), "classification_signal": F.when(F.col("__l").isNotNull(), "llm").when(given, "keyword_fallback")}
-    return out.withColumns(made).drop("__prompt", "__reply", "__l")
+    return out.withColumns(made).drop("__prompt", "__hash", "__reply", "__l")
 
 
 # The form of a caption, and of the number in it.

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import evidence as E
 from ..functions import keys as K
 from ..functions import venues as V
-from ..plans.tables import replace, written
+from ..plans.tables import written
+from . import versions
 from .enrich import TRUSTED_YEARS
 from .entities import diff
 from .moves import folded
@@ -247,15 +247,50 @@ STATE_KEYS = ["bucket", "title", "source"]
 BUCKETS = ["pending", "verified", "discarded"]
 
 
-def write_state(df: DataFrame, path: str) -> None:
-    """The whole state as parquet by bucket. It is written beside ``path`` and then takes its place, so that no bucket of the old state stays and ``df`` may be read from there."""
-    staged = f"{path.rstrip('/')}_{uuid.uuid4().hex}_staged"
-    df.write.partitionBy("bucket").parquet(staged)
-    replace(df.sparkSession, staged, path.rstrip("/"))
+def write_state(df: DataFrame, path: str, based_on: int | None = None) -> int:
+    """The whole state as the next version of ``path``, by bucket, and its number; ``df`` may be read from there. See ``versions``."""
+    return versions.write_version(df, path, based_on, ["bucket"])
+
+
+def checked(items: DataFrame, kind: StructType, needed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of items, JSON texts in column ``item`` beside others.
+
+    Rows have the fields of ``kind``. An item that isn't of that form, or that
+    lacks a ``needed`` field, goes to rejects, with ``item`` and ``reason``.
+    """
+    bad = "__unread"
+    form = StructType([*kind.fields, StructField(bad, StringType())])
+    read = items.withColumn("__row", F.from_json("item", form, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    why = F.when(F.col("__row").isNull() | F.col(f"__row.{bad}").isNotNull(), "not of the declared form")
+    for c in needed:
+        why = why.when(K.present(F.col(f"__row.{c}").cast("string")).isNull(), f"no {c}")
+    read = read.withColumn("reason", why)
+    others = [c for c in items.columns if c != "item"]
+    rows = read.where("reason is null").select(*(F.col(f"__row.{c}").alias(c) for c in kind.names), *(c for c in others if c not in kind.names))
+    return rows, read.where("reason is not null").select(*others, "item", "reason")
+
+
+def state_items(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, item) of a JSON document with a list of papers for each bucket; a flat list or a missing bucket is an error."""
+    whole = spark.read.option("multiLine", True).schema(", ".join(f"{b} array<string>" for b in BUCKETS)).option("mode", "FAILFAST").json(path)
+    lists = whole.select(*(F.when(F.col(b).isNull(), F.raise_error(F.lit(f"{path} has no {b}: not a state by buckets"))).otherwise(F.col(b)).alias(b) for b in BUCKETS))
+    each = [lists.select(F.lit(b).alias("bucket"), F.explode(b).alias("item")) for b in BUCKETS]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def read_checked_state(spark: SparkSession, path: str, kind: StructType) -> tuple[DataFrame, DataFrame]:
+    """(papers, rejects) of a JSON state against a declared form: rejects are (bucket, item, reason)."""
+    return checked(state_items(spark, path), kind, ["title"])
+
+
+def read_checked_repos(spark: SparkSession, path: str, kind: StructType) -> tuple[DataFrame, DataFrame]:
+    """(repos, rejects) of JSON lines or one JSON list of repos against a declared form."""
+    items = spark.read.text(path, wholetext=True).select(F.explode(F.coalesce(F.from_json("value", "array<string>"), F.split(F.trim("value"), "\\s*\n\\s*"))).alias("item"))
+    return checked(items, kind, ["owner", "repo"])
 
 
 def read_state(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    """A state as ``write_state`` leaves it, or (``form`` json) one document with a list of papers for each bucket.
+    """The latest version of a state, a plain parquet table, or (``form`` json) one document with a list of papers for each bucket.
 
     A flat list, a missing bucket or a missing column is an error; papers without a title are left out.
     """
@@ -271,7 +306,7 @@ def read_state(spark: SparkSession, path: str, form: str = "parquet") -> DataFra
         for x in each[1:]:
             state = state.unionByName(x, allowMissingColumns=True)
     else:
-        state = spark.read.parquet(path)
+        state = versions.read_version(spark, path)[0] if versions.latest(spark, path) else spark.read.parquet(path)
     lacking = [c for c in STATE_KEYS if c not in state.columns]
     if lacking:
         raise ValueError(f"{path} has no column {', '.join(lacking)}")
@@ -279,8 +314,8 @@ def read_state(spark: SparkSession, path: str, form: str = "parquet") -> DataFra
 
 
 def read_repo_state(spark: SparkSession, path: str) -> DataFrame:
-    """Repos as ``write_repo_state`` leaves them; those without owner or name are left out."""
-    repos = spark.read.parquet(path)
+    """The latest version of the repos; those without owner or name are left out."""
+    repos, _ = versions.read_version(spark, path)
     return repos.where(K.present(F.col("owner")).isNotNull() & K.present(F.col("repo")).isNotNull())
 
 
@@ -294,11 +329,9 @@ def public_repos(repos: DataFrame) -> DataFrame:
     return repos.select(*((made[c] if c in made else F.col(c) if c in repos.columns else F.lit(None).cast("string")).alias(c) for c in PUBLIC_REPO))
 
 
-def write_repo_state(repos: DataFrame, path: str) -> None:
-    """All repos with every field as parquet, written beside ``path`` before they take its place."""
-    staged = f"{path.rstrip('/')}_{uuid.uuid4().hex}_staged"
-    repos.write.parquet(staged)
-    replace(repos.sparkSession, staged, path.rstrip("/"))
+def write_repo_state(repos: DataFrame, path: str, based_on: int | None = None) -> int:
+    """All repos with every field as the next version of ``path``, and its number."""
+    return versions.write_version(repos, path, based_on)
 
 
 def trace(state: DataFrame, texts: DataFrame, keywords: list[str], key: str = "seq") -> DataFrame:

@@ -27,17 +27,3 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/catalogue/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def replace(spark: SparkSession, staged: str, path: str) -> None:
-    """Puts the finished table at ``staged`` in the place of the one at ``path``, which goes last."""
-    names = spark.sparkContext._jvm.org.apache.hadoop.fs
-    new, own, old = (names.Path(x) for x in (staged, path, f"{path}_{uuid.uuid4().hex}_old"))
-    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = files.exists(own)
-    if there and not files.rename(own, old):
-        raise OSError(f"could not move {path}")
-    if not files.rename(new, own):
-        raise OSError(f"could not move {staged} to {path}")
-    if there:
-        files.delete(old, True)
