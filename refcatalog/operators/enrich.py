@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions import venues as V
+from ..plans.tables import written
+from .similar import similar_pairs
 
 # Signals in order of trust, and the sources whose year counts.
 NAMED_SIGNALS = ["openalex", "s2", "crossref", "openreview"]
@@ -32,10 +34,10 @@ def resolved_venue(signals: Column, doi: Column, venue: Column, year: Column, id
     return F.coalesce(F.get(fit, F.lit(0)), fallback)
 
 
-def resolve_venue(papers: DataFrame, dim: list[V.Venue]) -> DataFrame:
-    """Papers (signals, doi, venue, year, arxiv_id, openalex_id) with venue and venue_source set, and the year of a trusted venue."""
+def resolve_venue(papers: DataFrame, dim: list[V.Venue], title_search: Column | None = None) -> DataFrame:
+    """Papers (signals, doi, venue, year, arxiv_id, openalex_id) with venue and venue_source set, and the year of a trusted venue. ``title_search``: the venue that a search for the title gave."""
     identified = F.coalesce(*(K.present(F.col(c)) for c in ("arxiv_id", "doi", "openalex_id"))).isNotNull()
-    best = resolved_venue(F.col("signals"), F.col("doi"), F.col("venue"), F.col("year"), identified, dim)
+    best = resolved_venue(F.col("signals"), F.col("doi"), F.col("venue"), F.col("year"), identified, dim, title_search)
     stated = F.nullif(F.regexp_extract("__v.venue", r"\b(20\d{2})\b", 1), F.lit("")).try_cast("int")
     out = papers.withColumn("__v", best)
     year = F.when(F.col("__v.source").isin(*TRUSTED_YEARS), F.coalesce(stated, F.col("year"))).otherwise(F.col("year"))
@@ -90,9 +92,40 @@ def fill_affiliations(papers: DataFrame, works: DataFrame) -> DataFrame:
     return out.withColumn("affiliations", filled).drop(*(f"__{x}{i}" for i in range(len(keys)) for x in "af"))
 
 
-def enrich(papers: DataFrame, registry: DataFrame, citations: DataFrame, reviews: DataFrame, feed: DataFrame, works: DataFrame, dim: list[V.Venue]) -> DataFrame:
-    """All of the above in order, then type, review flag, citation text and the best url."""
-    out = fill_affiliations(resolve_venue(collect_signals(papers, registry, citations, reviews, feed), dim), works)
+def match_titles(new: DataFrame, old: DataFrame, percent: int = 90) -> DataFrame:
+    """(seq, matched): for new rows the old row of the most similar title, the first of equals. Equal titles are one class, and only classes are paired."""
+    low = F.nullif(F.lower(F.trim("title")), F.lit(""))
+    both = old.select(F.col("seq").alias("o"), low.alias("t")).unionByName(new.select(F.lit(None).cast("long").alias("o"), low.alias("t"))).where("t is not null")
+    classes = written(both.groupBy("t").agg(F.min("o").alias("o")).withColumn("k", F.monotonically_increasing_id()))
+    links = written(similar_pairs(classes.select("k", "t"), "k", "t", percent))
+    each = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    near = each.hint("shuffle_hash").join(classes.select(F.col("k").alias("b"), "o").hint("shuffle_hash"), "b").where("o is not null").select(F.col("a").alias("k"), "score", "o")
+    own = classes.where("o is not null").select("k", F.lit(100.0).alias("score"), "o")
+    best = near.unionByName(own).groupBy("k").agg(F.min_by("o", F.struct(-F.col("score"), F.col("o"))).alias("matched")).hint("shuffle_hash").join(classes.select("k", "t").hint("shuffle_hash"), "k")
+    return new.select("seq", low.alias("t")).hint("shuffle_hash").join(best.hint("shuffle_hash"), "t").select("seq", "matched")
+
+
+def best_match(left: DataFrame, candidates: DataFrame, percent: int = 90) -> DataFrame:
+    """(seq, venue): for rows without a venue from elsewhere the venue of the candidate of the most similar title; empty ones and submissions name none."""
+    met = match_titles(left, candidates, percent)
+    told = candidates.select(F.col("seq").alias("matched"), "venue")
+    named = met.hint("shuffle_hash").join(told.hint("shuffle_hash"), "matched").where(K.present(F.col("venue")).isNotNull() & ~F.contains(F.lower("venue"), F.lit("submitted")))
+    return named.select("seq", "venue")
+
+
+def search_titles(papers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Papers without an id (key ``seq``) with ``title_search``: the venue of the candidate (title, venue, own ``seq``) of the most similar title."""
+    bare = F.coalesce(*(K.present(F.col(c)) for c in ("arxiv_id", "doi", "openalex_id"))).isNull()
+    found = best_match(papers.where(bare).select("seq", "title"), candidates).withColumnRenamed("venue", "title_search")
+    return papers.join(found.hint("shuffle_hash"), "seq", "left")
+
+
+def enrich(papers: DataFrame, registry: DataFrame, citations: DataFrame, reviews: DataFrame, feed: DataFrame, works: DataFrame, dim: list[V.Venue], candidates: DataFrame | None = None) -> DataFrame:
+    """All of the above in order (``candidates`` of a title search, if there are any), then type, review flag, citation text and the best url."""
+    told = collect_signals(papers, registry, citations, reviews, feed)
+    searched = None if candidates is None else F.col("title_search")
+    told = told if candidates is None else search_titles(told, candidates)
+    out = fill_affiliations(resolve_venue(told, dim, searched), works).drop("title_search")
     v, c = F.col("venue"), F.col
     out = out.withColumn("venue_type", V.venue_type(v, dim)).withColumn("peer_reviewed", V.peer_reviewed(v, dim)).withColumn("url", K.best_url(c("url"), c("arxiv_id"), c("doi")))
     entry = K.bibtex(c("title"), c("authors"), c("year"), v, c("url"), c("arxiv_id"), c("doi"))

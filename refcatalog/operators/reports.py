@@ -33,7 +33,8 @@ def repo_listing(df: DataFrame) -> DataFrame:
 
 
 def low_confidence(df: DataFrame) -> DataFrame:
-    return df.where(F.col("band").isin("low", "medium") & (F.col("category") != "unclassified"))
+    """Classified papers of the state whose confidence is low or medium."""
+    return df.where(F.col("category_confidence_band").isin("low", "medium") & (F.col("category") != "unclassified"))
 
 
 def public_papers(df: DataFrame) -> DataFrame:

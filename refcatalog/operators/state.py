@@ -14,7 +14,7 @@ from . import versions
 from .enrich import TRUSTED_YEARS
 from .entities import diff
 from .moves import folded
-from .similar import dedup, similar_pairs
+from .similar import dedup
 
 FILLED = ["affiliations", "abstract", "pdf_url", "doi", "arxiv_id", "s2_paper_id", "openalex_id"]
 
@@ -77,27 +77,6 @@ def apply_updates(old: DataFrame, new: DataFrame, dim: list[V.Venue]) -> DataFra
     return met.select(*(F.col(f"__after.{c}").alias(c) if c in values else F.col(c) for c in old.columns), "changed")
 
 
-def match_titles(new: DataFrame, old: DataFrame, percent: int = 90) -> DataFrame:
-    """(seq, matched): for new rows the old row of the most similar title, the first of equals. Equal titles are one class, and only classes are paired."""
-    low = F.nullif(F.lower(F.trim("title")), F.lit(""))
-    both = old.select(F.col("seq").alias("o"), low.alias("t")).unionByName(new.select(F.lit(None).cast("long").alias("o"), low.alias("t"))).where("t is not null")
-    classes = written(both.groupBy("t").agg(F.min("o").alias("o")).withColumn("k", F.monotonically_increasing_id()))
-    links = written(similar_pairs(classes.select("k", "t"), "k", "t", percent))
-    each = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    near = each.hint("shuffle_hash").join(classes.select(F.col("k").alias("b"), "o").hint("shuffle_hash"), "b").where("o is not null").select(F.col("a").alias("k"), "score", "o")
-    own = classes.where("o is not null").select("k", F.lit(100.0).alias("score"), "o")
-    best = near.unionByName(own).groupBy("k").agg(F.min_by("o", F.struct(-F.col("score"), F.col("o"))).alias("matched")).hint("shuffle_hash").join(classes.select("k", "t").hint("shuffle_hash"), "k")
-    return new.select("seq", low.alias("t")).hint("shuffle_hash").join(best.hint("shuffle_hash"), "t").select("seq", "matched")
-
-
-def best_match(left: DataFrame, candidates: DataFrame, percent: int = 90) -> DataFrame:
-    """(seq, venue): for rows without a venue from elsewhere the venue of the candidate of the most similar title; empty ones and submissions name none."""
-    met = match_titles(left, candidates, percent)
-    told = candidates.select(F.col("seq").alias("matched"), "venue")
-    named = met.hint("shuffle_hash").join(told.hint("shuffle_hash"), "matched").where(K.present(F.col("venue")).isNotNull() & ~F.contains(F.lower("venue"), F.lit("submitted")))
-    return named.select("seq", "venue")
-
-
 def merge_papers(old: DataFrame, new: DataFrame, dim: list[V.Venue], percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(merged, stats): in order, each new paper updates the paper of its preprint id, else doi (of several old ones the last), else the first one of a similar title; the others join, and later ones may update them.
 

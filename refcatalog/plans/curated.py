@@ -17,11 +17,11 @@ from ..operators import enrich as N
 from ..operators import entities as M
 from ..operators import reports as P
 from ..operators import state as S
-from ..operators.similar import dedup
 from ..sources import landed as L
 from .catalogue import DIM, DOI_PARTS, DOI_RULE, NORMAL, NORMAL_NAME, _with, shape
 from .resolution_sql import resolution, similar
-from .tables import table, written
+from .runs import Stages, discover, run, run_repos
+from .tables import shared_dir, table, written
 
 _CASES: dict[str, tuple] = {}
 
@@ -253,49 +253,6 @@ def run_metrics_row(spark, sf_dir):
     return P.run_metrics(p, state, ["s2_citation", "scholar"])
 
 
-def discover(sources: list[tuple[int, DataFrame]], least_year: int, excluded: list[str], dim: list) -> DataFrame:
-    """Unique papers of all sources in order of rank: excluded titles go, rows are resolved, gaps are filled within each cluster, the first confident venue counts, and old years go at last."""
-    rows = written(M.exclude(M.union_sources(*sources), "title", excluded))
-    leaders = dedup(rows.select("order", "title", "arxiv_id", "doi"), ["arxiv_id", "doi"], key="order").withColumnRenamed("seq", "order")
-    rows = written(rows.hint("shuffle_hash").join(leaders.hint("shuffle_hash"), "order"))
-    filled = [c for c in rows.columns if c not in ("seq", "order", "venue", "leader")]
-    one, venues = M.coalesce_cluster(rows, "leader", filled, "order"), M.venue_survivor(rows, "leader", dim, "order")
-    firsts = rows.where("order = leader").select("leader", "seq")
-    out = one.hint("shuffle_hash").join(venues.hint("shuffle_hash"), "leader").join(firsts.hint("shuffle_hash"), "leader")
-    return M.min_year(out.drop("leader", "order"), least_year)
-
-
-def run(sources: list[tuple[int, DataFrame]], state: DataFrame, texts: DataFrame, repos: DataFrame, old_repos: DataFrame, dim: list, settings: dict) -> dict[str, DataFrame]:
-    """A full run: ``papers`` and ``repos`` of the new state, and ``routes``, ``stats`` and ``buckets`` of the report.
-
-    sources: (rank, papers of the state's columns). texts: (seq, text). repos and old_repos: rows of ``merge_repos``
-    with owner, repo, linked_arxiv_id, url and the columns of ``route_repos``. settings: least_year, excluded,
-    keywords, tool, label (a function of the evidence), as_of, course_parents, course_words, categories.
-    """
-    found = discover(sources, settings["least_year"], settings["excluded"], dim).withColumn("content_hash", K.paper_hash(F.col("title"), F.col("abstract")))
-    # Repos: shared links go, types follow, course links go; what is left links papers.
-    tidy = M.unlink_shared(D.process_repos(D.route_repos(repos, old_repos)), settings.get("shared", 5))
-    kind = M.repo_type(F.col("repo"), F.col("description"), F.col("stars"), F.col("linked_paper_url"), F.col("parent_full_name"), F.col("unlinked"), F.col("category"), F.coalesce("manual_override", F.lit(False)), F.col("repo_type"), settings["course_parents"], settings["course_words"])
-    tidy = written(D.unlink_courses(tidy.withColumn("repo_type", kind)))
-    links = tidy.withColumn("linked_arxiv_id", K.arxiv_id_from_url(F.col("linked_paper_url")))
-    found = written(M.link_repos(links, found.withColumn("linked_paper_tier", F.lit(None).cast("int"))))
-    routes = written(M.route(found, state))
-    # Only papers that need it are classified; the others bring what was landed.
-    open_ = routes.where("needs_classification").hint("shuffle_hash").join(texts.hint("shuffle_hash"), "seq", "left")
-    judged = D.classify(open_.drop("category", "unclassified_reason"), settings["keywords"], settings["tool"], settings["label"])
-    judged = judged.withColumns({"category_confidence_band": F.col("band"), "has_classification": F.col("category") != "unclassified"})
-    judged = judged.withColumn("__d", S.decided()).withColumns({"bucket": F.col("__d.bucket"), "reason": F.col("__d.reason")})
-    judged = D.discard_zero_hits(judged, settings["keywords"])
-    names = state.columns
-    whole = lambda df: df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(state.schema[c].dataType).alias(c) for c in names))
-    fresh = written(whole(judged).unionByName(whole(routes.where("not needs_classification"))).withColumn("seq", F.col("seq") + settings.get("offset", 1 << 40)))
-    merged, stats = S.merge_papers(state, fresh, dim)
-    papers = written(S.rebucket(merged))
-    keyed = lambda df: df.withColumn("key", F.concat_ws("/", "owner", "repo"))
-    both = M.merge_repos(keyed(tidy.drop("route", "cleared", "unlinked")), keyed(old_repos), settings["as_of"])
-    return {"papers": papers, "repos": both, "routes": P.counts_by(routes, "route"), "stats": stats, "buckets": P.bucket_report(papers, settings["categories"])}
-
-
 _DISCOVERED = f""", r as (select *, case when seq % 2 = 0 then 1::bigint << 52 else 0 end + seq as ord from paper where title is null or lower(trim(title)) <> 'the'),
 k as (select ord as seq, title, arxiv_id, doi from r), {resolution('g', 'k')},
 c as (select r.*, leader, venue in ('International Conference on Machine Learning', 'ICLR 2026 Poster', 'Nature Methods') as sure from r join g on r.ord = g.seq)
@@ -382,7 +339,7 @@ def zero_hit_discards(spark, sf_dir):
     return D.discard_zero_hits(d, ["stupid", "license"]).select("doc_id", "bucket", "reason", "reason_detail")
 
 
-_EVIDENCE = """case doc_id % 6 when 0 then 'We used GridTool to run all. ' when 1 then 'We removed gridtool. ' when 5 then 'We thank gridtool for help. ' else '' end || case when doc_id % 6 = 4 then '' else substring(coalesce(text, ''), 1, 300) end"""
+_EVIDENCE = """case doc_id % 6 when 0 then 'We used GridTool to run all. ' when 1 then 'We removed gridtool. ' when 5 then 'We thank gridtool for help. ' else '' end || case when doc_id % 6 = 4 then '' else coalesce(text, '') end"""
 
 
 @_query("""
@@ -397,7 +354,7 @@ def evidence_classes(spark, sf_dir):
     return out.select("doc_id", "category", "band", "unclassified_reason", "windows")
 
 
-_FIGURES = """'Figure in the intro' || chr(10) || 'figure ' || cast(1 + doc_id % 4 as string) || ': attention  ' || chr(10) || 'as Figure 9: said' || chr(10) || case when doc_id % 2 = 0 then 'Fig. ' || cast(doc_id % 7 as string) || ' a pipeline' || chr(10) else '' end || substring(coalesce(text, ''), 1, 200)"""
+_FIGURES = """'Figure in the intro' || chr(10) || 'figure ' || cast(1 + doc_id % 4 as string) || ': attention  ' || chr(10) || 'as Figure 9: said' || chr(10) || case when doc_id % 2 = 0 then 'Fig. ' || cast(doc_id % 7 as string) || ' a pipeline' || chr(10) else '' end || coalesce(text, '')"""
 
 
 @_query(f"""
@@ -409,17 +366,51 @@ def figure_captions(spark, sf_dir):
 
 
 
+def _uses(evidence):
+    return E.first_label(evidence, [("uses_library", ["ing"])], "referencing")
+
+
+#: Settings of the full run over the given tables.
+RUN = {"least_year": 2022, "excluded": ["the"], "excluded_repos": ["owner3/Customer#000000008"], "keywords": ["ation"], "tool": "ation", "label": _uses, "as_of": "2025-06-01", "course_parents": ["course-org/exercises"], "course_words": ["machinery"], "categories": ["uses_library", "referencing"]}
+
+
+def _stages(spark: SparkSession) -> Stages:
+    return Stages(spark, f"{shared_dir(spark)}/runs/{uuid.uuid4().hex}")
+
+
+def _run_repos(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(discovered, old) repos; a third of the old ones have changed since."""
+    s, none = F.col("seq"), F.lit(None).cast("string")
+    r = shape(spark, sf_dir, "repo").withColumns({"key": F.concat_ws("/", "owner", "repo"), "archived": F.lit(False), "last_commit": F.lit("2025-01-02"), "url": F.concat_ws("/", "owner", "repo"), "category": F.lit("uses_library"), "manual_override": s % 23 == 0, "repo_type": none, "first_seen": F.to_date(F.lit("2025-01-01")), "last_seen": F.date_add(F.to_date(F.lit("2025-05-20")), (s % 60 - 30).cast("int")), "has_classification": F.lit(True)})
+    r = r.withColumn("content_hash", K.repo_hash(F.col("description"), F.col("last_commit"), F.col("archived")))
+    return r.where(s % 3 != 0), r.where(s % 10 != 0).withColumn("content_hash", F.when(s % 3 == 1, "changed").otherwise(F.col("content_hash")))
+
+
 @_query(None)
 def full_run(spark, sf_dir):
     s, none = F.col("seq"), F.lit(None).cast("string")
     state = _papers(spark, sf_dir).withColumns({"content_hash": K.paper_hash(F.col("title"), F.col("abstract")), "linked_paper_tier": none.cast("int")})
-    r = shape(spark, sf_dir, "repo").withColumns({"archived": F.lit(False), "last_commit": F.lit("2025-01-02"), "url": F.concat_ws("/", "owner", "repo"), "category": F.lit("uses_library"), "manual_override": s % 23 == 0, "repo_type": none, "first_seen": F.to_date(F.lit("2025-01-01")), "last_seen": F.date_add(F.to_date(F.lit("2025-05-20")), (s % 60 - 30).cast("int")), "has_classification": F.lit(True)})
-    r = r.withColumn("content_hash", K.repo_hash(F.col("description"), F.col("last_commit"), F.col("archived")))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
-    settings = {"least_year": 2022, "excluded": ["the"], "keywords": ["ation"], "tool": "ation", "label": lambda t: E.first_label(t, [("uses_library", ["ing"])], "referencing"), "as_of": F.to_date(F.lit("2025-06-01")), "course_parents": ["course-org/exercises"], "course_words": ["machinery"], "categories": ["uses_library", "referencing"]}
     landed = state.drop("bucket", "reason", "manual_override", "category", "has_classification")
-    out = run([(0, landed.where(s % 3 == 0)), (1, landed.where(s % 3 == 1))], state.where(s % 2 == 0), texts, r.where(s % 3 != 0), r.where(s % 10 != 0), DIM, settings)
-    return out["buckets"]
+    repos, old = _run_repos(spark, sf_dir)
+    return run(_stages(spark), [(0, landed.where(s % 3 == 0)), (1, landed.where(s % 3 == 1))], state.where(s % 2 == 0), texts, repos, old, DIM, RUN)["buckets"]
+
+
+@_query(_with("repo", """, r as (select *, owner || '/' || repo as key, seq % 23 = 0 as kept from repo), n as (select * from r where seq % 3 <> 0 and key <> 'owner3/Customer#000000008'), o as (select * from r where seq % 10 <> 0),
+b as (select * from o where key not in (select key from n) union all select * from n),
+u as (select b.*, count(linked_paper_url) over (partition by linked_paper_url) >= 5 and linked_paper_url is not null and row_number() over (partition by linked_paper_url order by coalesce(stars, 0) desc, seq) > 1 as unlinked from b),
+t as (select * replace (case when not unlinked then linked_paper_url end as linked_paper_url, case when not unlinked then linked_paper_tier end as linked_paper_tier) from u),
+k as (select *, case when kept then null when parent_full_name = 'course-org/exercises' or (unlinked and coalesce(stars, 0) = 0 and description is null) or contains(lower(repo || ' ' || coalesce(description, '')), 'machinery') then 'course'
+  when linked_paper_url is not null or (coalesce(stars, 0) >= 6 and description is not null) then 'research' else 'experiment' end as repo_type from t),
+c as (select * replace (case when repo_type = 'course' and not kept then null else linked_paper_url end as linked_paper_url, case when repo_type = 'course' and not kept then null else linked_paper_tier end as linked_paper_tier) from k where key in (select key from n)),
+p as (select c.key, case when o.key is null then 'new' when o.kept then 'protected' when o.seq % 3 = 1 then 'reprocess' else 'skip' end as route, o.key is not null as known, o.kept as was_kept,
+  c.linked_paper_url as url, c.linked_paper_tier as tier, c.repo_type, o.linked_paper_url as old_url, o.linked_paper_tier as old_tier from c left join o using (key)),
+m as (select key, case when route in ('skip', 'protected') or was_kept then old_url else url end as linked_paper_url, case when route in ('skip', 'protected') or was_kept then old_tier else tier end as linked_paper_tier,
+  case when route in ('skip', 'protected') or was_kept then null else repo_type end as repo_type, date '2025-06-01' as last_seen from p)
+select * from m union all
+select key, linked_paper_url, linked_paper_tier, null, date '2025-05-20' + cast(seq % 60 - 30 as int) from o where key not in (select key from m) and (kept or date '2025-06-01' - (date '2025-05-20' + cast(seq % 60 - 30 as int)) <= 30)"""))
+def full_run_repos(spark, sf_dir):
+    return run_repos(_stages(spark), *_run_repos(spark, sf_dir), RUN).select("key", "linked_paper_url", "linked_paper_tier", "repo_type", "last_seen")
 
 
 @_query(_with("paper", """select bucket, part, name, count(*) as n from (
@@ -474,10 +465,10 @@ def usage_classes(spark, sf_dir):
 
 @_query(_with("paper", """select seq, '@article{' || 'bee' || coalesce(cast(year as varchar), '') || lower(regexp_replace(regexp_extract(title, '^(\\S*)', 1), '[^A-Za-z0-9]', '', 'g')) || ',' || chr(10) || '  title = {' || trim(title) || '},' || chr(10) || '  author = {Ann Bee, Cy Dow},' || chr(10)
  || case when year is null then '' else '  year = {' || year || '},' || chr(10) end || case when venue is null then '' else '  journal = {' || venue || '},' || chr(10) end || case when arxiv_id is null then '' else '  eprint = {' || arxiv_id || '},' || chr(10) end || case when doi is null then '' else '  doi = {' || doi || '},' || chr(10) end || '}' as bibtex,
- case when seq % 4 = 0 then 'certain' when seq % 10 >= 9 then 'high' when seq % 10 = 0 then 'none' else null end as band from paper where coalesce(title, '') <> '' and (seq % 4 = 0 or seq % 10 in (0, 9))"""))
+ case when seq % 4 = 0 then 'certain' when seq % 10 / 10.0 >= 0.95 then 'certain' when seq % 10 / 10.0 >= 0.7 then 'high' when seq % 10 / 10.0 >= 0.5 then 'medium' when seq % 10 > 0 then 'low' else 'none' end as band from paper where coalesce(title, '') <> ''"""))
 def entry_texts(spark, sf_dir):
     p, s, none = shape(spark, sf_dir, "paper"), F.col("seq"), F.lit(None).cast("string")
-    p = p.where("coalesce(title, '') <> '' and (seq % 4 = 0 or seq % 10 in (0, 9))")
+    p = p.where("coalesce(title, '') <> ''")
     band = K.band_from_score((s % 10) / 10.0, s % 4 == 0)
     return p.select("seq", K.bibtex(F.col("title"), F.lit("Ann Bee, Cy Dow"), F.col("year"), F.col("venue"), none, F.col("arxiv_id"), F.col("doi")).alias("bibtex"), band.alias("band"))
 
@@ -501,7 +492,7 @@ def search_records(spark, sf_dir):
 @_query(_STATE + """select seq, title, bucket from (select *, seq % 3 as k from de) where bucket = 'pending' and k <> 0 and coalesce(trim(title), '') <> ''""")
 def state_round_trip(spark, sf_dir):
     p = _papers(spark, sf_dir)
-    path = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp')}/state-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
     S.write_state(p, path)
     # The second write leaves out whole buckets and reads what it replaces.
     S.write_state(S.read_state(spark, path).where("bucket = 'pending' and seq % 3 <> 0"), path)

@@ -12,18 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a parquet table in ``spark.checkpoint.dir``, read back: its lineage ends there.
-
-    Where that is unset, a temporary folder takes its place on a local master (tests); on a cluster that is an error.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one takes its place on a local master (tests); on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/catalogue/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a parquet table in the shared folder, read back: its lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/catalogue/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

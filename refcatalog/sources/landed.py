@@ -174,6 +174,17 @@ def feed_from_xml(pages: DataFrame, xml: str = "xml") -> DataFrame:
     return feed_to_papers(pages.select(F.inline(parsed["entry"])))
 
 
+def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(papers, rejects) of feed files of any size: they are split between entries, and each is parsed alone; those that don't parse or have no id go to rejects (entry, reason)."""
+    own = F.regexp_extract("value", r"(?s)<(?:atom:)?entry\b.*$", 0)
+    entries = spark.read.option("lineSep", "</entry>").text(path).select(own.alias("entry")).where("entry <> ''")
+    plain = F.regexp_replace(F.concat("entry", F.lit("</entry>")), r"(</?)(?:arxiv|atom):", "$1")
+    read = entries.withColumn("e", F.from_xml(plain, f"{FEED_ENTRY}, __unread string", {"columnNameOfCorruptRecord": "__unread"}))
+    why = F.when(F.col("e").isNull() | F.col("e.__unread").isNotNull(), "does not parse").when(K.present(F.col("e.id")).isNull(), "no id")
+    told = read.withColumn("reason", why)
+    return feed_to_papers(told.where("reason is null").select("e.*").drop("__unread")), told.where("reason is not null").select("entry", "reason")
+
+
 #: The message of a registry record.
 REGISTRY = "struct<DOI:string,`container-title`:array<string>,event:struct<name:string>,publisher:string,type:string,author:array<struct<affiliation:array<struct<name:string>>>>,link:array<struct<URL:string,`content-type`:string>>>"
 

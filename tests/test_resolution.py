@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refcatalog.functions import affiliations, evidence, keys, venues
-from refcatalog.operators import decisions, moves, reports, similar, state
+from refcatalog.operators import decisions, enrich, moves, reports, similar, state
 from refcatalog.operators.entities import apply_curation, merge_repos
 from refcatalog.operators.similar import _lcs, dedup, greedy_leaders, similar_pairs
 from refcatalog.plans import curated
@@ -153,8 +153,8 @@ def test_discovery_orders_by_source_and_takes_the_first_confident_venue(spark):
 def test_best_title_match_is_the_most_similar_one(spark):
     old = spark.createDataFrame([(1, "a study of sparse circuits in models", "ICLR 2024"), (2, "a study of sparse circuits in model", "submitted to ICLR"), (3, "another thing", "ICML")], "seq long, title string, venue string")
     new = spark.createDataFrame([(10, "A study of sparse circuits in models "), (11, "a study of sparse circuits in mode"), (12, "Another thing"), (13, "")], "seq long, title string")
-    assert {r["seq"]: r["matched"] for r in state.match_titles(new, old).collect()} == {10: 1, 11: 2, 12: 3}
-    assert {r["seq"]: r["venue"] for r in state.best_match(new, old).collect()} == {10: "ICLR 2024", 12: "ICML"}
+    assert {r["seq"]: r["matched"] for r in enrich.match_titles(new, old).collect()} == {10: 1, 11: 2, 12: 3}
+    assert {r["seq"]: r["venue"] for r in enrich.best_match(new, old).collect()} == {10: "ICLR 2024", 12: "ICML"}
 
 
 def test_state_is_replaced_as_a_whole_and_read_back(spark, tmp_path):
