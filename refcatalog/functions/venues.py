@@ -36,8 +36,8 @@ PLACEHOLDERS = [
     r"international conference on(\s+\d{4})?", r"conference on(\s+\d{4})?",
 ]
 # Words by which routing tells types apart.
-ROUTE_CONFERENCE = "proceedings conference conf symposium neurips icml iclr aaai acl emnlp workshop coling naacl".split()
-ROUTE_JOURNAL = "journal transactions letters review nature science ieee acm".split()
+ROUTE_CONFERENCE = ["proceedings", "conference", "conf", "symposium", "neurips", "icml", "iclr", "aaai", "acl", "emnlp", "workshop", "coling", "naacl"]
+ROUTE_JOURNAL = ["journal", "transactions", "letters", "review", "nature", "science", "ieee", "acm"]
 # Fixed value: how a comment says where a paper went.
 ACCEPTED = r"(?i)\b(?:Accepted (?:at|to|in)|Published (?:in|at)|Appeared (?:at|in)|Presented at|To appear (?:in|at)|Camera-ready for)\b\s+(.+?)\s+\b(20\d{2})\b"
 

@@ -198,10 +198,10 @@ def reclassify(state: DataFrame, verdicts: DataFrame, ids: list | None = None, k
 
 
 # The columns of the sheets.
-PAPER_SHEET = "title authors affiliations venue year url pdf_url project_url description category peer_reviewed venue_type arxiv_id doi date_discovered category_confidence source manual_override".split()
-PENDING_SHEET = "title authors venue year url category reason reason_detail arxiv_id doi source manual_override".split()
-DISCARDED_SHEET = "title authors venue year url reason reason_detail arxiv_id doi source manual_override".split()
-REPO_SHEET = "owner repo url description stars forks last_commit first_seen language license topics linked_paper_url linked_paper_tier readme_arxiv_ids category repo_type parent_full_name archived is_fork classification_reason manual_override".split()
+PAPER_SHEET = ["title", "authors", "affiliations", "venue", "year", "url", "pdf_url", "project_url", "description", "category", "peer_reviewed", "venue_type", "arxiv_id", "doi", "date_discovered", "category_confidence", "source", "manual_override"]
+PENDING_SHEET = ["title", "authors", "venue", "year", "url", "category", "reason", "reason_detail", "arxiv_id", "doi", "source", "manual_override"]
+DISCARDED_SHEET = ["title", "authors", "venue", "year", "url", "reason", "reason_detail", "arxiv_id", "doi", "source", "manual_override"]
+REPO_SHEET = ["owner", "repo", "url", "description", "stars", "forks", "last_commit", "first_seen", "language", "license", "topics", "linked_paper_url", "linked_paper_tier", "readme_arxiv_ids", "category", "repo_type", "parent_full_name", "archived", "is_fork", "classification_reason", "manual_override"]
 SHEETS = {"papers": ("verified", PAPER_SHEET), "pending": ("pending", PENDING_SHEET), "discarded": ("discarded", DISCARDED_SHEET), "repos": (None, REPO_SHEET)}
 
 
@@ -222,6 +222,13 @@ def sheet(df: DataFrame, name: str) -> DataFrame:
     return (df if bucket is None else df.where(F.col("bucket") == bucket)).select(*(cell(c).alias(c) for c in columns))
 
 
+def write_sheets(papers: DataFrame, repos: DataFrame, folder: str) -> list[str]:
+    """All sheets as CSV with a header, one folder each below ``folder``; gives their names. Text is quoted where it has to be, line breaks included."""
+    for name in SHEETS:
+        sheet(repos if name == "repos" else papers, name).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder.rstrip('/')}/{name}")
+    return list(SHEETS)
+
+
 STATE_KEYS = ["bucket", "title", "source"]
 BUCKETS = ["pending", "verified", "discarded"]
 
@@ -299,7 +306,7 @@ def read_repo_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 # The public fields of a repo.
-PUBLIC_REPO = "owner repo url description stars forks last_commit language linked_paper_url is_course is_fork parent_full_name".split()
+PUBLIC_REPO = ["owner", "repo", "url", "description", "stars", "forks", "last_commit", "language", "linked_paper_url", "is_course", "is_fork", "parent_full_name"]
 
 
 def public_repos(repos: DataFrame) -> DataFrame:

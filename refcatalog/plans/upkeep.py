@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import affiliations as A
 from ..operators import decisions as D
 from ..operators import enrich as N
 from ..operators import entities as M
@@ -187,6 +188,37 @@ def labelled_prompts(spark, sf_dir):
     return label(d).select("seq", "category", F.col("classification_signal").alias("signal"), F.col("label_error").isNotNull().alias("failed"))
 
 
+#: Blocks of a page: a title, the abstract, a footer of two places in two blocks, and a block that is too high; places are made of the row.
+_BLOCKS = """array(named_struct('x0', 0d, 'y0', 10d, 'x1', 500d, 'y1', 40d, 'text', '1 University of Titles'),
+ named_struct('x0', 0d, 'y0', cast(700 + doc_id % 7 as double), 'x1', 250d, 'y1', cast(740 + doc_id % 7 as double), 'text', concat('2 Institute of ', source, ' studies')),
+ named_struct('x0', 0d, 'y0', 690d, 'x1', 250d, 'y1', 699d, 'text', concat('1 University of ', upper(lang), ' north')),
+ named_struct('x0', 0d, 'y0', cast(300 + doc_id % 11 as double), 'x1', 500d, 'y1', cast(300 + doc_id % 11 + 20 * (doc_id % 9) as double), 'text', concat('3 Laboratory of ', source)),
+ named_struct('x0', 0d, 'y0', 200d, 'x1', 500d, 'y1', 600d, 'text', concat(if(doc_id % 3 = 0, 'Abstract ', ''), coalesce(text, ''))))"""
+
+
+@_query("""with p as (select doc_id, (doc_id % 3 <> 0 and not contains(substring(coalesce(text, ''), 1, 60), 'Abstract') and not contains(substring(coalesce(text, ''), 1, 60), 'ABSTRACT')) as open_, 20 * (doc_id % 9) < 80 as low, source, upper(lang) as lang from documents)
+select doc_id, array_to_string(list_filter([case when open_ then 'University of Titles' end, case when low then 'Laboratory of ' || source end, 'University of ' || lang || ' north', 'Institute of ' || source || ' studies'], lambda x: x is not null), '; ') as affiliations from p""")
+def footer_affiliations(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_BLOCKS).alias("blocks"))
+    return d.select("doc_id", F.array_join(A.affiliations(F.lit(None).cast("string"), F.lit(None).cast("string"), A.footer_block(F.col("blocks"))), "; ").alias("affiliations"))
+
+
+@_query(_with("paper", """, s as (select ['papers', coalesce(title, ''), coalesce(venue, ''), cast(year as varchar), coalesce(arxiv_id, '')] as x from paper where seq % 3 = 0 union all select ['pending', coalesce(title, ''), coalesce(venue, ''), cast(year as varchar), coalesce(arxiv_id, '')] from paper where seq % 3 = 1
+ union all select ['discarded', coalesce(title, ''), coalesce(venue, ''), cast(year as varchar), coalesce(arxiv_id, '')] from paper where seq % 3 = 2) select x[1] as sheet, x[2] as name, x[3] as venue, coalesce(x[4], '') as year, x[5] as own_id from s
+union all select 'repos', c_name, coalesce(case when c_custkey % 4 = 0 then null else lower(c_mktsegment) || ' project' end, ''), coalesce(cast(case when c_acctbal < 0 then null else cast(floor(c_acctbal) as int) % 50 end as varchar), ''), 'owner' || c_nationkey from customer"""))
+def sheets_as_csv(spark, sf_dir):
+    """All four sheets as they are read back from their files."""
+    s, at = F.col("seq"), _folder(spark, "sheets")
+    p = shape(spark, sf_dir, "paper").withColumn("bucket", F.when(s % 3 == 0, "verified").when(s % 3 == 1, "pending").otherwise("discarded"))
+    out = None
+    for name in S.write_sheets(p, shape(spark, sf_dir, "repo"), at):
+        fields = ["repo", "description", "stars", "owner"] if name == "repos" else ["title", "venue", "year", "arxiv_id"]
+        rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{at}/{name}")
+        one = rows.select(F.lit(name).alias("sheet"), *(F.coalesce(c, F.lit("")).alias(n) for c, n in zip(fields, ["name", "venue", "year", "own_id"], strict=True)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _CASES.items()}
 
