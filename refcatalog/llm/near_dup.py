@@ -32,6 +32,8 @@ SLACK = 5.0
 REFILLS = 16
 #: Rows, and shingles, of one side of a block in which members of a bucket are compared across components.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Ids of rows that go, at most, that are sent to all tasks (some 20 MB); more are met by a join.
+SENT_IDS = 500_000
 
 _BOUNDS = (np.arange(REGISTERS + 1, dtype=object) * (1 << 64) // REGISTERS)[:-1].astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -313,13 +315,13 @@ def _classed(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> t
     band = F.xxhash64("band", F.expr(f"substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS})"))
     bands = cut(classes.select("node", "n_shingles", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("node", "n_shingles", "band", band.alias("key")))
     buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = bands.hint("shuffle_hash").join(buckets, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = bands.join(buckets.hint("shuffle_hash"), "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     edges = _confirmed(stars, classes, docs, doc_id, text, k, percent)
     labels = cut(connected_components(edges))
 
     named = cut(bands.hint("shuffle_merge").join(labels, "node", "left").select("key", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component")))
     still = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("lo <> hi").select("key", "n", "weight")
-    members = named.drop("n_shingles").hint("shuffle_hash").join(still, "key").hint("shuffle_merge").join(classes.select("node", "sketch"), "node")
+    members = named.drop("n_shingles").join(still.hint("shuffle_hash"), "key").hint("shuffle_merge").join(classes.select("node", "sketch"), "node")
     more = _cross_links(members.select("key", "band", "n", "weight", "node", "component", "sketch"), classes, docs, doc_id, text, k, percent)
     if more.limit(1).count():
         labels = cut(connected_components(edges.unionByName(more)))
@@ -367,13 +369,15 @@ def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     # Of each id: whether any row of it goes, and whether several stay. Most ids have neither.
     seen = rows.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go"))
     odd = cut(seen.where("go > 0 or stay > 1").select("doc_id", ((F.col("stay") == 0)).alias("all_go")))
+    # Few enough ids, which are counted, are sent to all tasks, so that no text is shuffled.
+    how = "broadcast" if odd.count() <= SENT_IDS else "shuffle_merge"
     names, key = docs.columns, unused(docs, "doc")
     ided = docs.withColumn(key, F.col(doc_id).cast("long"))
-    plain = ided.hint("shuffle_merge").join(odd.select(F.col("doc_id").alias(key)), key, "left_anti").select(*names)
+    plain = ided.join(odd.select(F.col("doc_id").alias(key)).hint(how), key, "left_anti").select(*names)
     mixed = odd.where("not all_go").select(F.col("doc_id").alias(key))
     if not mixed.limit(1).count():
         return plain
-    some = ided.hint("shuffle_merge").join(mixed, key, "left_semi")
+    some = ided.join(mixed.hint(how), key, "left_semi")
     return plain.unionByName(_one_each(some, rows.where("kept"), key, text, k).select(*names))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from refcatalog.llm import quality, queries, secrets
+from refcatalog.llm import near_dup, quality, queries, secrets
 from refcatalog.llm.packing import WordIds, placements, sweep
 from refcatalog.llm.queries import tokenizer_path
 
@@ -188,7 +188,7 @@ def test_odd_and_empty_tables(spark, odd, name):
     assert OPS[name](spark, odd[1]).collect() == []
 
 
-def test_pipeline_on_whole_odd_and_empty_tables(spark, odd, texts):
+def test_pipeline_on_whole_odd_and_empty_tables(spark, odd, texts, monkeypatch):
     got = pipeline.run(spark, SF).toPandas()
     assert 0 < got.doc_id.nunique() <= len(texts) and (got.groupby("sequence_id").length.sum() <= 2048).all()
     left = [r["doc_id"] for r in pipeline.run(spark, odd[0]).collect() if r["piece"] == 0]
@@ -198,6 +198,8 @@ def test_pipeline_on_whole_odd_and_empty_tables(spark, odd, texts):
     assert Counter(r["doc_id"] for r in pipeline.dedup_stage(spark, docs, odd[0]).collect()) == Counter(i for i, _ in [*ODD[:6], *ODD[7:8], *ODD[9:]])
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, odd[0]).columns == docs.columns
+    monkeypatch.setattr(near_dup, "SENT_IDS", 0)  # too many ids to send
+    assert Counter(r["doc_id"] for r in pipeline.dedup_stage(spark, docs, odd[0]).collect()) == Counter(i for i, _ in [*ODD[:6], *ODD[7:8], *ODD[9:]])
     assert pipeline.run(spark, odd[1]).collect() == []
 
 
