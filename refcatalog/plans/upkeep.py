@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import affiliations as A
+from ..functions import evidence as E
+from ..functions import keys as K
 from ..operators import decisions as D
 from ..operators import enrich as N
 from ..operators import entities as M
@@ -219,6 +221,34 @@ def sheets_as_csv(spark, sf_dir):
     return out
 
 
+@_query(_with("paper", """select seq, 'title' as field, title as old, 'edited ' || seq as new from paper where seq % 10 = 0
+ union all select seq, 'venue', venue, 'New venue ' || source from paper where seq % 10 in (0, 5) and venue is distinct from 'New venue ' || source"""))
+def edit_change_rows(spark, sf_dir):
+    p, s, none = shape(spark, sf_dir, "paper"), F.col("seq"), F.lit(None).cast("string")
+    empty = ["authors", "affiliations", "description", "url", "pdf_url", "project_url", "image", "reason_detail", "category", "reason", "category_confidence_band", "unclassified_reason"]
+    p = p.withColumns({c: none for c in empty} | {"bucket": F.lit("pending"), "manual_override": F.lit(False), "peer_reviewed": F.lit(False), **{f"has_{x}": F.lit(False) for x in ("summary", "classification", "thumbnail", "affiliations")}})
+    edit = lambda where, n, f, v: p.where(where).select("seq", F.lit(n).alias("ord"), F.lit(f).alias("field"), v.alias("value"))
+    edits = edit(s % 10 == 0, 1, " Title", F.concat(F.lit("edited "), s)).unionByName(edit(s % 5 == 0, 2, "venue", F.concat(F.lit("New venue "), "source")))
+    return S.edit_changes(p, S.apply_edits(p, edits)).where("field in ('title', 'venue')")
+
+
+@_query(_with("figure", """select source, caption, page_num, cast(score as double) as score from (
+ select source, caption, page_num, score, row_number() over (partition by source order by score desc, page_num, doc_id) as nth from (
+  select *, greatest(0, case doc_id % 3 when 0 then 40 when 1 then -40 else 20 end - 2 * page_num + case figure_num when 1 then 35 when 2 then 35 when 3 then 15 else 0 end) as score from figure where doc_id % 40 >= 20 or doc_id % 50 = 1)
+ where score > 0) where nth = 1"""))
+def gated_captions(spark, sf_dir):
+    i = F.col("doc_id")
+    f = shape(spark, sf_dir, "figure").withColumns({"score": E.caption_score(F.col("caption"), F.col("page_num"), F.col("figure_num")), "ord": i, "n_drawings": (i % 40).cast("int"), "n_images": F.when(i % 50 == 1, 1)})
+    return P.best_caption(P.pages_with_figures(f), "source").select("source", "caption", "page_num", "score")
+
+
+@_query(_with("paper", "select seq, cast(case seq % 6 when 0 then 1.0 when 1 then 0.85 when 2 then 0.55 when 3 then 0.3 else 0.0 end as double) as score from paper"))
+def band_scores(spark, sf_dir):
+    s = F.col("seq")
+    band = F.when(s % 6 == 0, "certain").when(s % 6 == 1, "high").when(s % 6 == 2, "medium").when(s % 6 == 3, "low").when(s % 6 == 4, "none")
+    return shape(spark, sf_dir, "paper").select("seq", K.score_from_band(band).cast("double").alias("score"))
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _CASES.items()}
 
