@@ -43,9 +43,9 @@ def similar_pairs(rows: DataFrame, key: str = "seq", title: str = "title", perce
 
     Classes of equal titles come first. If a title is at most d single-character
     insertions and deletions away from a longer one, then of d + 1 pieces of it at
-    least one is in the longer one, moved by at most d places. So the pieces of
-    each title meet the substrings of the longer ones by equal text and stretch of
-    positions. Place, length and two words of bits (each edit flips at most one bit
+    least one is in the longer one, moved on by its insertions or back by its
+    deletions at most. So the pieces of each title meet the substrings of the longer
+    ones by equal text and stretch of positions. Place, length and two words of bits (each edit flips at most one bit
     of them) are checked inside the join. Levenshtein (never above that distance)
     rejects pairs natively, and the exact length of the longest common subsequence
     confirms the rest. Empty titles match nothing. No pair is lost and nothing is
@@ -67,9 +67,9 @@ def similar_pairs(rows: DataFrame, key: str = "seq", title: str = "title", perce
     widths = f"array_distinct(flatten(transform(sequence(cast(ceil(n * {percent} / {100 + far}) as int), n), m -> array(cast(m div ({d_of} + 1) as int), cast((m + {d_of}) div ({d_of} + 1) as int)))))"
     open_ = sized.selectExpr("k", "n", "t", "lo", "hi", f"explode({widths}) as w").where("w > 0 and w <= n")
     each = open_.selectExpr("k", "n", "t", "lo", "hi", "w", "explode(sequence(0, n - w)) as at").selectExpr("substring(t, at + 1, w) as piece", "k", "n", "at", "lo", "hi", f"n * 2 * {far} div 100 as reach")
-    probes = written(each.selectExpr("piece", "k", "n", "at", "lo", "hi", f"explode(sequence(greatest(at - reach, 0) div {STRETCH}, (at + reach) div {STRETCH})) as stretch"))
+    probes = written(each.selectExpr("piece", "k", "n", "at", "lo", "hi", f"explode(sequence(greatest(at - reach, 0) div {STRETCH}, (at + reach div 2 + 1) div {STRETCH})) as stretch"))
     most = f"(x.n + y.n) * {far} div 100"
-    fits = f"x.n <= y.n and y.n <= x.longest and abs(x.at - y.at) <= {most} and bit_count(x.lo ^ y.lo) + bit_count(x.hi ^ y.hi) <= {most} and (x.n < y.n or x.k < y.k)"
+    fits = f"x.n <= y.n and y.n <= x.longest and 2 * (y.at - x.at) <= {most} + y.n - x.n and 2 * (x.at - y.at) <= {most} - y.n + x.n and bit_count(x.lo ^ y.lo) + bit_count(x.hi ^ y.hi) <= {most} and (x.n < y.n or x.k < y.k)"
     met = pieces.alias("x").hint("shuffle_hash").join(probes.alias("y").hint("shuffle_hash"), F.expr(f"x.piece = y.piece and x.stretch = y.stretch and {fits}"))
     pairs = written(met.select(F.greatest("x.k", "y.k").alias("a"), F.least("x.k", "y.k").alias("b")).distinct())
     text = lambda x: classes.select(F.col("k").alias(x), F.col("t").alias(f"t{x}"))

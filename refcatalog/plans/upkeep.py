@@ -242,7 +242,7 @@ def gated_captions(spark, sf_dir):
     return P.best_caption(P.pages_with_figures(f), "source").select("source", "caption", "page_num", "score")
 
 
-@_query(_with("paper", "select seq, cast(case seq % 6 when 0 then 1.0 when 1 then 0.85 when 2 then 0.55 when 3 then 0.3 else 0.0 end as double) as score from paper"))
+@_query(_with("paper", "select seq, cast(case seq % 6 when 0 then 1.0 when 1 then 0.85 when 2 then 0.55 when 3 then 0.3 when 4 then 0.0 end as double) as score from paper"))
 def band_scores(spark, sf_dir):
     s = F.col("seq")
     band = F.when(s % 6 == 0, "certain").when(s % 6 == 1, "high").when(s % 6 == 2, "medium").when(s % 6 == 3, "low").when(s % 6 == 4, "none")
