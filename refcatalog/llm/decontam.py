@@ -267,7 +267,8 @@ def scan(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     are scanned each, and repeated items count once; other columns are left out,
     so that their names can't clash. An empty items table hits nothing. A
     benchmark of more than ``item_words`` words takes several passes with a
-    bounded automaton each; the documents are never shuffled.
+    bounded automaton each; the documents are never shuffled. A very long text is
+    streamed whole in one task, some 30 bytes for each of its bytes.
     """
     kinds = [(f"carry{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
     now = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))

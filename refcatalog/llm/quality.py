@@ -234,8 +234,9 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts have no words, and missing or null metadata is a value of its own;
     repeated rows are scored each; a document with several labels counts as the
     largest. With fewer than 8 documents of a class (or none) every row scores
-    the share of label 1, and 1 without labels. Extra columns are left out. An
-    empty table gives an empty one.
+    the share of label 1, and 1 without labels. A very long text is encoded whole
+    in one task, some 40 bytes for each of its bytes. Extra columns are left out.
+    An empty table gives an empty one.
     """
     encoded, there = _prepared(docs, doc_id, text, meta_columns)
     encoded = cut(encoded)

@@ -160,7 +160,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, doc_id: st
 
     Counts equal the library's own for whole texts, without begin or end tokens;
     special strings inside a text are ordinary characters. Null and empty texts
-    have no bytes and no tokens. Repeated rows give repeated results, extra
+    have no bytes and no tokens; a very long text is counted whole, by its distinct
+    pre-tokens. Repeated rows give repeated results, extra
     columns are left out, and an empty table gives an empty one.
     """
     kind = docs.schema[doc_id].dataType.simpleString()

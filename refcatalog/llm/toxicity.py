@@ -178,7 +178,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) for each row of ``docs``, from its whole text alone, without a shuffle.
 
-    Null and empty texts are one empty window. Repeated rows are scored each;
+    Null and empty texts are one empty window; all windows of a very long text
+    count, in one task. Repeated rows are scored each;
     extra columns are left out; an empty table gives an empty one. A model of
     fewer than 8 texts in a class scores all rows with the toxic share.
     """
