@@ -86,13 +86,13 @@ def similar_pairs(rows: DataFrame, key: str = "seq", title: str = "title", perce
     return same.unionByName(near.select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long, score double"))
 
 
-def greedy_leaders(rows: DataFrame, values: DataFrame, links: DataFrame, key: str = "seq", seeds: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
+def greedy_leaders(rows: DataFrame, values: DataFrame, links: DataFrame, key: str = "seq", seeds: DataFrame | None = None, last_of: list[int] | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """(seq, leader): each row in order joins the earlier leader it shares the first value with, or leads itself.
 
     values: (seq, rank, v), a row's own values, those of lower rank first. links:
-    (rank, v, w), the values w that a row with v looks at besides its own; of
-    several leaders of one such rank the first counts, of other ranks the last
-    seed, else the first. ``seeds`` (seq) lead from the start, whatever they share;
+    (rank, v, w), the values w that a row with v looks at besides its own. Of
+    several leaders of one rank the first counts, but for the ranks ``last_of``,
+    where it is the last seed if there is one. ``seeds`` (seq) lead from the start, whatever they share;
     they come before all other rows. A row leads if no earlier leader has such a
     value, which is the sequential rule.
 
@@ -135,9 +135,8 @@ def greedy_leaders(rows: DataFrame, values: DataFrame, links: DataFrame, key: st
                 state = _decided(state, before_each(state).select("seq", led.alias("now")))
                 state = _at_once(state, values, looks, at_once)
     met = values.hint("shuffle_hash").join(told(state).hint("shuffle_hash"), ["rank", "v"]).where("lead < seq")
-    firsts = links.select("rank").distinct().withColumn("by_first", F.lit(True))
-    met = met.join(F.broadcast(firsts), "rank", "left")  # a row for each rank of the rule
-    best = met.groupBy("seq").agg(F.min_by(F.when(F.col("by_first"), F.col("lead")).otherwise(F.coalesce("last", "lead")), "rank").alias("leader"))
+    latest = F.col("rank").isin(*(last_of or []))
+    best = met.groupBy("seq").agg(F.min_by(F.when(latest, F.coalesce("last", "lead")).otherwise(F.col("lead")), "rank").alias("leader"))
     return state.hint("shuffle_hash").join(best.hint("shuffle_hash"), "seq", "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("leader")).alias("leader"))
 
 
@@ -233,4 +232,4 @@ def dedup(rows: DataFrame, ids: list[str], title: str = "title", percent: int =
     for r, c in enumerate(ids):
         own = own.unionByName(rows.where(F.col(c) != "").select(F.col(key).alias("seq"), F.lit(r).alias("rank"), F.col(c).alias("v")))
     links = pairs.unionByName(pairs.select(F.col("w").alias("v"), F.col("v").alias("w"))).withColumn("rank", F.lit(len(ids)))
-    return greedy_leaders(rows, written(own), links, key, seeds)
+    return greedy_leaders(rows, written(own), links, key, seeds, list(range(len(ids))))

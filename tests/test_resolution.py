@@ -134,6 +134,13 @@ def test_merge_takes_the_first_similar_title_and_ids_before_titles(spark):
     # The first similar title counts, not the most similar one.
     merged, stats = state.merge_papers(old, frame([_paper(10, long + "x", doi="d")]), DIM)
     assert {r["seq"]: r["doi"] for r in merged.collect()} == {1: "d", 2: None} and stats.first()["updated"] == 1
+    # Of equal titles too, where nothing else is similar.
+    twins = frame([_paper(1, long, "a"), _paper(2, long, "a")])
+    merged, _ = state.merge_papers(twins, frame([_paper(10, long, doi="d")]), DIM)
+    assert {r["seq"]: r["doi"] for r in merged.collect()} == {1: "d", 2: None}
+    # Of equal ids the last old one.
+    merged, _ = state.merge_papers(twins, frame([_paper(10, "quite another name", "a", "d")]), DIM)
+    assert {r["seq"]: r["doi"] for r in merged.collect()} == {1: None, 2: "d"}
     # An id of an earlier new paper comes before an old one's title.
     merged, stats = state.merge_papers(old, frame([_paper(10, "quite another name", "2401.00001"), _paper(11, long, "2401.00001")]), DIM)
     assert {r["seq"]: r["arxiv_id"] for r in merged.collect()} == {1: None, 2: None, 10: "2401.00001"}
