@@ -41,7 +41,7 @@ def bibtex_ids(df: DataFrame, key: str, text: str) -> DataFrame:
     listed = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
     blocks = F.transform("spans", lambda s: F.substring(F.col(text), s["first"], s["last"] - s["first"] + 1))
     ids = F.flatten(F.transform(blocks, lambda b: F.concat(*(F.regexp_extract_all(b, F.lit(p), F.lit(1)) for p in ENTRY_IDS))))
-    return df.select(key, text).join(listed, key).select(key, F.array_distinct(ids).alias("bibtex_ids"))
+    return df.select(key, text).join(listed.hint("shuffle_hash"), key).select(key, F.array_distinct(ids).alias("bibtex_ids"))
 
 
 def section_id(text: Column) -> Column:
@@ -60,7 +60,7 @@ def recent_id(ids: Column) -> Column:
 
 def linked_paper(df: DataFrame, key: str, text: str, ids: str) -> DataFrame:
     """Adds linked_paper_url and linked_paper_tier: by bibliography entry (1), citation section (2), recent ids (3, 4); null without ids."""
-    found = df.join(bibtex_ids(df, key, text), key, "left")
+    found = df.join(bibtex_ids(df, key, text).hint("shuffle_hash"), key, "left")
     pick = lambda c, tier: F.when(c.isNotNull(), F.struct(c.alias("id"), F.lit(tier).alias("tier")))
     best = F.coalesce(pick(F.get("bibtex_ids", F.lit(0)), 1), pick(section_id(F.col(text)), 2), recent_id(F.col(ids)))
     known = F.when(F.size(ids) > 0, best)

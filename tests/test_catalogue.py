@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from refcatalog.functions import evidence, keys, venues
 from refcatalog.operators.similar import _lcs, dedup, similar_pairs
-from refcatalog.plans import catalogue, curated
+from refcatalog.plans import catalogue, curated, upkeep
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = catalogue.queries() | curated.queries(), catalogue.oracle_sql() | curated.oracle_sql()
+QUERIES = catalogue.queries() | curated.queries() | upkeep.queries()
+ORACLE = catalogue.oracle_sql() | curated.oracle_sql() | upkeep.oracle_sql()
 
 
 def _rows(frame, columns):
