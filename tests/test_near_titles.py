@@ -2,8 +2,9 @@
 
 import random
 
-from refcatalog.operators import near_titles
+from refcatalog.operators import near_titles, similar
 from refcatalog.operators.similar import _lcs
+from refcatalog.plans.tables import written
 
 
 def _varied(n, seed, sizes):
@@ -38,3 +39,38 @@ def test_blocks_lose_no_pair_of_any_length(spark, monkeypatch):
         want = {b: min(((a, s) for (a, x), s in met.items() if x == b), key=lambda p: order(*p)) for b in {b for _, b in met}}
         assert {r["b"]: (r["a"], r["score"]) for r in near_titles.near(frame(left), frame(right), best=best).collect()} == want
     assert near_titles.near(frame([]), frame(right)).count() == 0 and near_titles.near(frame([])).count() == 0
+
+
+def test_a_large_group_of_similar_titles_is_never_paired_within(spark, monkeypatch):
+    draw = random.Random(2)
+    some = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, "the same beginning of forty characters a" + some(4) if i % 2 else some(44), draw.choice([None, None, str(draw.randint(0, 3))]), None) for i in range(600)]
+    made, whole = [], similar.similar_pairs
+
+    def counted(*a, **k):
+        made.append(written(whole(*a, **k)))
+        return made[-1]
+
+    monkeypatch.setattr(similar, "similar_pairs", counted)
+    monkeypatch.setattr(similar, "RUN", 16, raising=False)
+    frame = spark.createDataFrame(rows, "seq long, title string, arxiv_id string, doi string")
+    got = {r["seq"]: r["leader"] for r in similar.dedup(frame, ["arxiv_id", "doi"]).collect()}
+    assert got == _greedy(rows)
+    assert sum(df.count() for df in made) < 2 * len(rows)
+    # Old rows lead, however many of them there are and however alike.
+    old = frame.where("seq < 300").select("seq")
+    want = _greedy(rows[:300], True) | {}
+    got = {r["seq"]: r["leader"] for r in similar.dedup(frame, ["arxiv_id", "doi"], seeds=old).collect()}
+    assert {k: v for k, v in got.items() if k < 300} == want and all(v < 300 or v == k or k > v for k, v in got.items())
+
+
+def _greedy(rows, all_lead=False):
+    leaders, out = [], {}
+    low = lambda t: t.strip().lower()
+    like = lambda x, y: 200 * _lcs(low(x), low(y)) >= 90 * (len(low(x)) + len(low(y)))
+    for seq, title, arxiv, _ in rows:
+        at = None if all_lead else next((x for x in leaders if arxiv and x[2] == arxiv), None) or next((x for x in leaders if like(title, x[1])), None)
+        if at is None:
+            leaders.append((seq, title, arxiv))
+        out[seq] = seq if at is None else at[0]
+    return out
