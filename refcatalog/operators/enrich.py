@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import venues as V
 from ..plans.tables import written
-from .similar import similar_pairs
+from .near_titles import near
+from .similar import title_classes
 
 # Signals in order of trust, and the sources whose year counts.
 NAMED_SIGNALS = ["openalex", "s2", "crossref", "openreview"]
@@ -93,16 +94,12 @@ def fill_affiliations(papers: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def match_titles(new: DataFrame, old: DataFrame, percent: int = 90) -> DataFrame:
-    """(seq, matched): for new rows the old row of the most similar title, the first of equals. Equal titles are one class, and only classes are paired."""
-    low = F.nullif(F.lower(F.trim("title")), F.lit(""))
-    both = old.select(F.col("seq").alias("o"), low.alias("t")).unionByName(new.select(F.lit(None).cast("long").alias("o"), low.alias("t"))).where("t is not null")
-    classes = written(both.groupBy("t").agg(F.min("o").alias("o")).withColumn("k", F.monotonically_increasing_id()))
-    links = written(similar_pairs(classes.select("k", "t"), "k", "t", percent))
-    each = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    near = each.hint("shuffle_hash").join(classes.select(F.col("k").alias("b"), "o").hint("shuffle_hash"), "b").where("o is not null").select(F.col("a").alias("k"), "score", "o")
-    own = classes.where("o is not null").select("k", F.lit(100.0).alias("score"), "o")
-    best = near.unionByName(own).groupBy("k").agg(F.min_by("o", F.struct(-F.col("score"), F.col("o"))).alias("matched")).hint("shuffle_hash").join(classes.select("k", "t").hint("shuffle_hash"), "k")
-    return new.select("seq", low.alias("t")).hint("shuffle_hash").join(best.hint("shuffle_hash"), "t").select("seq", "matched")
+    """(seq, matched): for new rows the old row of the most similar title, the first of equals. Equal titles are one class, and classes of new rows are compared with those of old ones."""
+    named, classes = title_classes(new, "seq", "title")
+    _, known = title_classes(old, "seq", "title")
+    met = written(near(known, classes, percent, "closest").select(F.col("b").alias("k"), F.col("a").alias("matched")))
+    best = classes.hint("shuffle_hash").join(met.hint("shuffle_hash"), "k").select("t", "matched")
+    return named.hint("shuffle_hash").join(best.hint("shuffle_hash"), "t").select(F.col("key").alias("seq"), "matched")
 
 
 def best_match(left: DataFrame, candidates: DataFrame, percent: int = 90) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from refcatalog.operators import near_titles, similar
+from refcatalog.operators import enrich, near_titles, similar
 from refcatalog.operators.similar import _lcs
 from refcatalog.plans.tables import written
 
@@ -74,3 +74,21 @@ def _greedy(rows, all_lead=False):
             leaders.append((seq, title, arxiv))
         out[seq] = seq if at is None else at[0]
     return out
+
+
+def test_old_titles_are_not_paired_with_one_another(spark, monkeypatch):
+    made, whole = [], enrich.written
+
+    def counted(df):
+        made.append(whole(df))
+        return made[-1]
+
+    monkeypatch.setattr(enrich, "written", counted)
+    draw = random.Random(4)
+    old = [(i, "the same beginning of forty characters a" + "".join(draw.choice("abcdef") for _ in range(4))) for i in range(200)]
+    new = [(1000, old[7][1].upper()), (1001, "none of them"), (1002, "the same beginning of forty characters aZZ"), (1003, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "seq long, title string")
+    got = {r["seq"]: r["matched"] for r in enrich.match_titles(frame(new), frame(old)).collect()}
+    close = lambda t: min(old, key=lambda o: (-_lcs(o[1], t) / (len(o[1]) + len(t)), o[0]))[0]
+    assert got == {1000: min(i for i, t in old if t == old[7][1]), 1002: close(new[2][1].lower())}
+    assert all(df.count() <= 300 for df in made)
