@@ -52,7 +52,7 @@ def then(a: Moves, b: Moves) -> Moves:
     return Moves(_or(a.year, b.year), _or(b.trusted, a.trusted), _or(b.real, a.real), junk, *met, *dated)
 
 
-_KINDS = "matched long, seq long, year int, trusted int, real string, junk string, met boolean, met_trusted int, met_year int, dated boolean, dated_trusted int, dated_year int"
+_KINDS = "matched {}, seq long, year int, trusted int, real string, junk string, met boolean, met_trusted int, met_year int, dated boolean, dated_trusted int, dated_year int"
 
 
 def _runs(of) -> object:
@@ -90,6 +90,6 @@ def folded(rows: DataFrame) -> DataFrame:
     """
     rows = written(rows.select("matched", "seq", "real", "junk", F.col("year").cast("int").alias("year"), F.col("trusted").cast("int").alias("trusted")))
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    order = ["matched", "seq"]
-    some = rows.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInPandas(_runs(row_moves), _KINDS)
-    return some.repartition(width, "matched").sortWithinPartitions(*order).mapInPandas(_runs(Moves), _KINDS).drop("seq")
+    order, kinds = ["matched", "seq"], _KINDS.format(rows.schema["matched"].dataType.simpleString())
+    some = rows.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInPandas(_runs(row_moves), kinds)
+    return some.repartition(width, "matched").sortWithinPartitions(*order).mapInPandas(_runs(Moves), kinds).drop("seq")

@@ -19,9 +19,13 @@ from .similar import dedup
 FILLED = ["affiliations", "abstract", "pdf_url", "doi", "arxiv_id", "s2_paper_id", "openalex_id"]
 
 
-def apply_updates(old: DataFrame, new: DataFrame, dim: list[V.Venue]) -> DataFrame:
+def apply_updates(old: DataFrame, new: DataFrame, dim: list[V.Venue], on: str = "seq") -> DataFrame:
     """Old papers (key ``seq``) with what new rows (``matched``, own ``seq``) bring, and ``changed``.
 
+    ``matched`` is a value of the old papers' column ``on``. Where several old papers
+    share it, the new rows are brought together once and all of them get the result,
+    so rows are never paired.
+
     Overrides stay as they are. Longer authors win, and empty fields are filled by
     the first value in order. Venue and year follow the rows one by one: a venue is
     taken, a placeholder tidies a confident venue with the year held by then and
@@ -46,7 +50,9 @@ def apply_updates(old: DataFrame, new: DataFrame, dim: list[V.Venue]) -> DataFra
         *(f(c).alias(n) for n, f, c in (("__a", F.min, F.when(real, v)), ("__z", F.max, F.when(real, v)), ("__ra", F.min, reviewed), ("__rz", F.max, reviewed))),
     )
     told = moves.select("matched", F.struct(*(c for c in moves.columns if c != "matched")).alias("__m"))
-    met = old.join(brought.hint("shuffle_hash"), F.col("seq") == F.col("matched"), "left").drop("matched").join(told.hint("shuffle_hash"), F.col("seq") == F.col("matched"), "left").drop("matched")
+    # Papers without a value meet nothing, wherever they are; so they are dealt out.
+    place = F.col(on) if on == "seq" else F.coalesce(F.col(on), F.concat(F.lit("\0"), F.col("seq")))
+    met = old.withColumn("__on", place).join(brought.withColumnRenamed("matched", "__on").hint("shuffle_hash"), "__on", "left").join(told.withColumnRenamed("matched", "__on").hint("shuffle_hash"), "__on", "left").drop("__on")
     touched, m = F.col("__met"), lambda c: F.col(f"__m.{c}")
     met = met.withColumn("__met", ~F.coalesce("manual_override", F.lit(False)))
     held = F.when(F.coalesce("year", F.lit(0)) > 0, F.col("year"))

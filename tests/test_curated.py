@@ -93,3 +93,14 @@ def test_affiliations_are_looked_for_once_in_each_way(spark):
     plan = rows.select(A.affiliations(F.col("t"), F.col("a"), A.footer_block(F.col("b"))).alias("x"))._jdf.queryExecution().analyzed().toString()
     # Five ways; each names the words of noise once, and organisations beside the footer's own blocks.
     assert plan.count("Equal\\s+contributions") == 5 and plan.count("Universidade") == 6
+
+
+def test_papers_of_one_id_are_updated_without_pairing_rows(spark, monkeypatch):
+    from refcatalog.operators import state
+    from refcatalog.plans import curated
+
+    seen, whole = [], state.folded
+    monkeypatch.setattr(state, "folded", lambda rows: seen.append(rows.count()) or whole(rows))
+    curated.paper_updates(spark, "/root/testdata/sf0.1")
+    papers = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 3 = 0").count()
+    assert seen == [papers]
