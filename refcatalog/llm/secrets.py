@@ -14,6 +14,7 @@ import bisect
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import byte_class, mix, slices, utf8, word_hashes, words
-from .shared import cut
 
 #: The patterns and their least lengths.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,12 +32,10 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ["assign", "access", "hex", "crf"]
 
-#: Documents of the training sample at most: with and without a pattern match (smallest id hashes), and bytes of each.
-MATCHED_ROWS, PLAIN_ROWS, ROW_BYTES = 2000, 1000, 100_000
-#: Tokens of this many bytes (with a digit, or longer) are always shown in training; of the others with and without a digit at most ``OTHERS`` each are drawn, and weigh at most ``HEAVIEST``.
-SHORTEST, LONG, OTHERS, HEAVIEST = 8, 24, 8_000, 3.0
-#: Plain documents that were not trained on and that the least margins are set by, about, and how many of them may still hold one added span of a class.
-CALIBRATION_ROWS, ROWS_A_SPAN = 20_000, 4_000
+#: A token of this many bytes (with a digit, or longer) looks like a secret.
+SHORTEST, LONG = 8, 24
+#: Of documents without a match, one in so many may still hold one added span of a class.
+ROWS_A_SPAN = 4_000
 #: Rewritten copies in all, about, and of each match at least and at most.
 COPIES, LEAST_COPIES, MOST_COPIES = 6_000, 3, 90
 #: Characters of the surroundings that a rewritten copy keeps on each side.
@@ -45,10 +43,19 @@ SHOWN = 150
 SLOTS, BINS = 12, 1 << 11
 #: Tokens whose features are held at once.
 BLOCK = 1 << 15
-#: Tokens on each side of the middle one that a training window shows.
-REACH = 2
+#: Consecutive tokens that are learned from together, and how many such chunks an update of the weights takes.
+CHUNK, BATCH = 8, 512
+#: Tokens that a task learns from at least, about: with fewer, its weights are too unlike those of other tasks to be joined.
+TASK = 2_000_000
+#: Passes over all rows at least and at most, and the tokens they read together where that makes more than the least.
+LEAST_PASSES, MOST_PASSES, READ = 2, 8, 8_000_000
+#: Binary digits after the point of the sums that passes are joined by; whole numbers, so that their order changes nothing.
+POINT = 36
 
 _assign, _access, _hex = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
+_named, _NAMES = re.compile(ASSIGN.split("([")[0].removesuffix(r"""\x20*["']?"""), re.I | re.A), ("passw", "secret", "token", "api")
+#: A run of hexadecimal digits that is long enough, when each of them is an x and all else is blank.
+_DIGITS, _RUN = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256)), b"x" * LEAST["hex"]
 _TOKEN = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x5F, 0x5F), (0x80, 0xFF))
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x30:0x3A] = 1
@@ -62,14 +69,26 @@ _KIND[0x80:] = 32
 def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in characters, sorted by start and kind: leftmost non-overlapping matches of each kind that are long enough."""
     out = []
-    if "=" in text or ":" in text:
+    if ("=" in text or ":" in text) and _names(text):
         out += [(m.start(), m.end(), "assign") for m in _assign.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access") for m in _access.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    out += [(m.start(), m.end(), "hex") for m in _hex.finditer(text)]
+    if _RUN in text.encode("utf-8", "replace").translate(_DIGITS):
+        out += [(m.start(), m.end(), "hex") for m in _hex.finditer(text)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _names(text: str) -> bool:
+    """Whether a key word of an assignment may be in ``text``."""
+    low = text.lower()
+    return any(x in low for x in _NAMES)
+
+
+def plain(text: str, spans: list[tuple[int, int, str]]) -> bool:
+    """Whether a text with these spans of the patterns has neither a match nor a key word of an assignment before a mark."""
+    return not spans and not (_names(text) and _named.search(text))
+
+
 @dataclass
 class Tokens:
     """Tokens of a slice of rows."""
@@ -105,40 +124,38 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
 
 
 def features(t: Tokens, at: np.ndarray) -> np.ndarray:
-    """Rows of ``SLOTS`` feature numbers for the tokens ``at``."""
+    """Rows of ``SLOTS`` feature numbers for the consecutive tokens ``at``."""
     n = len(t.starts)
-    out = np.zeros((len(at), SLOTS), np.int64)
-    size, kind = t.ends - t.starts, t.kinds.astype(np.int64)
+    out = np.zeros((SLOTS, len(at)), np.int64).T  # slots are read one by one
+    if not len(at):
+        return out
     before, after = np.maximum(at - 1, 0), np.minimum(at + 1, n - 1)
     has_before = (at > 0) & (t.row[before] == t.row[at])
     has_after = (at < n - 1) & (t.row[after] == t.row[at])
-    word = lambda i: word_hashes(t.data, t.starts[i], t.ends[i])
-    length = np.minimum(size[at], 63)
-    steps = np.minimum(4, 1 + size[at])
-    prefix = word_hashes(t.data, t.starts[at], t.starts[at] + np.minimum(steps, size[at]), lower=False)
-    gap_b = np.where(has_before, t.starts[at] - t.ends[before], 0)
-    gap_a = np.where(has_after, t.starts[after] - t.ends[at], 0)
-
-    def gap(start: np.ndarray, width: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(start), np.uint64)
-        some = np.flatnonzero(width > 0)
-        h[some] = word_hashes(t.data, start[some], start[some] + np.minimum(width[some], 6), lower=False)
-        return h
-
-    share = (8 * t.digits[at].astype(np.int64) // np.maximum(size[at], 1)).astype(np.int64)
+    # Words and gaps are hashed once, for the token and both of its neighbours.
+    lo, hi = int(before[0]), int(after[-1]) + 1
+    word = word_hashes(t.data, t.starts[lo:hi], t.ends[lo:hi])
+    gap = np.zeros(hi - lo + 1, np.uint64)  # before each token
+    some = np.flatnonzero(t.row[lo : hi - 1] == t.row[lo + 1 : hi]) + 1
+    gap[some] = word_hashes(t.data, t.ends[lo + some - 1], np.minimum(t.starts[lo + some], t.ends[lo + some - 1] + 6), lower=False)
+    sizes, kinds = t.ends[lo:hi] - t.starts[lo:hi], t.kinds[lo:hi].astype(np.int64)
+    size, kind = sizes[at - lo], kinds[at - lo]
+    length = np.minimum(size, 63)
+    prefix = word_hashes(t.data, t.starts[at], t.starts[at] + np.minimum(4, size), lower=False)
+    share = (8 * t.digits[at].astype(np.int64) // np.maximum(size, 1)).astype(np.int64)
     values = [
-        kind[at] * 64 + length,
-        kind[at],
+        kind * 64 + length,
+        kind,
         length,
         prefix,
-        np.where(has_before, word(before), np.uint64(1)),
-        np.where(has_after, word(after), np.uint64(1)),
-        gap(np.where(has_before, t.ends[before], 0), gap_b),
-        gap(t.ends[at], gap_a),
-        kind[at] * 16 + share,
+        np.where(has_before, word[before - lo], np.uint64(1)),
+        np.where(has_after, word[after - lo], np.uint64(1)),
+        np.where(has_before, gap[at - lo], np.uint64(0)),
+        np.where(has_after, gap[at - lo + 1], np.uint64(0)),
+        kind * 16 + share,
         t.file[t.row[at]],
-        np.where(has_before, kind[before] * 64 + np.minimum(size[before], 63), -1),
-        np.where(has_after, kind[after] * 64 + np.minimum(size[after], 63), -1),
+        np.where(has_before, kinds[before - lo] * 64 + np.minimum(sizes[before - lo], 63), -1),
+        np.where(has_after, kinds[after - lo] * 64 + np.minimum(sizes[after - lo], 63), -1),
     ]
     for s, v in enumerate(values):
         raw = v.astype(np.uint64) if v.dtype != np.uint64 else v
@@ -164,26 +181,33 @@ _START = np.array([0, 0, -1e9])  # nor stands first
 _BLOCKED = np.array([[0, 0, -1e9], [0, 0, 0], [0, 0, 0]])  # inside never follows outside
 
 
-def _forward_backward(u: np.ndarray, step: np.ndarray, first: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals (n, length, 3), pair marginals (3, 3) summed by ``share``, and log partition (n) of windows of one length."""
+def _forward_backward(u: np.ndarray, step: np.ndarray, start: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals (n, length, 3), pair marginals (3, 3) summed by ``share``, and marginals of the first tag, of chunks of one length that begin with the scores ``start`` (n, 3)."""
     n, size, _ = u.shape
-    lse = lambda x, ax: (m := x.max(axis=ax, keepdims=True)).squeeze(ax) + np.log(np.exp(x - m).sum(axis=ax))
-    a, b = np.zeros((n, size, 3)), np.zeros((n, size, 3))
-    a[:, 0] = u[:, 0] + first
-    for t in range(1, size):
-        a[:, t] = u[:, t] + lse(a[:, t - 1, :, None] + step, 1)
-    for t in range(size - 2, -1, -1):
-        b[:, t] = lse(step + (u[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-    z = lse(a[:, -1], 1)
+    likely = lambda x: np.exp(np.maximum(x - np.maximum(np.maximum(x[..., 0], x[..., 1]), x[..., 2])[..., None], -50))
+    total = np.ones((3, 1))
+    psi, turn, begin = likely(u), np.exp(np.clip(step, -50, 50)) * (step > -1e8), likely(start) * (start > -1e8)
+    a, b = np.empty((size, n, 3)), np.empty((size, n, 3))
+    a[0] = begin * psi[:, 0]
+    for t in range(size):
+        if t:
+            a[t] = (a[t - 1] @ turn) * psi[:, t]
+        a[t] /= a[t] @ total
+    b[-1] = 1
     pairs = np.zeros((3, 3))
-    for t in range(1, size):
-        pairs += (share[:, None, None] * np.exp(a[:, t - 1, :, None] + step + (u[:, t] + b[:, t])[:, None, :] - z[:, None, None])).sum(axis=0)
-    return np.exp(a + b - z[:, None, None]), pairs, z
+    for t in range(size - 1, 0, -1):
+        ahead = psi[:, t] * b[t]
+        back = ahead @ turn.T
+        pairs += turn * ((a[t - 1] * (share[:, None] / ((a[t - 1] * back) @ total))).T @ ahead)
+        b[t - 1] = back / (back @ total)
+    p = a * b
+    p /= p @ total
+    return p.transpose(1, 0, 2), pairs, p[0]
 
 
-def _values(text: str) -> list[tuple[int, int]]:
+def _values(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """(start, end) in characters of what the patterns hold to be secret: of an assignment its value only."""
-    return [((_assign.match(text, a).start(2) if kind == "assign" else a), b) for a, b, kind in pattern_spans(text)]
+    return [((_assign.match(text, a).start(2) if kind == "assign" else a), b) for a, b, kind in spans]
 
 
 #: Characters of rewritten values: keys of mixed letters and digits, capital or small ones, hexadecimal ones.
@@ -224,75 +248,143 @@ def _rewritten(text: str, draw: random.Random, copies: int) -> Iterator[tuple[st
             yield head + value + tail, [(len(head), len(head) + len(value))]
 
 
-def fit(texts: list[str], rounds: int = 80, rate: float = 0.15, ridge: float = 1e-4) -> Field:
-    """The field that best explains the patterns' values in ``texts`` and in rewritten copies of them (Adam on the log likelihood of windows)."""
-    own = random.Random(5)
-    each = [(x, _values(x)) for x in texts]
-    origin = list(range(len(each)))
-    copies = min(MOST_COPIES, max(LEAST_COPIES, COPIES // max(1, sum(len(v) for _, v in each))))
-    for r, text in enumerate(texts):
-        for copy in _rewritten(text, own, copies):
-            each.append(copy)
-            origin.append(r)
-    texts = [x for x, _ in each]
-    data, offsets = utf8(pa.array(texts, pa.large_string()))
+@dataclass
+class Lesson:
+    """How all rows are learned from, as counts over all of them give it: copies of each match, weights of chunks of ordinary tokens, of those with a digit and of those with a secret or what looks like one, and the mean weight."""
+
+    copies: int
+    weights: np.ndarray
+    mean: float
+    passes: int
+
+    @staticmethod
+    def of(matches: int, chunks: np.ndarray) -> Lesson:
+        """Where ordinary chunks and those with a digit outnumber the others, their weights sum up to that of the others, so that rare forms of secrets can stand against them."""
+        copies = min(MOST_COPIES, max(LEAST_COPIES, COPIES // max(1, matches)))
+        total = chunks + np.array([0, 0, matches * copies])
+        weights = np.minimum(1.0, max(1, total[2]) / np.maximum(1, total))
+        tokens = CHUNK * max(1, int(chunks.sum()))
+        return Lesson(copies, weights, float((total * weights).sum() / max(1, total.sum())), min(MOST_PASSES, max(LEAST_PASSES, READ // tokens)))
+
+
+def _chunks(t: Tokens, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First token of each chunk of ``CHUNK`` tokens of a text (the last may be shorter), and its kind: 2 with a marked token, 1 with a digit, else 0."""
+    if not len(t.starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    within = np.arange(len(t.starts)) - t.firsts[:-1][t.row]
+    at = np.flatnonzero(within % CHUNK == 0)
+    return at, np.maximum.reduceat(np.where(marked, 2, t.kinds & 1).astype(np.int64), at)
+
+
+def _taught(texts: list[str], found: list[list[tuple[int, int, str]]], copies: int, turn: int) -> tuple[Tokens, np.ndarray]:
+    """Tokens of ``texts``, each followed by rewritten copies of its matches, and their tags."""
+    each, origin = [], []
+    for text, known in zip(texts, found, strict=True):
+        spans, own = _values(text, known), len(each)
+        each.append((text, spans))
+        if spans:
+            each += _rewritten(text, random.Random(zlib.crc32(text.encode()) + turn), copies)
+        origin += [own] * (len(each) - own)
+    data, offsets = utf8(pa.array([x for x, _ in each], pa.large_string()))
     t = tokens(data, offsets)
     t.file = t.file[origin]
     gold = np.zeros(len(t.starts), np.int64)
-    for r, (text, spans) in enumerate(each):
+    for r, (_, spans) in enumerate(each):
+        if not spans:
+            continue
+        at = np.append(np.flatnonzero((data[offsets[r] : offsets[r + 1]] & 0xC0) != 0x80), offsets[r + 1] - offsets[r]) + offsets[r]
         for a, b in spans:
-            lo = offsets[r] + len(text[:a].encode())
-            hi = lo + len(text[a:b].encode())
-            i, j = np.searchsorted(t.starts, lo), np.searchsorted(t.starts, hi)
+            i, j = np.searchsorted(t.starts, at[a]), np.searchsorted(t.starts, at[b])
             if i < j and not gold[i]:
                 gold[i], gold[i + 1 : j] = 1, 2
-    width = 2 * REACH + 1
-    draw = np.random.default_rng(11)
-    marked = (gold > 0) | t.candidate
-    mid, share = [np.flatnonzero(marked)], [np.ones(marked.sum())]
-    for rest in (np.flatnonzero(~marked & (t.kinds & 1 > 0)), np.flatnonzero(~marked & (t.kinds & 1 == 0))):
-        taken = np.sort(draw.choice(rest, min(OTHERS, len(rest)), replace=False)) if len(rest) else rest
-        mid.append(taken)
-        # A drawn token stands for those that were left out, but not for so many that rare forms of secrets can't stand against them.
-        share.append(np.full(len(taken), min(HEAVIEST, len(rest) / max(1, len(taken)))))
-    mid, share = np.concatenate(mid), np.concatenate(share)
-    # Windows lie within a text: at its edges they are moved inwards. Texts of fewer tokens than a window teach nothing.
-    first, last = (t.firsts[:-1][t.row[mid]], t.firsts[1:][t.row[mid]]) if len(mid) else (mid, mid)
-    fits = last - first >= width
-    mid, share = mid[fits], share[fits]
-    lo = np.clip(mid - REACH, first[fits], last[fits] - width)
-    field = Field(np.zeros((SLOTS * BINS, 3)), np.zeros((3, 3)), np.zeros(3))
-    if not len(mid):
-        field.unary[:] = 0
-        field.first[:] = [1, 0, 0]
-        return field
-    at = (lo[:, None] + np.arange(width)).ravel()
-    x = np.concatenate([features(t, at[i : i + BLOCK]).astype(np.int32) for i in range(0, len(at), BLOCK)]).reshape(-1, width, SLOTS)
-    y = gold[at].reshape(-1, width)
-    y[:, 0][y[:, 0] == 2] = 1
-    one = np.eye(3)[y]
-    pairs = np.einsum("n,nti,ntj->ij", share, one[:, :-1], one[:, 1:])
-    n = share.sum()
-    params = [field.unary, field.step, field.first]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    for k in range(1, rounds + 1):
-        # A random third of the feature slots is hidden in each round, so that no single one (a prefix, say) carries a tag alone.
-        shown = (draw.random(SLOTS) < 2 / 3).astype(float)
-        u = np.zeros((*y.shape, 3))
-        for s in np.flatnonzero(shown).tolist():  # slot by slot: the features of all windows at once would not be small
-            u += field.unary[x[:, :, s]]
-        p, expected, _ = _forward_backward(u, field.step + _BLOCKED, field.first, share)
-        wrong = ((one - p) * share[:, None, None]).reshape(-1, 3)
-        pull = np.zeros((SLOTS * BINS, 3))
-        for s in np.flatnonzero(shown).tolist():
-            for c in range(3):
-                pull[:, c] += np.bincount(x[:, :, s].ravel(), wrong[:, c], SLOTS * BINS)
-        grads = [pull / n - ridge * field.unary, (pairs - expected) / n - ridge * field.step, (share[:, None] * (one[:, 0] - p[:, 0])).sum(axis=0) / n - ridge * field.first]
-        for w, g, (m, v) in zip(params, grads, moments, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            w += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return field
+    return t, gold
+
+
+class Learner:
+    """Weights that follow the gradient of the log likelihood, update by update, each by its own rate (AdaGrad).
+
+    ``seen`` is the sum of each weight's squared gradients of former passes,
+    ``own`` that of this one; by it the weights of several tasks are joined.
+    """
+
+    def __init__(self, weights: np.ndarray, seen: np.ndarray, lesson: Lesson, turn: int, rate: float = 0.3, ridge: float = 1e-6):
+        self.weights, self.seen, self.own = weights.copy(), seen, np.zeros_like(weights)
+        self.lesson, self.turn, self.rate, self.ridge, self.draw = lesson, turn, rate, ridge, np.random.default_rng(11 + turn)
+
+    def learn(self, texts: list[str]) -> None:
+        """Every token of ``texts``, a number of chunks at a time."""
+        t, gold = _taught(texts, [pattern_spans(x) for x in texts], self.lesson.copies, self.turn)
+        at, kind = _chunks(t, (gold > 0) | t.candidate)
+        ends = np.append(at[1:], len(t.starts))
+        for k in range(0, len(at), BATCH):
+            self._update(t, gold, at[k : k + BATCH], ends[k : k + BATCH], self.lesson.weights[kind[k : k + BATCH]])
+
+    def _update(self, t: Tokens, gold: np.ndarray, at: np.ndarray, ends: np.ndarray, share: np.ndarray) -> None:
+        field = field_of(self.weights)
+        some = np.arange(at[0], ends[-1])
+        chunk = np.repeat(np.arange(len(at)), ends - at)
+        place = chunk * CHUNK + some - at[chunk]
+        x = features(t, some)
+        # A random third of the feature slots is hidden in each update, so that no single one (a prefix, say) carries a tag alone.
+        shown = np.flatnonzero(self.draw.random(SLOTS) < 2 / 3).tolist()
+        u = np.tile([0.0, -50.0, -50.0], (len(at) * CHUNK, 1))  # what a text lacks at its end is outside
+        u[place] = _scores(field.unary, x, shown)
+        y = np.zeros(len(u), np.int64)
+        y[place] = gold[some]
+        one = np.eye(3)[y].reshape(-1, CHUNK, 3)
+        opens = at == t.firsts[:-1][t.row[at]]
+        prior = np.where(opens, 0, gold[np.maximum(at - 1, 0)])
+        step = field.step + _BLOCKED
+        p, expected, begun = _forward_backward(u.reshape(one.shape), step, np.where(opens[:, None], field.first + _START, step[prior]), share)
+        pull = np.zeros((SLOTS * BINS + 4, 3))
+        wrong = ((one - p) * share[:, None, None]).reshape(-1, 3)[place].T.copy()
+        for s in shown:
+            bins, own = x[:, s] - s * BINS, slice(s * BINS, (s + 1) * BINS)
+            for c in (1, 2):
+                pull[own, c] = np.bincount(bins, wrong[c], BINS)
+            pull[own, 0] = -pull[own, 1] - pull[own, 2]  # the three add up to nothing
+        first = (one[:, 0] - begun) * share[:, None]
+        y = y.reshape(-1, CHUNK)
+        pull[-4:-1] = np.bincount((3 * y[:, :-1] + y[:, 1:]).ravel(), np.repeat(share, CHUNK - 1), 9).reshape(3, 3) - expected
+        for tag in range(3):
+            pull[-4 + tag] += first[~opens & (prior == tag)].sum(axis=0)
+        pull[-1] = first[opens].sum(axis=0)
+        g = pull / (self.lesson.mean * CHUNK * BATCH)
+        g -= self.ridge * self.weights
+        self.own += np.square(g, out=pull)
+        size = np.add(self.seen, self.own, out=pull)
+        size += 1e-16
+        g *= self.rate
+        g /= np.sqrt(size, out=size)
+        self.weights += g
+
+
+def field_of(weights: np.ndarray) -> Field:
+    """The field whose features, steps and first tags weigh so, in this order."""
+    return Field(weights[:-4], weights[-4:-1], weights[-1])
+
+
+def _blank() -> np.ndarray:
+    return np.zeros((SLOTS * BINS + 4, 3))
+
+
+def _counted(texts: list[str]) -> tuple[int, int, np.ndarray]:
+    """Plain texts, matches of the patterns, and chunks of each kind."""
+    spans = [pattern_spans(x) for x in texts]
+    t, gold = _taught(texts, spans, 0, 0)
+    return sum(map(plain, texts, spans)), sum(map(len, spans)), np.bincount(_chunks(t, (gold > 0) | t.candidate)[1], minlength=3)
+
+
+def fit(texts: list[str]) -> Field:
+    """The field that best explains the patterns' values in ``texts`` and in rewritten copies of them, without Spark: as ``train`` does in one task."""
+    _, matches, chunks = _counted(texts)
+    lesson = Lesson.of(matches, chunks)
+    weights, seen = _blank(), _blank()
+    for turn in range(lesson.passes):
+        one = Learner(weights, seen, lesson, turn)
+        one.learn(texts)
+        weights, seen = one.weights, seen + one.own
+    return field_of(weights)
 
 
 def _open(t: Tokens, u: np.ndarray, field: Field) -> np.ndarray:
@@ -320,11 +412,19 @@ def _open(t: Tokens, u: np.ndarray, field: Field) -> np.ndarray:
     return out
 
 
+def _scores(unary: np.ndarray, x: np.ndarray, slots: list[int]) -> np.ndarray:
+    """Sums of the weights of the features ``x`` in ``slots``, for each tag."""
+    out = np.zeros((len(x), 3))
+    for s in slots:
+        out += np.take(unary, x[:, s], axis=0)
+    return out
+
+
 def decode(t: Tokens, field: Field) -> list[tuple[int, int, float]]:
     """(first token, last token, margin) of each secret, by Viterbi over all tokens of each row; by its margin, a token of it, the path is better than with the span outside."""
     if not len(t.starts):
         return []
-    u = np.concatenate([field.unary[features(t, np.arange(i, min(i + BLOCK, len(t.starts))))].sum(axis=1) for i in range(0, len(t.starts), BLOCK)])
+    u = np.concatenate([_scores(field.unary, features(t, np.arange(i, min(i + BLOCK, len(t.starts)))), list(range(SLOTS))) for i in range(0, len(t.starts), BLOCK)])
     at = np.flatnonzero(_open(t, u, field))
     if not len(at):
         return []
@@ -402,47 +502,101 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
-    """A field from a bounded sample: documents with a match of a pattern, and others (half of them at most), each at most the module's number.
-
-    One pass counts both kinds; the share of ids that gives about that number
-    then picks the rows by a hash of the id, so that no task sends more than its
-    part of the sample. Texts beyond ``ROW_BYTES`` teach nothing, though they are
-    scanned whole; null texts and an empty table give a field that adds nothing.
-    Other documents without a match, as a rule without secrets, then set the least
-    margins: of spans with and without a digit, all but about one in
-    ``ROWS_A_SPAN`` of these documents fall below.
+    """A field from every token of every row, and least margins from every row without a secret.
+
+    One pass counts; by the counts, ordinary tokens, those with a digit and
+    those that look like secrets are weighed. In each of the next passes every task
+    learns from all its rows, beginning with the weights of the pass before, and
+    the weights of all tasks are joined: each is the mean over the tasks by the
+    size of their gradients, so tasks that never met a feature don't count for it. The
+    driver holds the weights only, whatever the number and length of the texts;
+    tasks hold a slice. Small partitions are read by one task together. Spans that the field adds to documents without a match, as
+    a rule without secrets, then set the least margins: of spans with and without
+    a digit, all but about one in ``ROWS_A_SPAN`` of these documents fall below.
+    Which rows share a task changes the weights a little. Null texts and an empty
+    table give a field that adds nothing.
+    """
+    rows = docs.select(F.col(text).alias("text")).where("text != ''")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                plains, matches, chunks = _counted(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_pylist([{"plain": plains, "matches": matches, **{f"k{k}": int(n) for k, n in enumerate(chunks)}}])
+
+    names = ("plain", "matches", "k0", "k1", "k2")
+    told = rows.mapInArrow(count, ", ".join(f"{c} long" for c in names)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+    if not told["matches"]:
+        return nothing()
+    lesson = Lesson.of(told["matches"], np.array([told["k0"], told["k1"], told["k2"]]))
+    weights, seen = _blank(), _blank()
+    shared = rows.coalesce(max(1, CHUNK * (told["k0"] + told["k1"] + told["k2"]) // TASK))
+    for turn in range(lesson.passes):
+        weights, seen = _pass(shared, weights, seen, lesson, turn)
+    return calibrated(field_of(weights), rows, told["plain"] // ROWS_A_SPAN, only_plain=True)
+
+
+def nothing() -> Field:
+    """A field that adds no span."""
+    weights = _blank()
+    weights[-4:, 0] = 1
+    return field_of(weights)
+
+
+def _pass(rows: DataFrame, weights: np.ndarray, seen: np.ndarray, lesson: Lesson, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and squared gradients after one more pass of all tasks over their rows."""
+    held = rows.sparkSession.sparkContext.broadcast((weights, seen))
+    sums = [f"{c}{k}" for c in "no" for k in range(3)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(*held.value, lesson, turn)
+        for batch in batches:
+            for part in slices(batch):
+                learner.learn(part.column("text").to_pylist())
+        met = np.flatnonzero(learner.own.any(axis=1))
+        own = np.round(np.ldexp(np.sqrt(learner.own[met]), POINT))
+        moved = np.round(own * (learner.weights - held.value[0])[met])
+        yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(x.astype(np.int64)) for x in (*moved.T, *own.T))], ["i", *sums])
+
+    told = rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("i", *sums))).groupBy("i").agg(*(F.sum(c).alias(c) for c in sums), F.count(F.lit(1)).alias("tasks")).toArrow()
+    held.unpersist()
+    at = told.column("i").to_numpy()
+    moved, own = (np.stack([told.column(f"{c}{k}").to_numpy() for k in range(3)], axis=1).astype(float) for c in "no")
+    weights, seen = weights.copy(), seen.copy()
+    weights[at] += moved / np.maximum(own, 1)
+    seen[at] += (np.ldexp(own, -POINT) / told.column("tasks").to_numpy()[:, None]) ** 2
+    return weights, seen
+
+
+#: Parts of one that margins are counted by.
+PARTS = 256
+
+
+def calibrated(field: Field, texts: DataFrame, spared: int, only_plain: bool = False) -> Field:
+    """``field`` with least margins beyond which it adds at most ``spared`` spans of each class to ``texts``, or to those of them that are plain.
+
+    Margins are counted in bins of 1/256, so the driver gets a bounded number of
+    counts, however many spans there are.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text").between(1, ROW_BYTES))
-    likely = F.col("text").rlike(r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
-    count = rows.agg(F.count_if(likely).alias("yes"), F.count_if(~likely).alias("no")).first()
-    place, most = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), 1 << 31
-    got = []
-    for cond, n, total, top in ((likely, MATCHED_ROWS, count["yes"], 1.0), (~likely, PLAIN_ROWS, count["no"], 0.5)):
-        share = min(top, 1.1 * (n + 50) / max(1, total))
-        got += [r["text"] for r in rows.where(place < int(share * most)).where(cond).orderBy(place, "doc_id").limit(n).select("text").collect()]
-    field = fit(sorted(set(got)))
-    upto = share + min(1.0 - share, CALIBRATION_ROWS / max(1, count["no"]))
-    others = rows.where(place.between(int(share * most), int(upto * most))).where(~likely)
-    return calibrated(field, others.select("text"), int(count["no"] * (upto - share)) // ROWS_A_SPAN)
-
-
-def calibrated(field: Field, texts: DataFrame, spared: int) -> Field:
-    """``field`` with least margins beyond which it adds at most ``spared`` spans of each class to ``texts``."""
     held = texts.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
+                if only_plain:
+                    part = part.filter(pa.array([plain(x, pattern_spans(x)) for x in part.column("text").to_pylist()], pa.bool_()))
                 t = tokens(*utf8(part.column("text")))
-                own = [(bool(t.digits[i : j + 1].any()), m) for i, j, m in decode(t, held.value)]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.bool_()), pa.array([m for _, m in own], pa.float64())], ["digit", "margin"])
+                own = [(bool(t.digits[i : j + 1].any()), int(np.floor(m * PARTS))) for i, j, m in decode(t, held.value)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.bool_()), pa.array([m for _, m in own], pa.int64())], ["digit", "part"])
 
-    spans = cut(texts.mapInArrow(run, "digit boolean, margin double"))
+    told = texts.mapInArrow(run, "digit boolean, part long").groupBy("digit", "part").count().collect()
     least = []
     for digit in (False, True):
-        beyond = spans.where(F.col("digit") == digit).orderBy(F.desc("margin")).limit(spared + 1).collect()  # a few margins
-        least.append(np.nextafter(beyond[-1]["margin"], np.inf) if len(beyond) > spared else 0.0)
-    return Field(field.unary, field.step, field.first, (float(least[0]), float(least[1])))
+        bins = sorted(((r["part"], r["count"]) for r in told if r["digit"] == digit), reverse=True)
+        upto = np.cumsum([n for _, n in bins])
+        k = int(np.searchsorted(upto, spared, "right"))  # the first bin that doesn't fit
+        least.append(max(0.0, (bins[k][0] + 1) / PARTS) if k < len(bins) else 0.0)
+    return Field(field.unary, field.step, field.first, (least[0], least[1]))
 
 
 def scan(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
