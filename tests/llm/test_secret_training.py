@@ -36,7 +36,17 @@ def test_long_documents_teach(spark):
     assert sum(g == [u] for g, u in zip(got, uuids, strict=True)) >= 18
 
 
-def test_every_row_is_counted_and_learned_from(spark, monkeypatch):
+def test_pipeline_fits_nothing_on_the_driver(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(secrets, "fit", lambda *_: pytest.fail("texts were fitted on the driver"))
+    texts = [_words(40) for _ in range(20)] + [f"{_words(30)} secret = {_key(40)}"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.secrets_stage(spark, docs, "").collect()}
+    assert got[20]["text"].endswith("[SECRET]") and all(len(r["text"]) == r["n_chars"] for r in got.values())
+
+
+def test_every_row_is_counted_and_learned_from(spark):
     """A match in the last of many rows teaches, and a pass updates the features of all tasks' rows."""
     texts = [_words(12) for _ in range(4000)] + [f"{_words(20)} secret: {_key(32)} {_words(20)}"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).select("text")
