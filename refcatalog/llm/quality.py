@@ -4,27 +4,33 @@ The text view is the set of hashed words and word shapes; the metadata view is
 the source, the language, the stated length and the page's layout in numbers.
 Each round, either view marks the unlabelled documents it is surest of, over the
 whole corpus, and these train the other view. At the end each view is calibrated
-on held-out labels, and both together score every document.
+on held-out labels, and both together score every document. All labelled rows
+take part: Spark sums the gradients over them, and the driver holds weights only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .arrays import NON_SPACE, mix, slices, utf8, word_hashes, words
 from .shared import cut, unused
 
-#: Labelled rows used for training at most (smallest id hashes), rounds, and pseudo-labels of each class that a view gives in a round.
-LABELLED_ROWS, ROUNDS, PSEUDO = 8000, 3, 300
+#: Rounds, and pseudo-labels of each class that a view gives in a round.
+ROUNDS, PSEUDO = 3, 300
 TEXT_BINS, META_BINS = 1 << 15, 1 << 11
 #: Documents of a lower score are rejected.
 KEEP = 0.5
+#: Bins of sets that are learned from at once, and margins of rows that are calibrated by at once.
+BLOCK_BINS, BLOCK_ROWS = 1 << 18, 1 << 14
+#: Binary digits after the point of the sums over rows, of gradients and of curves. They are sums of whole numbers, so neither order nor partitions change them; gradients add up to one at most, which doubles hold exactly.
+POINT, CURVE_POINT = 52, 24
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[0x41:0x5B], _SHAPE[0x61:0x7B], _SHAPE[0x80:], _SHAPE[0x30:0x3A] = 1, 2, 2, 3
@@ -87,41 +93,113 @@ class View:
     bias: float = 0.0
     slope: tuple[float, float] = (1.0, 0.0)
 
-    def margin(self, sets: list[np.ndarray]) -> np.ndarray:
-        flat = np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int64)
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        row = np.repeat(np.arange(len(sets)), size)
-        return np.bincount(row, self.weights[flat], len(sets)) / np.sqrt(np.maximum(size, 1)) + self.bias
+    def margin(self, sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        flat, size = sets
+        row = np.repeat(np.arange(len(size)), size)
+        return np.bincount(row, self.weights[flat], len(size)) / np.sqrt(np.maximum(size, 1)) + self.bias
 
     def calibrated(self, margin: np.ndarray) -> np.ndarray:
         return self.slope[0] * margin + self.slope[1]
 
 
-def fit_view(sets: list[np.ndarray], y: np.ndarray, bins: int, rounds: int = 60, rate: float = 0.3, ridge: float = 1e-4) -> View:
-    flat = np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int64)
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    row, scale = np.repeat(np.arange(len(sets)), size), 1 / np.sqrt(np.maximum(size, 1))
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, b = np.zeros(bins + 1), 0.0
-    m, v = np.zeros(bins + 1), np.zeros(bins + 1)
+def _blocks(rows: DataFrame, sizes: Callable[[Row], int], most: int, pack: Callable[[list[Row]], tuple]) -> RDD:
+    """``rows`` as arrays, a block of them for about ``most`` of their sizes, kept on the executors' disks for the passes over them."""
+
+    def run(own: Iterable[Row]) -> Iterator[tuple]:
+        held, size = [], 0
+        for r in own:
+            held.append(r)
+            size += sizes(r)
+            if size >= most:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return rows.rdd.mapPartitions(run).persist(StorageLevel.DISK_ONLY)
+
+
+def _summed(blocks: RDD, of: Callable[..., np.ndarray], size: int) -> np.ndarray:
+    """Sums over all ``blocks`` of the ``size`` whole numbers that ``of`` gives for each; a task sends its own sums."""
+
+    def run(own: Iterable[tuple]) -> Iterator[bytes]:
+        total = np.zeros(size, np.int64)
+        for block in own:
+            total += of(*block)
+        yield total.tobytes()
+
+    return sum((np.frombuffer(x, np.int64) for x in blocks.mapPartitions(run).collect()), np.zeros(size, np.int64))
+
+
+def _whole(x: np.ndarray, point: int) -> np.ndarray:
+    return np.rint(np.ldexp(x, point))
+
+
+def _pull(w: np.ndarray, sets: tuple[np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Gradient of the log loss at ``w`` (of the bins, and the bias), rows weighed by class, in multiples of 2^-POINT."""
+    flat, size = sets
+    row, scale = np.repeat(np.arange(len(size)), size), 1 / np.sqrt(np.maximum(size, 1))
+    z = np.bincount(row, w[flat], len(size)) * scale + w[-1]
+    e = weight[y] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+    return np.append(np.bincount(flat, _whole(e * scale, POINT)[row], len(w) - 1), _whole(e, POINT).sum()).astype(np.int64)
+
+
+def labelled_blocks(rows: DataFrame) -> RDD:
+    """Blocks of both views and the labels of ``rows`` (a, b, y)."""
+
+    def pack(held: list[Row]) -> tuple:
+        sets = (_joined([np.frombuffer(r[c], "<u2") for r in held]) for c in "ab")
+        return (*((flat.astype("<u2"), size) for flat, size in sets), np.array([r["y"] for r in held]))
+
+    return _blocks(rows.select("a", "b", "y"), lambda r: (len(r["a"]) + len(r["b"])) // 2, BLOCK_BINS, pack)
+
+
+def fit_views(blocks: RDD, counts: np.ndarray, extra: list[tuple[list[np.ndarray], list[int]]], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-4) -> tuple[View, View]:
+    """Both views from all rows of ``labelled_blocks``, of each class ``counts``, and from sets and labels ``extra`` for either view.
+
+    Every step takes the whole gradient: one Spark job over the rows, whose result
+    doesn't depend on how they are dealt out. Classes weigh the same.
+    """
+    bins = (TEXT_BINS, META_BINS)
+    own = [(_joined(sets), np.array(y, np.int64)) for sets, y in extra]
+    weights = [0.5 / np.maximum(1, counts + np.bincount(y, minlength=2)) for _, y in own]
+    w, b = [np.zeros(n + 1) for n in bins], bins[0] + 1
+    m, v = [np.zeros(n + 1) for n in bins], [np.zeros(n + 1) for n in bins]
     for k in range(1, rounds + 1):
-        z = np.bincount(row, w[flat], len(sets)) * scale + w[-1]
-        e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.append(np.bincount(flat, (e * scale)[row], bins), e.sum()) + ridge * w
-        m += 0.1 * (g - m)
-        v += 0.001 * (g * g - v)
-        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return View(w[:-1], float(w[-1]))
-
-
-def _curve(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic curve of the columns of z (and a constant), with a small ridge."""
-    x = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-    w = np.zeros(x.shape[1])
+        held = blocks.context.broadcast((w, weights))
+
+        def pull(a: tuple, b: tuple, y: np.ndarray, held=held) -> np.ndarray:
+            w, weights = held.value
+            return np.concatenate([_pull(w[i], sets, y, weights[i]) for i, sets in enumerate((a, b))])
+
+        told = _summed(blocks, pull, sum(bins) + 2)
+        held.destroy()
+        for i, part in enumerate((told[:b], told[b:])):
+            g = np.ldexp((part + _pull(w[i], *own[i], weights[i])).astype(float), -POINT) + ridge * w[i]
+            m[i] += 0.1 * (g - m[i])
+            v[i] += 0.001 * (g * g - v[i])
+            w[i] = w[i] - rate * (m[i] / (1 - 0.9**k)) / (np.sqrt(v[i] / (1 - 0.999**k)) + 1e-8)
+    return View(w[0][:-1], float(w[0][-1])), View(w[1][:-1], float(w[1][-1]))
+
+
+def _curve(blocks: RDD, of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], n: int) -> np.ndarray:
+    """Logistic curve of the ``n`` numbers that ``of`` gives for the margins of each row (and a constant), with a small ridge; ``blocks`` hold both margins and the label of all rows."""
+    w = np.zeros(n + 1)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w -= np.clip(np.linalg.solve(h, x.T @ (p - y) + 1e-2 * w), -5, 5)
+
+        def sums(za: np.ndarray, zb: np.ndarray, y: np.ndarray, w=w) -> np.ndarray:
+            x = np.stack([*of(za, zb), np.ones(len(y))], axis=1)
+            p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -30, 30)))
+            h = (x * (p * (1 - p))[:, None])[:, :, None] * x[:, None, :]
+            each = np.concatenate([h.reshape(len(x), -1), x * (p - y)[:, None]], axis=1)
+            return _whole(each, CURVE_POINT).astype(np.int64).sum(axis=0)
+
+        told = np.ldexp(_summed(blocks, sums, (n + 1) * (n + 2)).astype(float), -CURVE_POINT)
+        h, g = told[: (n + 1) ** 2].reshape(n + 1, n + 1), told[(n + 1) ** 2 :]
+        step = np.clip(np.linalg.solve(h + 1e-2 * np.eye(n + 1), g + 1e-2 * w), -5, 5)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
     return w
 
 
@@ -150,8 +228,18 @@ def _encoded(docs: DataFrame, doc_id: str, text: str, meta_columns: list[str]) -
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *own).mapInArrow(run, f"doc_id {kind}, a binary, b binary")
 
 
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the sets one after another, and the size of each set."""
+    return np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int64), np.fromiter(map(len, sets), np.int64, len(sets))
+
+
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_joined``, of a column of sets as bytes."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offs[0] : offs[-1]].view("<u2").astype(np.int64), np.diff(offs) // 2
 
 
 def _margins(encoded: DataFrame, model: Model) -> DataFrame:
@@ -160,31 +248,35 @@ def _margins(encoded: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(m.text.margin(_sets(b.column("a")))), pa.array(m.meta.margin(_sets(b.column("b"))))], ["doc_id", "za", "zb"])
+        for batch in batches:
+            for b in slices(batch, "a"):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(m.text.margin(_sets(b.column("a")))), pa.array(m.meta.margin(_sets(b.column("b")))), b.column("y")], ["doc_id", "za", "zb", "y"])
 
-    return encoded.select("doc_id", "a", "b").mapInArrow(run, f"doc_id {kind}, za double, zb double")
+    return encoded.select("doc_id", "a", "b", "y").mapInArrow(run, f"doc_id {kind}, za double, zb double, y int")
 
 
 def train(encoded: DataFrame, labels: DataFrame, doc_id: str, label: str, meta_columns: list[str], rounds: int = ROUNDS, pseudo: int = PSEUDO) -> Model:
-    """Co-training over ``encoded``; only bounded numbers of labelled and pseudo-labelled rows reach the driver."""
+    """Co-training over ``encoded``, by every labelled row; the driver gets sums, and the bounded numbers of rows that the views teach each other.
+
+    A quarter of the labelled rows, by the hash of their views, is held out and
+    calibrates. The same rows give the same model, however they are dealt out.
+    """
     known = labels.where(f"`{label}` in (0, 1) and `{doc_id}` is not null").groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
-    # A labelled id may come with many texts: their number is bounded as well.
-    met = encoded.join(F.broadcast(some), "doc_id").select("a", "b", "y").distinct().orderBy(F.xxhash64("a", "b", "y")).limit(LABELLED_ROWS)
-    got = sorted((bytes(r["a"]), bytes(r["b"]), r["y"]) for r in met.collect())
-    arrays = lambda x: [np.frombuffer(v, "<u2") for v in x]
-    y = np.array([g[2] for g in got], float)
-    if min((y == 1).sum(), (y == 0).sum()) < 8:
-        return Model(View(np.zeros(TEXT_BINS)), View(np.zeros(META_BINS)), [0, 0, 0], float(y.mean()) if len(y) else 1.0, meta_columns)
-    held = np.arange(len(got)) % 4 == 3
-    a, b = arrays([g[0] for g in got]), arrays([g[1] for g in got])
-    pick = lambda x, m: [v for v, k in zip(x, m, strict=True) if k]
-    learn_a, learn_b = (pick(a, ~held), y[~held]), (pick(b, ~held), y[~held])
-    model = Model(fit_view(*learn_a, TEXT_BINS), fit_view(*learn_b, META_BINS), [0, 0, 0], None, meta_columns)
-    free = encoded.join(known.hint("shuffle_hash"), "doc_id", "left_anti").select("a", "b")
     # Equal documents would all be equally sure: one of each is enough, named by the hash of its views.
-    pool = cut(free.groupBy(F.xxhash64("a", "b").alias("doc_id")).agg(F.min(F.struct("a", "b")).alias("x")).select("doc_id", "x.a", "x.b"))
+    told = encoded.join(known.hint("shuffle_hash"), "doc_id", "left").select("a", "b", "y").distinct()
+    told = cut(told.select(F.xxhash64("a", "b").alias("doc_id"), "a", "b", "y"))
+    pool, labelled = told.where("y is null"), told.where("y is not null").withColumn("held", F.expr("pmod(doc_id, 4) = 3"))
+    sizes = labelled.groupBy("held", "y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("a") + F.length("b")).alias("bytes")).collect()
+    count = lambda held: np.array([sum(r["n"] for r in sizes if r["y"] == y and r["held"] in held) for y in (0, 1)])
+    if min(every := count((False, True))) < 8:
+        return Model(View(np.zeros(TEXT_BINS)), View(np.zeros(META_BINS)), [0, 0, 0], float(every[1] / every.sum()) if every.sum() else 1.0, meta_columns)
+    # A task for two blocks, but no more than run at once: each sends its sums to the driver.
+    tasks = min(encoded.sparkSession.sparkContext.defaultParallelism, 1 + sum(r["bytes"] for r in sizes) // (4 * BLOCK_BINS))
+    learn = labelled_blocks(labelled.where("not held").coalesce(tasks))
+    arrays = lambda x: [np.frombuffer(v, "<u2") for v in x]
+    extra_a, extra_b = ([], []), ([], [])
+    fit = lambda: fit_views(learn, count((False,)), [extra_a, extra_b])
+    model = Model(*fit(), [0, 0, 0], None, meta_columns)
     gone: set[int] = set()  # at most 4 * pseudo a round: nothing is taught twice
     for _ in range(rounds):
         left = pool.where(~F.col("doc_id").isin(*sorted(gone))) if gone else pool
@@ -198,15 +290,18 @@ def train(encoded: DataFrame, labels: DataFrame, doc_id: str, label: str, meta_c
                 taught[by] += [(bytes(r["a"]), bytes(r["b"]), cls) for r in surest]
                 gone |= {r["doc_id"] for r in surest}
         # Each view learns what the other one is sure of.
-        extra_a, extra_b = sorted(taught["zb"]), sorted(taught["za"])
-        learn_a = (learn_a[0] + arrays([x[0] for x in extra_a]), np.append(learn_a[1], [x[2] for x in extra_a]))
-        learn_b = (learn_b[0] + arrays([x[1] for x in extra_b]), np.append(learn_b[1], [x[2] for x in extra_b]))
-        model.text, model.meta = fit_view(*learn_a, TEXT_BINS), fit_view(*learn_b, META_BINS)
-    za, zb = model.text.margin(pick(a, held)), model.meta.margin(pick(b, held))
-    for view, z in ((model.text, za), (model.meta, zb)):
-        w = _curve(z[:, None], y[held])
-        view.slope = (float(max(w[0], 1e-3)), float(w[1]))
-    model.mix = _curve(np.stack([model.text.calibrated(za), model.meta.calibrated(zb)], axis=1), y[held]).tolist()
+        for (sets, y), by, i in ((extra_a, "zb", 0), (extra_b, "za", 1)):
+            sets += arrays(x[i] for x in sorted(taught[by]))
+            y += [x[2] for x in sorted(taught[by])]
+        model.text, model.meta = fit()
+    learn.unpersist()
+    pack = lambda held: tuple(np.array([r[c] for r in held]) for c in ("za", "zb", "y"))
+    held = _blocks(_margins(labelled.where("held"), model).coalesce(tasks), lambda _: 1, BLOCK_ROWS, pack)
+    text, meta = _curve(held, lambda za, zb: [za], 1), _curve(held, lambda za, zb: [zb], 1)
+    slopes = [(float(max(w[0], 1e-3)), float(w[1])) for w in (text, meta)]
+    model.text.slope, model.meta.slope = slopes
+    model.mix = _curve(held, lambda za, zb: [s * z + c for z, (s, c) in zip((za, zb), slopes, strict=True)], 2).tolist()
+    held.unpersist()
     return model
 
 
@@ -217,7 +312,7 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, meta_columns: tuple[str,
     return _encoded(named, "doc_id", "text", [f"meta{i}" for i in range(len(columns))]), there
 
 
-def _chances(m: Model, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chances(m: Model, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     p = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     za, zb = m.text.calibrated(m.text.margin(a)), m.meta.calibrated(m.meta.margin(b))
     both = p(m.mix[0] * za + m.mix[1] * zb + m.mix[2]) if m.fixed is None else np.full(len(za), m.fixed)
@@ -269,7 +364,7 @@ def keep(docs: DataFrame, labels: DataFrame, meta_columns: tuple[str, ...] = _ME
             for part in slices(batch):
                 sets, layout = text_view(*utf8(part.column("text")))
                 meta = meta_view(layout, [part.column(m).to_pylist() for m in extra])
-                both = _chances(held.value, sets, list(meta))[2]
+                both = _chances(held.value, _joined(sets), _joined(list(meta)))[2]
                 yield part.filter(pa.array(both >= KEEP)).select(names)
 
     return wide.mapInArrow(run, docs.schema)
